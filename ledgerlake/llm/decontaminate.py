@@ -47,14 +47,16 @@ def item_windows(bench: DataFrame, id_col: str = "item_id", text_col: str = "tex
     return cutout.groupBy("win", "n").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
-def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, carry: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; and row, a
+    struct of the columns of docs, where carry is set."""
     wins = cut(item_windows(bench, item_col, item_text, window), "decon-windows")
     split = wins.withColumn("words", F.split("win", " ")).withColumn("sn", F.least("n", F.lit(SHINGLE)))
     lengths = sorted(r[0] for r in split.select("sn").distinct().collect())  # SHINGLE numbers at most
     parts = [split.where(F.col("sn") == k).select("win", "n", "items", "sn", F.explode(_shingles(F.col("words"), k)).alias("s")) for k in lengths]
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), alnum_words(F.col(text_col)).alias("words"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), alnum_words(F.col(text_col)).alias("words"))
+    row = [F.struct(*docs.columns).alias("row")] if carry else []
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), alnum_words(F.col(text_col)).alias("words"), *row)
     if not parts:
         return _digest(texts.withColumn("cands", F.lit(None).cast("array<struct<start:int,n:int,win:string,items:array<string>>>")))
     shingles = parts[0]
@@ -86,7 +88,8 @@ def _digest(joined: DataFrame) -> DataFrame:
     """joined(doc_id, words, cands) -> the result; candidates are verified against the words."""
     same = lambda c: (c["start"] + c["n"] <= F.size("words")) & (F.array_join(F.slice("words", c["start"] + 1, c["n"]), " ") == c["win"])
     none = F.array().cast("array<struct<start:int,n:int,win:string,items:array<string>>>")
-    held = joined.select("doc_id", F.size("words").cast("long").alias("n_words"), F.coalesce(F.filter("cands", same), none).alias("occ"))
+    row = ["row"] if "row" in joined.columns else []
+    held = joined.select(*row, "doc_id", F.size("words").cast("long").alias("n_words"), F.coalesce(F.filter("cands", same), none).alias("occ"))
     spans = F.array_sort(F.transform("occ", lambda c: F.struct(c["start"].cast("long").alias("s"), (c["start"] + c["n"]).cast("long").alias("e"))))
     zero = F.struct(F.lit(0).cast("long").alias("hit"), F.lit(0).cast("long").alias("end"))
     union = F.aggregate(
@@ -96,7 +99,7 @@ def _digest(joined: DataFrame) -> DataFrame:
         lambda a: a["hit"],
     )
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("occ", lambda c: c["items"]))))
-    out = held.select("doc_id", "n_words", union.alias("n_hit"), items.alias("items"))
+    out = held.select(*row, "doc_id", "n_words", union.alias("n_hit"), items.alias("items"))
     return out.select(
         "doc_id",
         "n_words",
@@ -104,9 +107,15 @@ def _digest(joined: DataFrame) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words"))).alias("contaminated"),
+        *row,
     )
 
 
+def clean(docs: DataFrame, bench: DataFrame, **cols) -> DataFrame:
+    """The rows of docs that are not contaminated, with their own columns."""
+    return contamination(docs, bench, carry=True, **cols).where(~F.col("contaminated")).select("row.*")
+
+
 CONTAMINATION_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM {documents}),
 b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
