@@ -78,7 +78,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     hashes = cut(text_hashes(docs, id_col, text_col), "exact-hashes")
     owners = power_of_two(hashes.count() / OWNER_ROWS, 16)
     marked = cut(suspects(hashes, owners), "exact-suspects")
-    ids = marked.where("suspect").select("doc_id").distinct()
+    # sorted on both sides at every size, so that the work grows evenly and no side is broadcast
+    ids = marked.where("suspect").select("doc_id").distinct().hint("merge")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text"))
     texts = texts.join(ids, texts["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
     groups = (
@@ -99,3 +100,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         (F.col("doc_id").eqNullSafe(keep) & (F.col("nth") == 1)).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs that exact_dedup keeps, with their own columns."""
+    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("k_id"), F.col("text_sha256").alias("k_sha")).hint("merge")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.sha2(ascii_lower(text_or_empty(F.col("text"))), 256).alias("sha"))
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("sha") == F.col("k_sha")), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "sha").orderBy(F.lit(1)))
+    return rows.withColumn("nth", nth).where("nth = 1").select("row.*")
