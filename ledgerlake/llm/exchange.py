@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from ledgerlake.llm.bits import pack_flags, rice_decode, rice_encode, unpack_flags
@@ -60,3 +62,76 @@ def repeated(blocks: DataFrame, owners: int) -> DataFrame:
         return pd.DataFrame({"chunk": pdf["chunk"], "owner": pdf["owner"], "bitmap": [pack_flags(x) for x in np.split(again, cuts)]})
 
     return blocks.select("chunk", "owner", "keys", "twice").groupBy("owner").applyInPandas(answer, "chunk long, owner int, bitmap binary")
+
+
+def pack(x: np.ndarray) -> bytes:
+    return len(x).to_bytes(8, "little") + pa.compress(x.tobytes(), "zstd", asbytes=True) if len(x) else b""
+
+
+def unpack(b: bytes, kind) -> np.ndarray:
+    if not b:
+        return np.zeros(0, kind)
+    n = int.from_bytes(b[:8], "little")
+    return np.frombuffer(pa.decompress(b[8:], n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind)
+
+
+BLOCKS = "chunk long, owner int, keys binary, twice binary, counts binary, docs binary"
+
+
+class Chunk:
+    """Gathers the keys of items, each named by two longs, and deals them to owners as rows of BLOCKS.
+    The row with owner -1 has the names of the items."""
+
+    def __init__(self, owners: int):
+        self.owners, self.number = owners, 0
+        self.task = TaskContext.get().partitionId() if TaskContext.get() else 0
+        self._start()
+
+    def _start(self):
+        self.keys, self.items, self.first, self.second, self.size = [], [], [], [], 0
+
+    def add(self, first: int, second: int, keys: np.ndarray):
+        self.keys.append(keys)
+        self.items.append(np.full(len(keys), len(self.first), np.int32))
+        self.first.append(first)
+        self.second.append(second)
+        self.size += len(keys)
+
+    def flush(self) -> pa.RecordBatch:
+        k, d = np.concatenate(self.keys), np.concatenate(self.items)
+        order = np.argsort(k, kind="stable")
+        k, d = k[order], d[order]
+        at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        n = np.diff(at, append=len(k))
+        uniq, chunk = k[at], (self.task << 24) + self.number
+        rows = [(chunk, -1, b"", b"", pack(np.array(self.first, np.int64)), pack(np.array(self.second, np.int64)))]
+        for o, a, b in by_owner(uniq, self.owners):
+            hi = at[b] if b < len(at) else len(k)
+            rows.append((chunk, o, encode(uniq[a:b], o, self.owners), pack_flags(n[a:b] > 1), pack(n[a:b].astype(np.int32)), pack(d[at[a] : hi])))
+        self.number += 1
+        self._start()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), *[pa.binary()] * 4))], names=["chunk", "owner", "keys", "twice", "counts", "docs"])
+
+
+def shared_keys(blocks: DataFrame, owners: int) -> DataFrame:
+    """(first, second, keys): the keys of each item that another one has too, as an array of u64."""
+    told = repeated(blocks.where("owner >= 0"), owners)
+
+    def gather(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        maps = dict(zip(right["owner"], right["bitmap"]))
+        keys, items, first, second = [], [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for r in left.itertuples():
+            if r.owner < 0:
+                first, second = unpack(r.counts, np.int64), unpack(r.docs, np.int64)
+                continue
+            k = decode(r.keys, r.owner, owners)
+            again, n = unpack_flags(maps[r.owner], len(k)), unpack(r.counts, np.int32)
+            keys.append(np.repeat(k[again], n[again]))
+            items.append(unpack(r.docs, np.int32)[np.repeat(again, n)])
+        k, d = np.concatenate(keys), np.concatenate(items)
+        order = np.argsort(d, kind="stable")
+        k, d = k[order], d[order]
+        at = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else np.zeros(0, np.int64)
+        return pd.DataFrame({"first": first[d[at]], "second": second[d[at]], "keys": [x.tobytes() for x in np.split(k, at[1:])] if len(at) else []})
+
+    return blocks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(gather, "first long, second long, keys binary")

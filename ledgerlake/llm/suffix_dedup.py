@@ -26,13 +26,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.llm import exchange
-from ledgerlake.llm.bits import unpack_flags
 from ledgerlake.llm.common import cut, power_of_two, text_or_empty
+from ledgerlake.llm.exchange import pack, unpack
 from ledgerlake.llm.textnp import U, mix, powers, prefix_sums, raw
 
 SPAN, GRAM = 50, 24
@@ -71,84 +70,27 @@ def _each(batch: pa.RecordBatch, name: str = "text"):
         yield data[offsets[i] : offsets[i + 1]]
 
 
-def _pack(x: np.ndarray) -> bytes:
-    return len(x).to_bytes(8, "little") + pa.compress(x.tobytes(), "zstd", asbytes=True) if len(x) else b""
-
-
-def _unpack(b: bytes, kind) -> np.ndarray:
-    if not b:
-        return np.zeros(0, kind)
-    n = int.from_bytes(b[:8], "little")
-    return np.frombuffer(pa.decompress(b[8:], n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind)
-
-
-def _task() -> int:
-    return TaskContext.get().partitionId() if TaskContext.get() else 0
-
-
 def minimizer_blocks(texts: DataFrame, owners: int) -> DataFrame:
-    """(chunk, owner, keys, twice, counts, docs): sorted minimizers and the documents of the chunk that
-    have them; the row with owner -1 has the documents' ids and tags."""
-    names = ["chunk", "owner", "keys", "twice", "counts", "docs"]
+    """The minimizers of each document, named by id and tag, as blocks for their owners."""
 
     def run(batches):
-        keys, docs, ids, tags, size, flushed, task = [], [], [], [], 0, 0, _task()
-
-        def flush():
-            k, d = np.concatenate(keys), np.concatenate(docs)
-            order = np.argsort(k, kind="stable")
-            k, d = k[order], d[order]
-            at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            n = np.diff(at, append=len(k))
-            uniq, chunk = k[at], (task << 24) + flushed
-            rows = [(chunk, -1, b"", b"", _pack(np.array(ids, np.int64)), _pack(np.array(tags, np.int64)))]
-            for o, a, b in exchange.by_owner(uniq, owners):
-                hi = at[b] if b < len(at) else len(k)
-                rows.append((chunk, o, exchange.encode(uniq[a:b], o, owners), exchange.pack_flags(n[a:b] > 1), _pack(n[a:b].astype(np.int32)), _pack(d[at[a] : hi])))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), *[pa.binary()] * 4))], names=names)
-
+        chunk = exchange.Chunk(owners)
         for batch in batches:
             for doc_id, tag, data in zip(batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist(), _each(batch)):
                 if doc_id is None or len(data) < SPAN:
                     continue
-                mine = np.unique(minimizers(data)[1] >> U(64 - exchange.KEY_BITS))
-                keys.append(mine)
-                docs.append(np.full(len(mine), len(ids), np.int32))
-                ids.append(doc_id)
-                tags.append(tag)
-                size += len(mine)
-                if size >= CHUNK_KEYS:
-                    yield flush()
-                    keys, docs, ids, tags, size, flushed = [], [], [], [], 0, flushed + 1
-        if size:
-            yield flush()
+                chunk.add(doc_id, tag, np.unique(minimizers(data)[1] >> U(64 - exchange.KEY_BITS)))
+                if chunk.size >= CHUNK_KEYS:
+                    yield chunk.flush()
+        if chunk.size:
+            yield chunk.flush()
 
-    return texts.mapInArrow(run, "chunk long, owner int, keys binary, twice binary, counts binary, docs binary")
+    return texts.mapInArrow(run, exchange.BLOCKS)
 
 
 def shared_minimizers(blocks: DataFrame, owners: int) -> DataFrame:
     """(doc_id, tag, keys): the minimizers of each document that another one has too."""
-    told = exchange.repeated(blocks.where("owner >= 0"), owners)
-
-    def gather(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        maps = dict(zip(right["owner"], right["bitmap"]))
-        keys, docs, ids, tags = [], [], None, None
-        for r in left.itertuples():
-            if r.owner < 0:
-                ids, tags = _unpack(r.counts, np.int64), _unpack(r.docs, np.int64)
-                continue
-            k = exchange.decode(r.keys, r.owner, owners)
-            again, n = unpack_flags(maps[r.owner], len(k)), _unpack(r.counts, np.int32)
-            keys.append(np.repeat(k[again], n[again]))
-            docs.append(_unpack(r.docs, np.int32)[np.repeat(again, n)])
-        k, d = np.concatenate(keys), np.concatenate(docs)
-        order = np.argsort(d, kind="stable")
-        k, d = k[order], d[order]
-        at = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else np.zeros(0, np.int64)
-        mine = d[at]
-        return pd.DataFrame({"doc_id": ids[mine], "tag": tags[mine], "keys": [x.tobytes() for x in np.split(k, at[1:])] if len(at) else []})
-
-    return blocks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(gather, "doc_id long, tag long, keys binary")
+    return exchange.shared_keys(blocks, owners).withColumnsRenamed({"first": "doc_id", "second": "tag"})
 
 
 OUT = "owner int, doc_id long, tag long, ranges binary, block binary"
@@ -206,7 +148,7 @@ def context_blocks(found: DataFrame, owners: int) -> DataFrame:
             for o in np.unique(own):
                 pick = np.flatnonzero(own == o)
                 members = rest[np.concatenate([places[i] for i in pick])]
-                body = [_pack(h[lead[pick]]), _pack(np.ascontiguousarray(ctx[lead[pick]]).reshape(-1)), _pack(la[lead[pick]].astype(np.uint8)), _pack(ra[lead[pick]].astype(np.uint8)), _pack(docs[lead[pick]]), _pack(n[pick].astype(np.int32)), _pack(tags[members]), _pack(at[members].astype(np.int32))]
+                body = [pack(h[lead[pick]]), pack(np.ascontiguousarray(ctx[lead[pick]]).reshape(-1)), pack(la[lead[pick]].astype(np.uint8)), pack(ra[lead[pick]].astype(np.uint8)), pack(docs[lead[pick]]), pack(n[pick].astype(np.int32)), pack(tags[members]), pack(at[members].astype(np.int32))]
                 rows.append((int(o), b"".join(len(x).to_bytes(8, "little") + x for x in body)))
             out.append(pd.DataFrame({"owner": [r[0] for r in rows], "doc_id": None, "tag": None, "ranges": None, "block": [r[1] for r in rows]}))
             return [pa.RecordBatch.from_pandas(x, schema=SCHEMA, preserve_index=False) for x in out if len(x)]
@@ -335,7 +277,7 @@ def _owner(table: pa.Table) -> pa.Table:
         at = 0
         for c, kind in zip(cols, (np.uint64, np.uint8, np.uint8, np.uint8, np.int64, np.int32, np.int64, np.int32)):
             size = int.from_bytes(block[at : at + 8], "little")
-            c.append(_unpack(block[at + 8 : at + 8 + size], kind))
+            c.append(unpack(block[at + 8 : at + 8 + size], kind))
             at += 8 + size
     if not cols[0]:
         return settled
