@@ -55,10 +55,12 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     lengths = sorted(r[0] for r in split.select("sn").distinct().collect())  # SHINGLE numbers at most
     parts = [split.where(F.col("sn") == k).select("win", "n", "items", "sn", F.explode(_shingles(F.col("words"), k)).alias("s")) for k in lengths]
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), alnum_words(F.col(text_col)).alias("words"))
-    row = [F.struct(*docs.columns).alias("row")] if carry else []
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), alnum_words(F.col(text_col)).alias("words"), *row)
+    # texts are dealt, not their words; sorted on both sides at every size
+    row = F.struct(*docs.columns) if carry else F.struct(F.col(text_col))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), row.alias("row"))
+    words = alnum_words(F.col("row")[text_col])
     if not parts:
-        return _digest(texts.withColumn("cands", F.lit(None).cast("array<struct<start:int,n:int,win:string,items:array<string>>>")))
+        return _digest(texts.withColumn("words", words).withColumn("cands", F.lit(None).cast("array<struct<start:int,n:int,win:string,items:array<string>>>")), carry)
     shingles = parts[0]
     for p in parts[1:]:
         shingles = shingles.unionByName(p)
@@ -81,14 +83,15 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     cands = found.join(anchors, ["sn", "sh"]).select("doc_id", (F.col("pos") - F.col("off")).alias("start"), "n", "win", "items").where("start >= 0")
     cands = cands.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n", "win", "items")).alias("cands"))
     cands = cut(cands, "decon-candidates").withColumnRenamed("doc_id", "c_id")
-    return _digest(texts.join(cands, texts["doc_id"].eqNullSafe(cands["c_id"]), "left").drop("c_id"))
+    joined = texts.join(cands.hint("merge"), texts["doc_id"].eqNullSafe(cands["c_id"]), "left").drop("c_id")
+    return _digest(joined.withColumn("words", words), carry)
 
 
-def _digest(joined: DataFrame) -> DataFrame:
-    """joined(doc_id, words, cands) -> the result; candidates are verified against the words."""
+def _digest(joined: DataFrame, carry: bool) -> DataFrame:
+    """joined(doc_id, row, words, cands) -> the result; candidates are verified against the words."""
     same = lambda c: (c["start"] + c["n"] <= F.size("words")) & (F.array_join(F.slice("words", c["start"] + 1, c["n"]), " ") == c["win"])
     none = F.array().cast("array<struct<start:int,n:int,win:string,items:array<string>>>")
-    row = ["row"] if "row" in joined.columns else []
+    row = ["row"] if carry else []
     held = joined.select(*row, "doc_id", F.size("words").cast("long").alias("n_words"), F.coalesce(F.filter("cands", same), none).alias("occ"))
     spans = F.array_sort(F.transform("occ", lambda c: F.struct(c["start"].cast("long").alias("s"), (c["start"] + c["n"]).cast("long").alias("e"))))
     zero = F.struct(F.lit(0).cast("long").alias("hit"), F.lit(0).cast("long").alias("end"))
