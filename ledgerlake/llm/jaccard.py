@@ -249,4 +249,5 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs without those whose group has a document with a smaller id."""
     found = jaccard_components(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("dropped")).distinct().hint("merge")
-    return docs.join(found, F.col("doc_id") == F.col("dropped"), "left_anti")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    return rows.join(found, F.col("doc_id") == F.col("dropped"), "left_anti").select("row.*")

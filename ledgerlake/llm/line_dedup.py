@@ -211,7 +211,8 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the lines that line_components drops taken out of the text."""
     gone = line_components(docs, id_col, text_col).where("not kept").groupBy(F.col("doc_id").alias("g_id")).agg(F.collect_set("line_no").alias("g_lines"))
-    held = docs.join(gone.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("g_id")), "left")
-    left = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("g_lines", i)), "\n")
-    text = F.when(F.col("g_lines").isNull(), F.col(text_col)).otherwise(left)
-    return held.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("of"), F.col(text_col).cast("string").alias("t"))
+    held = rows.join(gone.hint("merge"), F.col("of").eqNullSafe(F.col("g_id")), "left")
+    left = F.array_join(F.filter(F.split("t", "\n"), lambda x, i: ~F.array_contains("g_lines", i)), "\n")
+    text = F.when(F.col("g_lines").isNull(), F.col("t")).otherwise(left)
+    return held.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

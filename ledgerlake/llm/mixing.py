@@ -62,29 +62,30 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_rate: fl
     return cut(rows.select("source", "source_size", target.alias("target"), rate.alias("rate")), "mix-targets")
 
 
-def planned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs with mix_size, mix_source_size, mix_target and mix_copies. The table of targets has a row
-    per source; Spark broadcasts it below its threshold and splits hot sources of a sorted join above."""
-    sized = docs.withColumn("mix_size", word_count(F.col(text_col)))
-    sums = sized.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.sum("mix_size").alias("source_size"))
-    goal = targets(sums).select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("rate").alias("mix_rate"))
-    out = sized.join(goal, sized[source_col].cast("string").eqNullSafe(goal["mix_source"]), "left")
-    whole = F.floor("mix_rate")
-    extra = (uniform(F.col(id_col)) < F.col("mix_rate") - whole).cast("long")
-    return out.withColumn("mix_copies", (whole + extra).cast("long")).drop("mix_source", "mix_rate")
+def planned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: bool = True) -> DataFrame:
+    """(id, size, source, source_size, target, copies) of each row of docs, and row, a struct of its
+    columns. The table of targets has a row per source; Spark broadcasts it below its threshold and
+    splits hot sources of a sorted join above."""
+    row = [F.struct(*docs.columns).alias("row")] if carry else []
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), *row)
+    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    goal = targets(sums).withColumnRenamed("source", "of")
+    out = sized.join(goal, sized["source"].eqNullSafe(goal["of"]), "left").drop("of")
+    whole = F.floor("rate")
+    extra = (uniform(F.col("id")) < F.col("rate") - whole).cast("long")
+    return out.withColumn("copies", (whole + extra).cast("long")).drop("rate")
 
 
 def mix(docs: DataFrame, **cols: str) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, numbered by mix_copy from 1."""
-    plan = planned(docs, **cols).where("mix_copies > 0")
-    rows = plan.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))))
-    return rows.select(*docs.columns, "mix_copy")
+    rows = planned(docs, **cols).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("mix_copy"))
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "mix_copy"], "mix_copy")
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken."""
-    plan = planned(docs.select("doc_id", "text", "source"))
-    return plan.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
+    plan = planned(docs, carry=False)
+    return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 REPORT_SQL = r"""

@@ -125,7 +125,7 @@ def span_features(text: str, a: int, b: int) -> list[str]:
         f"at{min(at, 2)}",
         f"dots{min(dots, 4)}",
         f"domain{at == 1 and '.' in s[s.find('@') + 2 : -1]}",
-        f"octets{len(parts) == 4 and all(p.isdigit() and int(p[:6]) <= 255 for p in parts)}",
+        f"octets{len(parts) == 4 and all(p.isascii() and p.isdigit() and int(p[:6]) <= 255 for p in parts)}",
         f"luhn{16 <= len(digits) <= 19 and not letters and luhn(digits)}",
         f"first{kind(s[0])}",
         f"last{kind(s[-1])}",
@@ -170,7 +170,7 @@ def lattice(text: str, a: int, b: int, index: dict[str, int], grow: bool = False
             begin.append(i)
             end.append(j + 1)
             features.append([index.get(x, -1) for x in f])
-    return Lattice(bounds, np.array(begin, int), np.array(end, int), np.array(features, int).reshape(len(begin), -1))
+    return Lattice(bounds, np.array(begin, int), np.array(end, int), np.array(features, int).reshape(len(begin), len(features[0]) if features else 0))
 
 
 def segment_scores(lat: Lattice, weights: np.ndarray) -> np.ndarray:

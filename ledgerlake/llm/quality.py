@@ -205,4 +205,5 @@ def score(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: s
 def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs that the classifier predicts to be good, with their own columns."""
     model = train(docs, labels)
-    return with_statistics(docs, text_col).where(model.column() >= THRESHOLD).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).cast("string").alias("text"))
+    return with_statistics(rows).where(model.column() >= THRESHOLD).select("row.*")
