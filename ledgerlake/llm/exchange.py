@@ -13,6 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ledgerlake.llm.bits import pack_flags, rice_decode, rice_encode, unpack_flags
 
@@ -90,9 +91,10 @@ class Chunk:
     def _start(self):
         self.keys, self.items, self.first, self.second, self.size = [], [], [], [], 0
 
-    def add(self, first: int, second: int, keys: np.ndarray):
+    def add(self, first: int, second: int, keys: np.ndarray, wanted: np.ndarray | None = None):
+        """wanted marks the keys that shared_keys shall return; the others are only counted."""
         self.keys.append(keys)
-        self.items.append(np.full(len(keys), len(self.first), np.int32))
+        self.items.append(2 * len(self.first) + (np.ones(len(keys), np.int32) if wanted is None else wanted.astype(np.int32)))
         self.first.append(first)
         self.second.append(second)
         self.size += len(keys)
@@ -114,7 +116,8 @@ class Chunk:
 
 
 def shared_keys(blocks: DataFrame, owners: int) -> DataFrame:
-    """(first, second, keys): the keys of each item that another one has too, as an array of u64."""
+    """(first, second, shared, keys): how many keys of each item another one has too, and the wanted ones
+    of these as an array of u64."""
     told = repeated(blocks.where("owner >= 0"), owners)
 
     def gather(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -129,9 +132,24 @@ def shared_keys(blocks: DataFrame, owners: int) -> DataFrame:
             keys.append(np.repeat(k[again], n[again]))
             items.append(unpack(r.docs, np.int32)[np.repeat(again, n)])
         k, d = np.concatenate(keys), np.concatenate(items)
+        shared = np.bincount(d >> 1, minlength=len(first))
+        wanted = (d & 1) == 1
+        k, d = k[wanted], d[wanted] >> 1
         order = np.argsort(d, kind="stable")
         k, d = k[order], d[order]
         at = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else np.zeros(0, np.int64)
-        return pd.DataFrame({"first": first[d[at]], "second": second[d[at]], "keys": [x.tobytes() for x in np.split(k, at[1:])] if len(at) else []})
+        mine = d[at]
+        return pd.DataFrame({"first": first[mine], "second": second[mine], "shared": shared[mine], "keys": [x.tobytes() for x in np.split(k, at[1:])] if len(at) else []})
 
-    return blocks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(gather, "first long, second long, keys binary")
+    return blocks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(gather, "first long, second long, shared long, keys binary")
+
+
+def unpacked(items: DataFrame, *columns: str) -> DataFrame:
+    """items(columns, keys) with a row for each key, as a long."""
+    n = (F.octet_length("keys") / 8).cast("int")
+    part = lambda i: F.substring("keys", i * 8 + 1, 8)
+    # bytes of a u64, lowest first; turned round they are the digits of the long
+    digits = F.col("digits")
+    rows = items.where(F.octet_length("keys") > 0).select(*columns, F.explode(F.transform(F.sequence(F.lit(0), n - 1), part)).alias("bytes")).withColumn("digits", F.hex("bytes"))
+    turned = F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in range(KEY_BITS // 8 - 1, -1, -1)])
+    return rows.select(*columns, F.conv(turned, 16, 10).cast("long").alias("key"))

@@ -182,7 +182,7 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     owners = power_of_two(reps.count() * BANDS / OWNER_KEYS, 16)
     blocks = cut(band_blocks(texts, owners), "lines-bands")
     items = exchange.shared_keys(blocks, owners).select(F.col("first").alias("a"), F.col("second").alias("b"), "keys")
-    unpacked = items.select("a", "b", F.explode(F.transform(F.sequence(F.lit(0), (F.octet_length("keys") / 8 - 1).cast("int")), lambda i: F.substring("keys", i * 8 + 1, 8))).alias("key")).distinct()
+    unpacked = exchange.unpacked(items, "a", "b").distinct()
     lists = cut(unpacked.join(reps.select("a", "b", "node"), ["a", "b"]).select("key", "node"), "lines-lists")
 
     head = lists.groupBy("key").agg(F.min("node").alias("y"), F.count(F.lit(1)).alias("m")).where("m > 1")
