@@ -4,13 +4,17 @@ Every text's set is ordered by rarity. Two sets of similarity t share at least k
 prefixes of n - ceil(t n) + k elements. The prefixes here are extended to k = 2:
 
 1. A sketch of BINS counters over all shingles gives each a rarity class; rarer ones come first.
-2. Prefix elements that occur in two documents or more are found by a Golomb-coded exchange.
+2. Prefix elements that occur in two documents or more are found by a Golomb-coded exchange. It counts
+   over longer prefixes, extended by a fifth of the set: similar sets share that many elements there,
+   so a document that shares fewer (one with a common passage, say) is in no list at all.
 3. Each document is verified against the smallest document of each of its lists; a group of near
-   copies is joined by as many verifications as it has members.
+   copies is joined by as many verifications as it has members. Before a verification, sizes and a
+   parity sketch bound the overlap from above, without loss.
 4. Lists that still hold several components are taken up again, between components only: a rare
    token (RARE documents or fewer) by itself; frequent ones as combinations of two tokens of a
-   document, as two sets that share no rare token share two frequent ones. Documents with very many
-   frequent tokens are joined to their lists by single tokens instead.
+   document, as two sets that share no rare token share two frequent ones. Documents whose
+   combinations would be more than COMBINED tokens give, or would meet no fewer documents than the
+   tokens do, are joined to their lists by single tokens instead.
 
 Documents with equal sets are one node throughout. Sets are compared by 64-bit hashes of shingles.
 
@@ -25,11 +29,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.llm import exchange
-from ledgerlake.llm.bits import unpack_flags
 from ledgerlake.llm.common import cut, power_of_two
 from ledgerlake.llm.components import components
 from ledgerlake.llm.textnp import U, mix, shingle_sets
@@ -40,7 +43,12 @@ SKETCH_BITS, PIECES, CHUNK_KEYS, OWNER_KEYS = 20, 16, 1 << 20, 1 << 21
 #: A list of so many documents or fewer is rare; a document with more frequent tokens than COMBINED
 #: goes by single tokens.
 RARE, COMBINED = 32, 64
+#: The counted prefix is extended by one DEPTH-th of the set.
+DEPTH = 5
 LOW58 = U((1 << 58) - 1)
+#: Longs of the parity sketch that bounds the difference of two sets.
+PARITY = 16
+PARITIES = [f"o{i}" for i in range(PARITY)]
 
 
 def _ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -48,29 +56,31 @@ def _ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def signatures(texts: DataFrame) -> DataFrame:
-    """(doc_id, n, s1, s2) of every text, and at the end of each task rows with piece and bins: the
-    task's counts of shingles."""
-    schema = "doc_id long, n long, s1 long, s2 long, task int, piece int, bins binary"
+    """(doc_id, n, s1, s2, o0 ...) of every text: size, signature and parity sketch of its set. At the end
+    of each task come rows with piece and bins: the task's counts of shingles."""
+    schema = "doc_id long, n long, s1 long, s2 long, " + "".join(f"{o} long, " for o in PARITIES) + "task int, piece int, bins binary"
 
     def run(batches):
         total, held, size = np.zeros(1 << SKETCH_BITS, np.int64), [], 0
-        names = ["doc_id", "n", "s1", "s2", "task", "piece", "bins"]
+        names = ["doc_id", "n", "s1", "s2", *PARITIES, "task", "piece", "bins"]
         for batch in batches:
             n, s1, s2 = (np.zeros(batch.num_rows, t) for t in (np.int64, np.uint64, np.uint64))
+            odd = np.zeros((batch.num_rows, PARITY), np.int64)
             for i, got in enumerate(shingle_sets(batch.column("text"), SHINGLE)):
                 n[i], s1[i], s2[i] = len(got), mix(got ^ U(0x5851F42D4C957F2D)).sum(dtype=np.uint64), mix(got ^ U(0x14057B7EF767814F)).sum(dtype=np.uint64)
+                odd[i] = np.packbits((np.bincount((got & U(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1).astype(np.uint8)).view(np.int64)
                 held.append(got >> U(64 - SKETCH_BITS))
                 size += len(got)
                 if size > 1 << 21:
                     total += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(total))
                     held, size = [], 0
             nulls = [pa.nulls(batch.num_rows, t) for t in (pa.int32(), pa.int32(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), *nulls], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), *[pa.array(np.ascontiguousarray(odd[:, j])) for j in range(PARITY)], *nulls], names=names)
         if held:
             total += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(total))
         task = TaskContext.get().partitionId() if TaskContext.get() else 0
         bins = [pa.compress(p.tobytes(), "zstd", asbytes=True) for p in np.split(total, PIECES)]
-        nulls = [pa.nulls(PIECES, pa.int64()) for _ in range(4)]
+        nulls = [pa.nulls(PIECES, pa.int64()) for _ in range(4 + PARITY)]
         yield pa.RecordBatch.from_arrays([*nulls, pa.array([task] * PIECES, pa.int32()), pa.array(range(PIECES), pa.int32()), pa.array(bins, pa.binary())], names=names)
 
     return texts.mapInArrow(run, schema)
@@ -95,73 +105,55 @@ def rarity_classes(rows: DataFrame) -> bytes:
     return np.frexp(counts.reshape(-1).astype(float))[1].astype(np.uint8).tobytes()
 
 
-def prefix_length(n: int) -> int:
-    return min(n, n - (PERCENT * n + 99) // 100 + 2)
+def least_overlap(n: int) -> int:
+    """Elements that a set of n shares with any similar set, at least."""
+    return (PERCENT * n + 99) // 100
 
 
-def prefix_keys(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """The keys of a set's extended prefix, its rarest elements."""
+def depth(n: int) -> int:
+    """Elements by which the counted prefix of a set of n is extended: similar sets share as many in it."""
+    return min(least_overlap(n), max(2, n // DEPTH))
+
+
+def least_shared(n: Column) -> Column:
+    """depth() of the smallest set that is similar to one of n, as a column."""
+    small = F.ceil(n * PERCENT / 100)
+    return F.least(F.ceil(small * PERCENT / 100), F.greatest(F.lit(2), F.floor(small / DEPTH)))
+
+
+def prefix_keys(hashes: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a set's extended prefix, its rarest elements, and which of them are in the prefix for
+    two shared elements."""
     tokens = (classes[hashes >> U(64 - SKETCH_BITS)].astype(np.uint64) << U(58)) | (hashes & LOW58)
-    k = prefix_length(len(tokens))
-    if k < len(tokens):
-        tokens = np.partition(tokens, k - 1)[:k]
-    return mix(tokens) >> U(64 - exchange.KEY_BITS)
+    tokens.sort()
+    n = len(tokens)
+    tokens = tokens[: n - least_overlap(n) + depth(n)]
+    return mix(tokens) >> U(64 - exchange.KEY_BITS), np.arange(len(tokens)) < n - least_overlap(n) + 2
 
 
 def postings(texts: DataFrame, classes: bytes, owners: int) -> DataFrame:
-    """(chunk, owner, keys, twice, counts, docs): the prefix elements of what a task has gathered, sorted."""
+    """The prefix elements of each document, named by id and size, as blocks for their owners."""
 
     def run(batches):
-        table = np.frombuffer(classes, np.uint8)
-        task = TaskContext.get().partitionId() if TaskContext.get() else 0
-        keys, docs, size, flushed = [], [], 0, 0
-
-        def flush():
-            k, d = np.concatenate(keys), np.concatenate(docs)
-            order = np.argsort(k, kind="stable")
-            k, d = k[order], d[order]
-            at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            n = np.diff(at, append=len(k))
-            uniq, rows = k[at], []
-            for o, a, b in exchange.by_owner(uniq, owners):
-                lo, hi = at[a], at[b] if b < len(at) else len(k)
-                pack = lambda x: pa.compress(x.tobytes(), "zstd", asbytes=True)
-                rows.append(((task << 24) + flushed, o, exchange.encode(uniq[a:b], o, owners), exchange.pack_flags(n[a:b] > 1), pack(n[a:b].astype(np.int32)), pack(d[lo:hi])))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), *[pa.binary()] * 4))], names=["chunk", "owner", "keys", "twice", "counts", "docs"])
-
+        table, chunk = np.frombuffer(classes, np.uint8), exchange.Chunk(owners)
         for batch in batches:
-            ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
-            valid = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-            for i, got in enumerate(shingle_sets(batch.column("text"), SHINGLE)):
-                if len(got) and valid[i]:
-                    mine = prefix_keys(got, table)
-                    keys.append(mine)
-                    docs.append(np.full(len(mine), ids[i]))
-                    size += len(mine)
-                    if size >= CHUNK_KEYS:
-                        yield flush()
-                        keys, docs, size, flushed = [], [], 0, flushed + 1
-        if size:
-            yield flush()
+            for doc_id, got in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), SHINGLE)):
+                if len(got) and doc_id is not None:
+                    keys, wanted = prefix_keys(got, table)
+                    chunk.add(doc_id, len(got), keys, wanted)
+                    if chunk.size >= CHUNK_KEYS:
+                        yield chunk.flush()
+        if chunk.size:
+            yield chunk.flush()
 
-    return texts.mapInArrow(run, "chunk long, owner int, keys binary, twice binary, counts binary, docs binary")
+    return texts.mapInArrow(run, exchange.BLOCKS)
 
 
 def shared_postings(blocks: DataFrame, owners: int) -> DataFrame:
-    """(key, doc_id) of the prefix elements that occur in more than one document."""
-    told = exchange.repeated(blocks, owners)
-
-    def run(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                keys = exchange.decode(r["keys"], r["owner"], owners)
-                again = unpack_flags(r["bitmap"], len(keys))
-                unpack = lambda b, n, t: np.frombuffer(pa.decompress(b, n * np.dtype(t).itemsize, "zstd", asbytes=True), t)
-                n = unpack(r["counts"], len(keys), np.int32)
-                docs = unpack(r["docs"], int(n.sum()), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys[again], n[again]).astype(np.int64)), pa.array(docs[np.repeat(again, n)])], names=["key", "doc_id"])
-
-    return blocks.join(told, ["chunk", "owner"]).select("owner", "keys", "counts", "docs", "bitmap").mapInArrow(run, "key long, doc_id long")
+    """(key, doc_id) of prefix elements that other documents have too, but for documents that share too
+    few of their counted prefix to be similar to any."""
+    items = exchange.shared_keys(blocks, owners).where((F.col("shared") >= least_shared(F.col("second"))) | (F.col("second") < 2))
+    return exchange.unpacked(items.withColumnRenamed("first", "doc_id"), "doc_id")
 
 
 def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -183,31 +175,44 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def near(a: str, b: str):
-    """The bound on the sizes of similar sets."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
+def may_be_similar(a: str = "a", b: str = "b") -> Column:
+    """Whether sizes (na, nb) and parity sketches (ao0 ..., bo0 ...) allow two sets to be similar. A bit of
+    the sketch is the parity of the elements that hash to it, so the bits that differ are as many as the
+    elements in one set only, or fewer: a bound that drops no similar pair."""
+    n, m = f"n{a}", f"n{b}"
+    differ = sum((F.bit_count(F.col(a + o).bitwiseXOR(F.col(b + o))) for o in PARITIES), F.lit(0))
+    # 100 shared >= PERCENT (n + m - shared), where 2 shared <= n + m - differ
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT) & ((F.col(n) + F.col(m) - differ) * (100 + PERCENT) >= (F.col(n) + F.col(m)) * 2 * PERCENT)
+
+
+def as_side(rows: DataFrame, side: str, *others: str) -> DataFrame:
+    """rows(rep, n, o0 ...) as one side of a pair."""
+    return rows.select(*others, F.col("rep").alias(side), F.col("n").alias(f"n{side}"), *[F.col(o).alias(side + o) for o in PARITIES])
 
 
-def between_components(lists: DataFrame, done: DataFrame) -> DataFrame:
-    """lists(key, rep, n, comp) -> pairs(a, b) of different components that step 4 has to verify, but
-    for those in done(a, b)."""
+def between_components(lists: DataFrame, sets: DataFrame, done: DataFrame) -> DataFrame:
+    """lists(key, rep, comp) -> pairs(a, b) of different components that step 4 has to verify, but for those
+    in done(a, b). Sizes and sketches are compared within the joins."""
     size = lists.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
-    sized = cut(lists.join(size, "key"), "jaccard-lists")
+    sized = cut(lists.join(size, "key").join(sets, "rep"), "jaccard-lists")
 
     def pairs(x: DataFrame, y: DataFrame, key: str) -> DataFrame:
-        left = x.select(key, F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        right = y.select(key, F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-        met = left.join(right, key).where((F.col("ca") != F.col("cb")) & near("na", "nb"))
+        left, right = as_side(x, "a", key, F.col("comp").alias("ca")), as_side(y, "b", key, F.col("comp").alias("cb"))
+        met = left.join(right, key).where((F.col("ca") != F.col("cb")) & may_be_similar())
         return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     rare = sized.where(F.col("m") <= RARE)
     often = sized.where(F.col("m") > RARE)
-    each = often.groupBy("rep", "n", "comp").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-    few = each.where(F.size("keys") <= COMBINED)
+    each = often.groupBy("rep").agg(F.sort_array(F.collect_set("key")).alias("keys"), F.sum("m").alias("met"))
     twos = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda y: F.xxhash64(x, y))))
-    combined = few.select("rep", "n", "comp", F.explode(twos).alias("two"))
-    many = each.where(F.size("keys") > COMBINED).select("rep", "n", "comp", F.explode("keys").alias("key"))
-    found = pairs(rare, rare, "key").unionByName(pairs(combined, combined, "two")).unionByName(pairs(many, often, "key"))
+    combined = cut(each.where(F.size("keys") <= COMBINED).select("rep", "met", F.explode(twos).alias("two")), "jaccard-combined")
+    # combinations pay where they meet fewer documents than the tokens do; not among copies of one text
+    met_by_two = combined.join(combined.groupBy("two").agg(F.count(F.lit(1)).alias("m2")), "two").groupBy("rep", "met").agg(F.sum("m2").alias("met2"))
+    pays = cut(met_by_two.where("met2 < met").select("rep"), "jaccard-by-two")
+    facts = often.select("rep", "n", "comp", *PARITIES).distinct()
+    by_two = combined.join(pays, "rep", "left_semi").join(facts, "rep")
+    by_one = often.join(pays, "rep", "left_anti")
+    found = pairs(rare, rare, "key").unionByName(pairs(by_two, by_two, "two")).unionByName(pairs(by_one, often, "key"))
     return found.distinct().join(done, ["a", "b"], "left_anti")
 
 
@@ -216,29 +221,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = _ids(docs, id_col, text_col)
     rows = cut(signatures(texts), "jaccard-signatures")
     nodes = rows.where(F.col("bins").isNull()).select("doc_id", "n", "s1", "s2")
-    owners = power_of_two((nodes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 2)).first()[0] or 0) / OWNER_KEYS, 16)
+    owners = power_of_two((nodes.agg(F.sum("n")).first()[0] or 0) * (1 - PERCENT / 100 + 1 / DEPTH) / OWNER_KEYS, 16)
     first = nodes.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    reps = cut(nodes.join(first, ["n", "s1", "s2"]).select("doc_id", "rep", "n"), "jaccard-nodes")
+    reps = cut(nodes.join(first, ["n", "s1", "s2"]).select("doc_id", "rep"), "jaccard-nodes")
+    sets = rows.where("n > 0").join(first.select("rep", "n", "s1", "s2"), ["n", "s1", "s2"]).where(F.col("doc_id") == F.col("rep")).select("rep", "n", *PARITIES)
+    sets = cut(sets.dropDuplicates(["rep", "n", *PARITIES]), "jaccard-sets")
 
     blocks = cut(postings(texts, rarity_classes(rows), owners), "jaccard-postings")
-    shared = shared_postings(blocks, owners).join(reps, "doc_id").select("key", "rep", "n").distinct()
+    shared = shared_postings(blocks, owners).join(reps, "doc_id").select("key", "rep").distinct()
     shared = cut(shared, "jaccard-shared")
 
-    head = shared.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    met = shared.join(head.select("key", "m", F.col("head.rep").alias("b"), F.col("head.n").alias("nb")), "key").where("rep <> b")
-    stars = met.groupBy(F.col("rep").alias("a"), "b", "n", "nb").agg(F.collect_list(F.when(F.col("m") > 2, F.col("key"))).alias("keys"))
+    head = shared.groupBy("key").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    met = shared.join(head, "key").where("rep <> b")
+    stars = met.groupBy(F.col("rep").alias("a"), "b").agg(F.collect_list(F.when(F.col("m") > 2, F.col("key"))).alias("keys"))
     stars = cut(stars, "jaccard-stars")
-    tried = stars.where(near("n", "nb")).select("a", "b")
-    links = cut(similar(tried, texts), "jaccard-links")
+    tried = stars.select("a", "b").join(as_side(sets, "a"), "a").join(as_side(sets, "b"), "b").where(may_be_similar()).select("a", "b")
+    links = cut(similar(tried.distinct(), texts), "jaccard-links")
     comps = cut(components(links, "a", "b"), "jaccard-components")
 
     # lists that a rejected star has to do with
     of = lambda name: comps.select(F.col("node").alias(name), F.col("comp").alias("c" + name))
     apart = stars.where(F.size("keys") > 0).join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
     open_keys = apart.select(F.explode("keys").alias("key")).distinct()
-    lists = shared.join(open_keys, "key", "left_semi").join(comps, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
-    ordered = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = similar(cut(between_components(lists, ordered), "jaccard-candidates"), texts)
+    lists = shared.join(open_keys, "key", "left_semi").join(comps, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
+    ordered = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = similar(cut(between_components(lists, sets, ordered), "jaccard-candidates"), texts)
 
     copies = reps.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     whole = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(cut(more, "jaccard-more")).unionByName(copies), "a", "b")
