@@ -64,6 +64,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_ngram_jaccard_join": jaccard.COMPONENTS_SQL,
+        "op10_suffix_array_dedup": suffix_dedup.REMOVAL_SQL,
         "op3_benchmark_decontamination": decontaminate.CONTAMINATION_SQL.format(documents="documents"),
         "op4_mixing_sources": mixing.REPORT_SQL.format(documents="documents"),
         "op6_exact_dedup": EXACT_SQL,

@@ -90,7 +90,7 @@ def minimizer_blocks(texts: DataFrame, owners: int) -> DataFrame:
 
 def shared_minimizers(blocks: DataFrame, owners: int) -> DataFrame:
     """(doc_id, tag, keys): the minimizers of each document that another one has too."""
-    return exchange.shared_keys(blocks, owners).withColumnsRenamed({"first": "doc_id", "second": "tag"})
+    return exchange.shared_keys(blocks, owners).withColumnsRenamed({"first": "doc_id", "second": "tag"}).drop("shared")
 
 
 OUT = "owner int, doc_id long, tag long, ranges binary, block binary"
@@ -345,3 +345,18 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]], names=names)
 
     return all_rows.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+REMOVAL_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS g FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d WHERE length(h) >= 100)),
+low AS (SELECT g, min(doc_id) AS m FROM s GROUP BY g),
+hit AS (SELECT s.doc_id, s.i FROM s JOIN low USING (g) WHERE low.m < s.doc_id),
+mark AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM hit),
+run AS (SELECT doc_id, min(i) AS b, max(i) + 50 AS e FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM mark) GROUP BY doc_id, r),
+piece AS (SELECT run.doc_id, b, e, substr(h, 2 * coalesce(lag(e) OVER (PARTITION BY run.doc_id ORDER BY b), 0) + 1, 2 * (b - coalesce(lag(e) OVER (PARTITION BY run.doc_id ORDER BY b), 0))) AS kept FROM run JOIN d USING (doc_id)),
+per AS (SELECT doc_id, sum(e - b) AS gone, count(*) AS n, string_agg(kept, '' ORDER BY b) AS kept, max(e) AS last FROM piece GROUP BY doc_id)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN per USING (doc_id)
+"""
