@@ -196,23 +196,34 @@ def between_components(lists: DataFrame, sets: DataFrame, done: DataFrame) -> Da
     size = lists.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
     sized = cut(lists.join(size, "key").join(sets, "rep"), "jaccard-lists")
 
-    def pairs(x: DataFrame, y: DataFrame, key: str) -> DataFrame:
-        left, right = as_side(x, "a", key, F.col("comp").alias("ca")), as_side(y, "b", key, F.col("comp").alias("cb"))
-        met = left.join(right, key).where((F.col("ca") != F.col("cb")) & may_be_similar())
+    def pairs(x: DataFrame, y: DataFrame, key: str, first: Column, once: Column) -> DataFrame:
+        """Pairs that meet at key. first is the value of key at which a pair counts, so that it comes out of
+        the join once and not for every key that it shares."""
+        left = as_side(x, "a", key, F.col("comp").alias("ca"), F.col("keys").alias("ka"))
+        right = as_side(y, "b", key, F.col("comp").alias("cb"), F.col("keys").alias("kb"), "alone")
+        met = left.join(right, key).where((F.col("ca") != F.col("cb")) & once & may_be_similar() & (F.col(key) == first))
         return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
-    rare = sized.where(F.col("m") <= RARE)
-    often = sized.where(F.col("m") > RARE)
+    shared = F.array_sort(F.array_intersect("ka", "kb"))
+    rare, often = sized.where(F.col("m") <= RARE), sized.where(F.col("m") > RARE)
+    few = rare.groupBy("rep").agg(F.sort_array(F.collect_set("key")).alias("keys"))
     each = often.groupBy("rep").agg(F.sort_array(F.collect_set("key")).alias("keys"), F.sum("m").alias("met"))
     twos = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda y: F.xxhash64(x, y))))
     combined = cut(each.where(F.size("keys") <= COMBINED).select("rep", "met", F.explode(twos).alias("two")), "jaccard-combined")
     # combinations pay where they meet fewer documents than the tokens do; not among copies of one text
     met_by_two = combined.join(combined.groupBy("two").agg(F.count(F.lit(1)).alias("m2")), "two").groupBy("rep", "met").agg(F.sum("m2").alias("met2"))
     pays = cut(met_by_two.where("met2 < met").select("rep"), "jaccard-by-two")
-    facts = often.select("rep", "n", "comp", *PARITIES).distinct()
-    by_two = combined.join(pays, "rep", "left_semi").join(facts, "rep")
-    by_one = often.join(pays, "rep", "left_anti")
-    found = pairs(rare, rare, "key").unionByName(pairs(by_two, by_two, "two")).unionByName(pairs(by_one, often, "key"))
+    facts = often.select("rep", "n", "comp", *PARITIES).distinct().join(each.select("rep", "keys"), "rep")
+    by_two = combined.join(pays, "rep", "left_semi").join(facts, "rep").withColumn("alone", F.lit(False))
+    marked = often.join(each.select("rep", "keys"), "rep").join(pays.withColumn("pays", F.lit(True)), "rep", "left")
+    marked = cut(marked.withColumn("alone", F.col("pays").isNull()).drop("pays"), "jaccard-often")
+    rare = rare.join(few, "rep").withColumn("alone", F.lit(False))
+    half = F.col("a") < F.col("b")
+    found = (
+        pairs(rare, rare, "key", F.get(shared, F.lit(0)), half)
+        .unionByName(pairs(by_two, by_two, "two", F.xxhash64(F.get(shared, F.lit(0)), F.get(shared, F.lit(1))), half))
+        .unionByName(pairs(marked.where("alone"), marked, "key", F.get(shared, F.lit(0)), half | ~F.col("alone")))
+    )
     return found.distinct().join(done, ["a", "b"], "left_anti")
 
 
