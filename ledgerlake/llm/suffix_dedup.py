@@ -306,11 +306,16 @@ def _removed(data: bytes, blocks: list) -> tuple[int, int, bytes]:
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes)."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text"))
+    # an id that needs no cast is left as it is: with an alias, Spark would not see that the two joins
+    # below deal the same rows, and would shuffle the texts twice
+    plain = id_col == "doc_id" and dict(docs.dtypes)[id_col] == "bigint"
+    named = F.col("doc_id") if plain else F.col(id_col).cast("long").alias("doc_id")
+    texts = docs.select(named, text_or_empty(F.col(text_col)).alias("text"))
     texts = texts.select("doc_id", F.xxhash64("text").alias("tag"), "text")
     light = cut(texts.select("doc_id", "tag", F.octet_length("text").alias("n"), F.unhex(F.sha2("text", 256)).alias("sha")), "suffix-hashes")
     total = light.agg(F.sum("n")).first()[0] or 0
-    first = light.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("low"))
+    # written, so that Spark can split the join where very many texts are equal
+    first = cut(light.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("low")), "suffix-first")
     own = light.where("doc_id is not null").join(first, "sha").select("doc_id", "tag", (F.col("doc_id") > F.col("low")).alias("copied")).distinct()
     own = cut(own, "suffix-copies")
 
