@@ -1,11 +1,12 @@
 """Main text of web pages by tag-path ratios.
 
 Each text node hangs on a root-to-leaf path of tags. Text length and punctuation are summed per path
-and divided by the nodes that the path has; both ratios are smoothed along the page, fused by their
-product, and a threshold picks the content nodes. The longest chosen path tells the container whose
-other blocks (a headline, a short paragraph) belong to the article too, unless they are mostly links.
-Parts that are never an article (navigation, forms, scripts, adverts, comments ...) are left out
-before, by tag and by the words of class, id and role.
+and divided by the nodes that the path has; both ratios are smoothed along the page and fused by their
+product. A path's score is the geometric mean of its own and its smoothed fused ratio, and a threshold
+picks the content paths. The path with the most weight tells the container, which decides where ratios
+can't: for the headings, lists, tables and other text structure that stand in it, and for doubtful paths
+outside an <article> or <main>. A path with a wrapper of its own in the container is left to its ratios.
+Parts that are never an article (navigation, forms, scripts ...) are left out before, by tag.
 
 One Arrow pass; a page is read whole. Defined results: a null or empty page has an empty text; markup
 that is cut off or never closed is read as far as it goes; pages without any container give their text.
@@ -47,7 +48,12 @@ OTHER = {
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = {"table", "td", "th", "div", "section", "article", "main", "body", "ul", "ol", "dl", "blockquote", "aside", "nav", "header", "footer", "form"}
 MARKS = re.compile(r"[.,;:!?…。，！？、»«\"]")
-FUSED, LINKS = 0.15, 0.5
+#: Tags that say nothing of the text in them, and those that give it a structure.
+WRAPS = {"div", "section", "center", "article", "details", "dir", "hgroup", "address"}
+SHAPES = {"ul", "ol", "dl", "table", "pre", "blockquote", "figure", "caption"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Shares of the best path's score: content by itself, and content outside an <article> or <main>.
+FUSED, CLEAR, LINKS = 0.15, 0.5, 0.5
 
 
 def _other(tag: str, attributes: str, stack: list) -> bool:
@@ -146,18 +152,33 @@ def main_text(page: str | None) -> str:
         marks[path] = marks.get(path, 0) + len(MARKS.findall(text))
         nodes[path] = nodes.get(path, 0) + 1
     fused = _smooth(np.array([length[p] / nodes[p] for p, _, _ in found])) * (1 + _smooth(np.array([marks[p] / nodes[p] for p, _, _ in found])))
+    near: dict[tuple[str, ...], float] = {}
     weight: dict[tuple[str, ...], float] = {}
     for (path, text, linked), f in zip(found, fused):
+        near[path] = near.get(path, 0.0) + f / nodes[path]
         if linked < LINKS * len(text):
             weight[path] = weight.get(path, 0.0) + f * len(text)
     if not weight:
         return "\n\n".join(t for _, t, _ in found)
+    score = {p: float(np.sqrt(near[p] * length[p] / nodes[p] * (1 + marks[p] / nodes[p]))) for p in nodes}
     best = max(weight, key=lambda p: (weight[p], p))
-    inside = [t for t in best if t in ("article", "main")]
-    container = best[: best.index(inside[0]) + 1] if inside else best[:-1] if len(best) > 1 else best
-    least = FUSED * max(f for (p, _, _), f in zip(found, fused) if p == best)
-    chosen = [t for (p, t, linked), f in zip(found, fused) if linked < LINKS * len(t) and (p[: len(container)] == container or f >= least and not inside)]
-    return "\n\n".join(chosen)
+    named = [t for t in best if t in ("article", "main")]
+    container = best[: best.index(named[0]) + 1] if named else best[:-1] if len(best) > 1 else best
+
+    def content(path: tuple[str, ...]) -> bool:
+        share = score[path] / score[best]
+        if path[: len(container)] != container:
+            return share >= (CLEAR if named else FUSED)
+        own = path[next((i for i, (x, y) in enumerate(zip(path, best)) if x != y), min(len(path), len(best))) :]
+        beside = not named and path == container  # by its path it may as well stand in another element
+        return share >= FUSED or bool(SHAPES & set(own)) or not (beside or WRAPS & set(own))
+
+    keep = [linked < LINKS * len(t) and content(p) for p, t, linked in found]
+    for i in range(len(found) - 2, -1, -1):  # a heading goes with what it stands above
+        (path, _, _), (after, _, _) = found[i], found[i + 1]
+        if path[-1:] and path[-1] in HEADINGS and path[:-1] == after[: len(path) - 1] and path[: len(container)] == container:
+            keep[i] = keep[i + 1]
+    return "\n\n".join(t for (_, t, _), k in zip(found, keep) if k)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

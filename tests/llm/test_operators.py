@@ -384,6 +384,23 @@ def test_html(spark):
     assert html_text.extract(df.where("false")).count() == 0
 
 
+def test_html_ratios_decide():
+    """Boxes without a label within and beside the article: only their ratios tell them from its text."""
+    say = "The council met on Monday, spoke for hours, and agreed at last. Nobody, it was said, had hoped for that; all were glad. "
+    text = [f"Part {i}. " + say * 3 for i in range(8)]
+    ps = [f"<p>{t}</p>" for t in text]
+    box = "<div>Buy two lamps now</div>"
+    note = "<section><h3>Readers say</h3><p>nice one</p></section>"
+    table = "<div><table><tr><td>Votes<td>12</table></div><ul><li>a point</ul><h2>Next</h2>"
+    for tag in ("article", "main", "div"):
+        page = f"<body><div>Top of the site</div><{tag}><h1>Head</h1>{ps[0]}{ps[1]}{box}{ps[2]}{ps[3]}{note}{table}{''.join(ps[4:])}</{tag}><div>Bottom</div>"
+        want = ["Head", *(t.strip() for t in text[:4]), "Votes", "12", "a point", "Next", *(t.strip() for t in text[4:])]
+        assert html_text.main_text(page).split("\n\n") == want
+    # as much text, as well marked, is content though it stands beside the container
+    page = f"<body><article><h1>Head</h1>{''.join(ps[:5])}</article><div>{''.join(ps[5:])}</div>"
+    assert html_text.main_text(page).split("\n\n") == ["Head", *(t.strip() for t in text)]
+
+
 def test_suffix_dedup(docs, none, plain):
     seen, want = set(), {}
     for i in sorted(plain):
