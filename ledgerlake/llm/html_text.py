@@ -6,7 +6,9 @@ product. A path's score is the geometric mean of its own and its smoothed fused
 picks the content paths. The path with the most weight tells the container, which decides where ratios
 can't: for the headings, lists, tables and other text structure that stand in it, and for doubtful paths
 outside an <article> or <main>. A path with a wrapper of its own in the container is left to its ratios.
-Parts that are never an article (navigation, forms, scripts ...) are left out before, by tag.
+Parts that are never an article (navigation, forms, scripts ...) are left out before, by tag. Words of
+class, id and role that name other parts, and links, only lower the score of a path: words on what holds
+the path with the most weight count for nothing, and links within the container don't count.
 
 One Arrow pass; a page is read whole. Defined results: a null or empty page has an empty text; markup
 that is cut off or never closed is read as far as it goes; pages without any container give their text.
@@ -15,6 +17,7 @@ that is cut off or never closed is read as far as it goes; pages without any con
 from __future__ import annotations
 
 import html
+import math
 import re
 
 import numpy as np
@@ -54,26 +57,38 @@ SHAPES = {"ul", "ol", "dl", "table", "pre", "blockquote", "figure", "caption"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Shares of the best path's score: content by itself, and content outside an <article> or <main>.
 FUSED, CLEAR, LINKS = 0.15, 0.5, 0.5
-
-
-def _other(tag: str, attributes: str, stack: list) -> bool:
-    if tag in NEVER or (tag == "header" and not any(t in ("article", "main", "section") for t, _, _ in stack)):
-        return True
+#: Factors of a name of another part (a whole name, a word of one), and of either on a section of the article.
+NAMES, SECTION = {"!": 0.1, "~": 0.3}, 0.4
+#: The best path has no whole name below its last <article> or <main>, where so much of the text has none.
+UNNAMED = 0.1
+
+
+def _other(tag: str, attributes: str, stack: list) -> tuple[bool, str]:
+    """Whether an element is left out, and its mark: ! if a class, id or role of it names another part of
+    a page, ~ if a word of one does."""
+    if tag in NEVER or (tag == "header" and not any(t in ("article", "main", "section") for t, *_ in stack)):
+        return True, ""
+    mark = ""
     for name, value in ATTRIBUTE.findall(attributes) if attributes.strip() else ():
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" and not value or name == "aria-hidden" and value == "true":
-            return True
+            return True, ""
         if name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main") and OTHER & set(re.split(r"[^a-z]+", value)):
-            return True
-    return False
+            return True, ""
+        if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main") and mark != "!":
+            mark = "!" if OTHER & set(value.split()) else "~" if OTHER & set(re.split(r"[^a-z]+", value)) else mark
+    return False, mark
+
+
+def _tag(element: str) -> str:
+    return element.rstrip("!~")
 
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path, text, characters within links) of each block that may be content, in page order."""
+    """(path, text, characters within links) of each block that may be content, in page order. A path has
+    its elements' marks."""
     out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, left out, link
+    stack: list[tuple[str, bool, bool, str]] = []  # tag, left out, link, mark
     buffer: list[str] = []
     path: tuple[str, ...] = ()
     linked = at = 0
@@ -95,7 +110,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 continue
             if not (stack and stack[-1][1]):
                 if not buffer:
-                    path = tuple(t for t, _, _ in stack if t in BLOCK)
+                    path = tuple(t + mark for t, _, _, mark in stack if t in BLOCK)
                 text = html.unescape(m[0])
                 buffer.append(text)
                 if stack and stack[-1][2]:
@@ -130,8 +145,8 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             if tag in ("br", "hr", "wbr") and buffer and tag != "wbr":
                 buffer.append(" ")
             continue
-        left_out = bool(stack and stack[-1][1]) or _other(tag, m[3], stack)
-        stack.append((tag, left_out, tag == "a" or bool(stack and stack[-1][2])))
+        left_out, mark = (True, "") if stack and stack[-1][1] else _other(tag, m[3], stack)
+        stack.append((tag, left_out, tag == "a" or bool(stack and stack[-1][2]), mark))
     flush()
     return out
 
@@ -146,37 +161,46 @@ def main_text(page: str | None) -> str:
     found = blocks(page or "")
     if not found:
         return ""
-    length, marks, nodes = {}, {}, {}
-    for path, text, _ in found:
+    length, marks, nodes, links = {}, {}, {}, {}
+    for path, text, linked in found:
         length[path] = length.get(path, 0) + len(text)
         marks[path] = marks.get(path, 0) + len(MARKS.findall(text))
         nodes[path] = nodes.get(path, 0) + 1
+        links[path] = links.get(path, 0) + linked
     fused = _smooth(np.array([length[p] / nodes[p] for p, _, _ in found])) * (1 + _smooth(np.array([marks[p] / nodes[p] for p, _, _ in found])))
     near: dict[tuple[str, ...], float] = {}
     weight: dict[tuple[str, ...], float] = {}
-    for (path, text, linked), f in zip(found, fused):
+    unlinked = {p: max(0.0, 1 - links[p] / length[p]) for p in nodes}
+    for (path, text, _), f in zip(found, fused):
         near[path] = near.get(path, 0.0) + f / nodes[path]
-        if linked < LINKS * len(text):
-            weight[path] = weight.get(path, 0.0) + f * len(text)
-    if not weight:
+        weight[path] = weight.get(path, 0.0) + f * len(text) * unlinked[path] * math.prod(NAMES.get(x[-1], 1) for x in path)
+    if not max(weight.values()):
         return "\n\n".join(t for _, t, _ in found)
     score = {p: float(np.sqrt(near[p] * length[p] / nodes[p] * (1 + marks[p] / nodes[p]))) for p in nodes}
-    best = max(weight, key=lambda p: (weight[p], p))
+    unnamed = [p for p in nodes if not any(x[-1] == "!" for x in p[max((i for i, x in enumerate(p) if x in ("article", "main")), default=0) :])]
+    able = {p: length[p] * unlinked[p] for p in nodes}
+    best = max(unnamed if sum(able[p] for p in unnamed) >= UNNAMED * sum(able.values()) else nodes, key=lambda p: (weight[p], p))
     named = [t for t in best if t in ("article", "main")]
     container = best[: best.index(named[0]) + 1] if named else best[:-1] if len(best) > 1 else best
 
     def content(path: tuple[str, ...]) -> bool:
         share = score[path] / score[best]
-        if path[: len(container)] != container:
-            return share >= (CLEAR if named else FUSED)
+        inside = path[: len(container)] == container
         own = path[next((i for i, (x, y) in enumerate(zip(path, best)) if x != y), min(len(path), len(best))) :]
+        other = [x for x in own if x[-1] in NAMES]
+        if other:  # well marked as it may be, it is no more content than the best
+            share = min(share, 1.0) * math.prod(SECTION if _tag(x) == "section" and inside and named else NAMES[x[-1]] for x in other)
+        if not inside or other or _tag(container[-1] if container else "body") in ("html", "body") and unlinked[path] <= LINKS:
+            return share * unlinked[path] >= (CLEAR if named and not inside else FUSED)
         beside = not named and path == container  # by its path it may as well stand in another element
-        return share >= FUSED or bool(SHAPES & set(own)) or not (beside or WRAPS & set(own))
+        tags = {_tag(x) for x in own}
+        return share >= FUSED or bool(SHAPES & tags) or not (beside or WRAPS & tags)
 
-    keep = [linked < LINKS * len(t) and content(p) for p, t, linked in found]
+    chosen = {p: content(p) for p in nodes}
+    keep = [chosen[p] for p, _, _ in found]
     for i in range(len(found) - 2, -1, -1):  # a heading goes with what it stands above
         (path, _, _), (after, _, _) = found[i], found[i + 1]
-        if path[-1:] and path[-1] in HEADINGS and path[:-1] == after[: len(path) - 1] and path[: len(container)] == container:
+        if path[-1:] and _tag(path[-1]) in HEADINGS and path[:-1] == after[: len(path) - 1] and path[: len(container)] == container:
             keep[i] = keep[i + 1]
     return "\n\n".join(t for (_, t, _), k in zip(found, keep) if k)
 

@@ -401,6 +401,24 @@ def test_html_ratios_decide():
     assert html_text.main_text(page).split("\n\n") == ["Head", *(t.strip() for t in text)]
 
 
+def test_html_names_and_links_are_evidence():
+    """Class words and links lower a path's score; they drop neither what holds the article nor its links."""
+    say = "The council met on Monday, spoke for hours, and agreed at last. Nobody, it was said, had hoped for that; all were glad. "
+    text = [f"Part {i}. " + say * 3 for i in range(6)]
+    body, want = "".join(f"<p>{t}</p>" for t in text), [t.strip() for t in text]
+    rest = '<div class="sidebar"><p>Side text, here.</p></div><div class="ad">Buy it, now.</div><div id="comment-list"><p>Nice, thanks!</p></div>'
+    links = '<ul><li><a href=a>First source</a></li><li><a href=b>Second source</a></li></ul><p><a href=c>A linked line</a></p>'
+    for wrap in ("layout with-sidebar", "has-banner", "search-results", "related"):
+        for tag in ("article", "main", "div"):
+            page = f'<body><ul><li><a href=m>Menu</a><li><a href=n>More</a></ul><div class="{wrap}"><{tag}>{body}{links}</{tag}>{rest}</div></body>'
+            assert html_text.main_text(page).split("\n\n") == [*want, "First source", "Second source", "A linked line"], (wrap, tag)
+    for name in ("related", "notice"):
+        page = f'<body><article>{body}<section class="{name}">{body}</section><div class="ad">Buy it, now.</div></article>{rest}</body>'
+        assert html_text.main_text(page).split("\n\n") == want * 2, name
+    short = '<body><div class="ad">Now, in our shop: lamps, chairs, tables. All of them, today.</div><article><h1>It is so.</h1><p>It is so.</p></article></body>'
+    assert html_text.main_text(short) == "It is so.\n\nIt is so."
+
+
 def test_suffix_dedup(docs, none, plain):
     seen, want = set(), {}
     for i in sorted(plain):
