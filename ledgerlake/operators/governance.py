@@ -200,6 +200,10 @@ class Governed:
         self.audit.append({"at": self.now(), "tool": tool, "tenant": token.tenant if token else None, "tables": tables, "success": error is None, "error": error, **more})
 
     def query(self, id: str, select: Select, *params, ts: str | None = None, pos: str | None = None, stream: str | None = None) -> DataFrame:
+        """The selected rows that the token's scope shows: its max_rows at most, or 1,000 if it has none."""
+        return self._read(id, select, params, DEFAULT_ROWS, ts, pos, stream)
+
+    def _read(self, id: str, select: Select, params: tuple, default: int, ts: str | None = None, pos: str | None = None, stream: str | None = None) -> DataFrame:
         token = None
         try:
             token = self.tokens.use(id, self.now())
@@ -209,7 +213,8 @@ class Governed:
             rows = replace(bound, columns=None, order=(), most=None).build(self.catalog)
             order = [F.col(n).desc_nulls_last() if down else F.col(n).asc_nulls_first() for n, down in bound.order]
             rows = rows.orderBy(*order) if order else rows
-            most = min(x for x in (bound.most, token.scope.max_rows, DEFAULT_ROWS) if x is not None)
+            cap = default if token.scope.max_rows is None else token.scope.max_rows
+            most = cap if bound.most is None else min(bound.most, cap)
             seen = token.scope.restrict(rows, ts, pos, stream)
             if wanted is not None:
                 seen = seen.select(*[F.col(o).alias(n) for o, n in wanted if o in seen.columns])
@@ -221,9 +226,10 @@ class Governed:
         return out
 
     def export(self, id: str, table: str, key: list[str], kind: str = "json", limit: int | None = None) -> tuple[DataFrame, DataFrame]:
-        """(lines, proof) of a table's export: limit is 1,000 unless asked for, and 10,000 at most."""
-        most = min(limit or DEFAULT_ROWS, MOST_EXPORTED)
-        rows = self.query(id, Select(table).order_by(*key).limit(most))
+        """(lines, proof) of a table's export: limit is 1,000 unless asked for, and 10,000 at most; the
+        scope's max_rows may lower it."""
+        most = min(DEFAULT_ROWS if limit is None else limit, MOST_EXPORTED)
+        rows = self._read(id, Select(table).order_by(*key).limit(most), (), MOST_EXPORTED)
         lines = (json_lines if kind == "json" else csv_lines)(rows, key)
         self._note("export", self.tokens.tokens.get(id), [table], None)
         return lines, content_hash(lines, key)

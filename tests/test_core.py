@@ -222,6 +222,21 @@ def test_tokens_and_scope(users):
     assert governance.list_tables(users, governance.Scope()) == [("users", ["id", "name", "age"], False)]
 
 
+def test_row_caps(spark):
+    """A scope's max_rows replaces the default of 1,000 rows; exports go to the limit asked for, 10,000 at most."""
+    made = Catalog().add(TableDef("n", spark.range(12_000), ("id",)))
+    store = governance.TokenStore()
+    for name, most in (("free", None), ("wide", 5000), ("tight", 20)):
+        store.issue("t", governance.Scope(frozenset({"n"}), max_rows=most), NOW, timedelta(hours=1), id=name)
+    g = governance.Governed(made, store, lambda: NOW)
+    assert [g.query(x, Select("n").order_by("id")).count() for x in ("free", "wide", "tight")] == [1000, 5000, 20]
+    assert g.query("wide", Select("n").order_by("id").limit(3000)).count() == 3000
+    for name, limit, want in (("free", None, 1000), ("free", 5000, 5000), ("free", 20_000, 10_000), ("wide", 7000, 5000), ("wide", None, 1000), ("tight", 5000, 20)):
+        lines, proof = g.export(name, "n", ["id"], "csv", limit)
+        hashes = "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(want))
+        assert lines.count() == want and tuple(proof.first()) == (want, hashlib.sha256(hashes.encode()).hexdigest())
+
+
 def test_checks(spark):
     empty = spark.createDataFrame([], "a string")
     assert tuple(checks.k_anonymity(empty, ["a"], 2).first()) == (0, False, 0, 0)
