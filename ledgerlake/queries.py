@@ -340,6 +340,11 @@ def partial_mask(spark, sf):
     return table(spark, sf, "documents").select("doc_id", A.partial_mask(F.split_part("text", F.lit(" "), F.lit(1)), 2, 4).alias("partial"))
 
 
+@query("SELECT doc_id, CASE WHEN length(t) <= 6 THEN repeat('*', length(t)) ELSE left(t, 2) || repeat('*', length(t) - 6) || right(t, 4) END AS partial FROM (SELECT doc_id, text AS t FROM documents)")
+def partial_mask_whole(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", A.partial_mask(F.col("text"), 2, 4).alias("partial"))
+
+
 @query("SELECT c_custkey, left(c_name, 4) || repeat('*', greatest(length(c_name) - 4, 0)) AS prefix, repeat('*', greatest(length(c_name) - 3, 0)) || right(c_name, 3) AS suffix FROM customer")
 def preserve_masks(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", A.mask_but_prefix(F.col("c_name"), 4).alias("prefix"), A.mask_but_suffix(F.col("c_name"), 3).alias("suffix"))

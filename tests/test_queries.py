@@ -43,3 +43,9 @@ def test_query(spark, duck, sf, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
+
+
+def test_partial_mask_reads_whole_texts(spark, sf):
+    texts = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) > 6").selectExpr("doc_id", "length(text) AS n", "right(text, 4) AS tail")
+    got = QUERIES["partial_mask_whole"](spark, sf).join(texts, "doc_id")
+    assert got.count() == texts.count() > 0 and got.where("length(partial) <> n OR right(partial, 4) <> tail").count() == 0
