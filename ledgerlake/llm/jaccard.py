@@ -227,9 +227,9 @@ def between_components(lists: DataFrame, sets: DataFrame, done: DataFrame) -> Da
     return found.distinct().join(done, ["a", "b"], "left_anti")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id."""
-    texts = _ids(docs, id_col, text_col)
+def _lists(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Steps 1 and 2: nodes(doc_id, n, s1, s2), first(n, s1, s2, rep), reps(doc_id, rep), sets(rep, n, o0 ...)
+    and shared(key, rep)."""
     rows = cut(signatures(texts), "jaccard-signatures")
     nodes = rows.where(F.col("bins").isNull()).select("doc_id", "n", "s1", "s2")
     owners = power_of_two((nodes.agg(F.sum("n")).first()[0] or 0) * (1 - PERCENT / 100 + 1 / DEPTH) / OWNER_KEYS, 16)
@@ -240,7 +240,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     blocks = cut(postings(texts, rarity_classes(rows), owners), "jaccard-postings")
     shared = shared_postings(blocks, owners).join(reps, "doc_id").select("key", "rep").distinct()
-    shared = cut(shared, "jaccard-shared")
+    return nodes, first, reps, sets, cut(shared, "jaccard-shared")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id."""
+    texts = _ids(docs, id_col, text_col)
+    nodes, _, reps, sets, shared = _lists(texts)
 
     head = shared.groupBy("key").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("m")).where("m > 1")
     met = shared.join(head, "key").where("rep <> b")
@@ -264,6 +270,38 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
 
 
+def _all_links(texts: DataFrame, sets: DataFrame, shared: DataFrame) -> DataFrame:
+    """links(a, b), a < b: every pair of different sets that are similar, as step 4 finds them where each set is
+    a component of its own. They grow with the square of a group of near copies, as the result does."""
+    lists = shared.select("key", "rep", F.col("rep").alias("comp"))
+    none = sets.select(F.col("rep").alias("a"), F.col("rep").alias("b")).where(F.lit(False))
+    return cut(similar(cut(between_components(lists, sets, none), "jaccard-all-candidates"), texts), "jaccard-all-links")
+
+
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(links, members): links(a, b) between all similar representatives of different sets, and
+    members(doc_id, rep). Documents of one representative have equal sets and are linked too."""
+    texts = _ids(docs, id_col, text_col)
+    _, _, reps, sets, shared = _lists(texts)
+    return _all_links(texts, sets, shared), reps.where("doc_id is not null").distinct()
+
+
+def jaccard_link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, n_links (other documents with a similar set)."""
+    texts = _ids(docs, id_col, text_col)
+    nodes, first, reps, sets, shared = _lists(texts)
+    links, members = _all_links(texts, sets, shared), cut(reps.where("doc_id is not null").distinct(), "jaccard-members")
+    size = members.groupBy("rep").agg(F.count(F.lit(1)).alias("m"))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    other = both.join(size, F.col("b") == F.col("rep")).groupBy("a").agg(F.sum("m").alias("others"))
+    counts = size.join(other, F.col("rep") == F.col("a"), "left").select("rep", (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    copies = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    whole = components(links.unionByName(copies), "a", "b")
+    out = nodes.join(first, ["n", "s1", "s2"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
+    out = out.join(counts, "rep", "left").join(whole, F.col("doc_id") == F.col("node"), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs without those whose group has a document with a smaller id."""
     found = jaccard_components(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("dropped")).distinct().hint("merge")

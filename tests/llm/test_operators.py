@@ -108,6 +108,23 @@ def test_jaccard_frequent_lists(spark, plain, monkeypatch):
     assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs).collect()} == want
 
 
+def test_jaccard_links(docs, none, plain, monkeypatch):
+    """Every link between different sets, and the number of links of each document."""
+    sets = {i: shingle_set(t) for i, t in plain.items()}
+    near = {(a, b) for a in plain for b in plain if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    comp = components(plain, lambda a, b: (min(a, b), max(a, b)) in near)
+    want = {i: (len(sets[i]), comp[i], sum(i in p for p in near)) for i in plain}
+    for rare, combined in ((jaccard.RARE, jaccard.COMBINED), (3, 8)):
+        monkeypatch.setattr(jaccard, "RARE", rare)
+        monkeypatch.setattr(jaccard, "COMBINED", combined)
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.jaccard_link_counts(docs).collect()}
+        assert got == want
+    links, members = jaccard.jaccard_links(docs)
+    assert {(r.a, r.b) for r in links.collect()} == {p for p in near if all(sets[i] != sets[j] for i in p for j in range(i))}
+    assert {r.doc_id: sets[r.rep] for r in members.collect()} == {i: x for i, x in sets.items() if x}
+    assert len(near) > 500 and jaccard.jaccard_link_counts(none).count() == 0
+
+
 def test_jaccard_repeats_and_null_ids(spark):
     t = "the cat sat on the mat and looked at the dog"
     rows = [(5, t, "s"), (5, t, "s"), (None, t, "s"), (3, t.upper(), "s")]
