@@ -1,7 +1,7 @@
 """N-gram Jaccard join: all documents whose sets of word shingles are similar, as components.
 
 Every text's set is ordered by rarity. Two sets of similarity t share at least k elements in their
-prefixes of n - ceil(t n) + k elements. The prefixes here are extended to k = 2:
+prefixes of n - ceil(t n) + k elements. The prefixes here are extended to k = 3:
 
 1. A sketch of BINS counters over all shingles gives each a rarity class; rarer ones come first.
 2. Prefix elements that occur in two documents or more are found by a Golomb-coded exchange. It counts
@@ -10,17 +10,24 @@ prefixes of n - ceil(t n) + k elements. The prefixes here are extended to k = 2:
 3. Each document is verified against the smallest document of each of its lists; a group of near
    copies is joined by as many verifications as it has members. Before a verification, sizes and a
    parity sketch bound the overlap from above, without loss.
-4. Lists that still hold several components are taken up again, between components only: a rare
-   token (RARE documents or fewer) by itself; frequent ones as combinations of two tokens of a
-   document, as two sets that share no rare token share two frequent ones. Documents whose
-   combinations would be more than COMBINED tokens give, or would meet no fewer documents than the
-   tokens do, are joined to their lists by single tokens instead.
-
-Documents with equal sets are one node throughout. Sets are compared by 64-bit hashes of shingles.
+4. Lists that still hold several components are centred again, in rounds: each list takes another of its
+   documents, and members of other components are verified against that one. Components are united and
+   lists of one component closed after each round, as long as a tenth of the verified pairs are links.
+5. What is left is indexed by combinations of tokens, whose number grows with the tokens' frequency: a
+   rare token (RARE documents or fewer) by itself, a frequent one with one other, and tokens of more
+   than COMMON documents by threes. Three shared elements always meet: if one is rare, by it; if not,
+   but one is no more than frequent, by that one and another; else by all three. Only pairs of
+   different components count. Documents of which there would be more than COMBINED combinations, or
+   whose combinations would meet no fewer documents than the tokens do, are joined to their lists by
+   single tokens instead; the result is the same.
+
+Documents with equal sets are one node throughout. Shingles are compared by 64-bit hashes of words that
+have two hashes each, built differently (textnp.py).
 
 Defined results: a null or empty text has no shingles, no links and itself as component; a text of
-fewer than five words is one shingle; rows that repeat an id are one node with either text; a null
-id is linked with nothing; extra columns are ignored.
+fewer than five words is one shingle; very long texts are read whole; rows that repeat an id are one
+node with either text; a null id is linked with nothing; of ties, the smallest id names a component;
+empty tables give no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,9 +47,13 @@ from ledgerlake.llm.textnp import U, mix, shingle_sets
 SHINGLE, PERCENT = 5, 80
 #: Bits of the sketch, pieces that it is summed in, keys of a chunk and of an owner.
 SKETCH_BITS, PIECES, CHUNK_KEYS, OWNER_KEYS = 20, 16, 1 << 20, 1 << 21
-#: A list of so many documents or fewer is rare; a document with more frequent tokens than COMBINED
-#: goes by single tokens.
-RARE, COMBINED = 32, 64
+#: Shared elements that prefixes are extended for, and the classes of lists by their documents: by themselves
+#: up to RARE, in twos up to COMMON, in threes beyond. Combinations of a document, at most.
+SHARED, RARE, COMMON, COMBINED = 3, 32, 1024, 2048
+#: Least shared keys that a row carries, to tell where a pair counts.
+LEAST = 16
+#: Rounds of new centres go on while one in TENTH of a round's pairs is a link, and ROUNDS at most.
+ROUNDS, TENTH = 12, 10
 #: The counted prefix is extended by one DEPTH-th of the set.
 DEPTH = 5
 LOW58 = U((1 << 58) - 1)
@@ -112,23 +123,23 @@ def least_overlap(n: int) -> int:
 
 def depth(n: int) -> int:
     """Elements by which the counted prefix of a set of n is extended: similar sets share as many in it."""
-    return min(least_overlap(n), max(2, n // DEPTH))
+    return min(least_overlap(n), max(SHARED, n // DEPTH))
 
 
 def least_shared(n: Column) -> Column:
     """depth() of the smallest set that is similar to one of n, as a column."""
     small = F.ceil(n * PERCENT / 100)
-    return F.least(F.ceil(small * PERCENT / 100), F.greatest(F.lit(2), F.floor(small / DEPTH)))
+    return F.least(F.ceil(small * PERCENT / 100), F.greatest(F.lit(SHARED), F.floor(small / DEPTH)))
 
 
 def prefix_keys(hashes: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The keys of a set's extended prefix, its rarest elements, and which of them are in the prefix for
-    two shared elements."""
+    SHARED shared elements."""
     tokens = (classes[hashes >> U(64 - SKETCH_BITS)].astype(np.uint64) << U(58)) | (hashes & LOW58)
     tokens.sort()
     n = len(tokens)
     tokens = tokens[: n - least_overlap(n) + depth(n)]
-    return mix(tokens) >> U(64 - exchange.KEY_BITS), np.arange(len(tokens)) < n - least_overlap(n) + 2
+    return mix(tokens) >> U(64 - exchange.KEY_BITS), np.arange(len(tokens)) < n - least_overlap(n) + SHARED
 
 
 def postings(texts: DataFrame, classes: bytes, owners: int) -> DataFrame:
@@ -191,42 +202,80 @@ def as_side(rows: DataFrame, side: str, *others: str) -> DataFrame:
 
 
 def between_components(lists: DataFrame, sets: DataFrame, done: DataFrame) -> DataFrame:
-    """lists(key, rep, comp) -> pairs(a, b) of different components that step 4 has to verify, but for those
+    """lists(key, rep, comp) -> pairs(a, b) of different components that step 5 has to verify, but for those
     in done(a, b). Sizes and sketches are compared within the joins."""
     size = lists.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
-    sized = cut(lists.join(size, "key").join(sets, "rep"), "jaccard-lists")
+    of_class = lambda low, high: F.sort_array(F.collect_set(F.when((F.col("m") > low) & (F.col("m") <= high), F.col("key"))))
+    sized = cut(lists.join(size, "key"), "jaccard-lists")
+    most = F.lit(2**62)
+    held = sized.groupBy("rep").agg(of_class(0, RARE).alias("rare"), of_class(RARE, COMMON).alias("often"), of_class(COMMON, most).alias("common"), F.sum(F.when(F.col("m") > RARE, F.col("m"))).alias("met"))
+
+    # combinations: two tokens of which one is frequent, or three common ones
+    both, each = F.concat("often", "common"), lambda keys, f: F.flatten(F.transform(keys, f))
+    twos = each("often", lambda x, i: F.transform(F.slice(both, i + 2, F.size(both)), lambda y: F.xxhash64(x, y)))
+    threes = each("common", lambda x, i: each(F.slice("common", i + 2, F.size("common")), lambda y, j: F.transform(F.slice("common", i + j + 3, F.size("common")), lambda z: F.xxhash64(x, y, z))))
+    o, c = F.size("often").cast("double"), F.size("common").cast("double")
+    number = o * (o - 1) / 2 + o * c + c * (c - 1) * (c - 2) / 6
+    combined = cut(held.where((number > 0) & (number <= COMBINED)).select("rep", "met", F.explode(F.concat(twos, threes)).alias("combination")), "jaccard-combined")
+    # combinations pay where they meet fewer documents than the tokens do; not among copies of one text
+    met_by = combined.join(combined.groupBy("combination").agg(F.count(F.lit(1)).alias("m2")), "combination").groupBy("rep", "met").agg(F.sum("m2").alias("met2"))
+    pays = cut(met_by.where("met2 < met").select(F.col("rep").alias("pays")), "jaccard-pays")
+
+    comps = sized.select("rep", "comp").distinct()
+    facts = held.join(comps, "rep").join(sets, "rep").join(pays, F.col("rep") == F.col("pays"), "left")
+    least = [F.slice(k, 1, LEAST).alias(k) for k in ("rare", "often", "common")]
+    facts = cut(facts.select("rep", "comp", "n", *PARITIES, *least, (F.col("pays").isNull() & (F.size("often") + F.size("common") > 0)).alias("alone")), "jaccard-facts")
+
+    def side(x: DataFrame, name: str, key: str, keep: tuple) -> DataFrame:
+        more = [F.col(k).alias(k + name) for k in (*keep, "comp", "alone")]
+        return as_side(x.join(facts, "rep"), name, key, *more)
 
-    def pairs(x: DataFrame, y: DataFrame, key: str, first: Column, once: Column) -> DataFrame:
+    def pairs(x: DataFrame, y: DataFrame, key: str, keep: tuple, first: Column, once: Column) -> DataFrame:
         """Pairs that meet at key. first is the value of key at which a pair counts, so that it comes out of
-        the join once and not for every key that it shares."""
-        left = as_side(x, "a", key, F.col("comp").alias("ca"), F.col("keys").alias("ka"))
-        right = as_side(y, "b", key, F.col("comp").alias("cb"), F.col("keys").alias("kb"), "alone")
-        met = left.join(right, key).where((F.col("ca") != F.col("cb")) & once & may_be_similar() & (F.col(key) == first))
+        the join once and not for every key that it shares; null where the LEAST keys don't tell."""
+        met = side(x, "a", key, keep).join(side(y, "b", key, keep), key).where((F.col("compa") != F.col("compb")) & once & may_be_similar() & F.coalesce(F.col(key) == first, F.lit(True)))
         return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
-    shared = F.array_sort(F.array_intersect("ka", "kb"))
-    rare, often = sized.where(F.col("m") <= RARE), sized.where(F.col("m") > RARE)
-    few = rare.groupBy("rep").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-    each = often.groupBy("rep").agg(F.sort_array(F.collect_set("key")).alias("keys"), F.sum("m").alias("met"))
-    twos = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda y: F.xxhash64(x, y))))
-    combined = cut(each.where(F.size("keys") <= COMBINED).select("rep", "met", F.explode(twos).alias("two")), "jaccard-combined")
-    # combinations pay where they meet fewer documents than the tokens do; not among copies of one text
-    met_by_two = combined.join(combined.groupBy("two").agg(F.count(F.lit(1)).alias("m2")), "two").groupBy("rep", "met").agg(F.sum("m2").alias("met2"))
-    pays = cut(met_by_two.where("met2 < met").select("rep"), "jaccard-by-two")
-    facts = often.select("rep", "n", "comp", *PARITIES).distinct().join(each.select("rep", "keys"), "rep")
-    by_two = combined.join(pays, "rep", "left_semi").join(facts, "rep").withColumn("alone", F.lit(False))
-    marked = often.join(each.select("rep", "keys"), "rep").join(pays.withColumn("pays", F.lit(True)), "rep", "left")
-    marked = cut(marked.withColumn("alone", F.col("pays").isNull()).drop("pays"), "jaccard-often")
-    rare = rare.join(few, "rep").withColumn("alone", F.lit(False))
+    shared = lambda k: F.array_sort(F.array_intersect(k + "a", k + "b"))
+    at = lambda k, i: F.get(shared(k), F.lit(i))
+    some = F.concat(shared("often"), shared("common"))
+    two, three = (F.size(shared("often")) > 0) & (F.size(some) > 1), F.size(shared("common")) > 2
+    by_combination = F.when(two, F.xxhash64(F.get(some, F.lit(0)), F.get(some, F.lit(1)))).when(three, F.xxhash64(at("common", 0), at("common", 1), at("common", 2)))
     half = F.col("a") < F.col("b")
+    rows = sized.select("key", "rep", "m")
+    rare, often = rows.where(F.col("m") <= RARE).drop("m"), rows.where(F.col("m") > RARE).drop("m")
+    single = often.join(facts.where("alone").select("rep"), "rep", "left_semi")
+    paid = combined.join(pays, F.col("rep") == F.col("pays"), "left_semi").select("combination", "rep")
     found = (
-        pairs(rare, rare, "key", F.get(shared, F.lit(0)), half)
-        .unionByName(pairs(by_two, by_two, "two", F.xxhash64(F.get(shared, F.lit(0)), F.get(shared, F.lit(1))), half))
-        .unionByName(pairs(marked.where("alone"), marked, "key", F.get(shared, F.lit(0)), half | ~F.col("alone")))
+        pairs(rare, rare, "key", ("rare",), at("rare", 0), half)
+        .unionByName(pairs(paid, paid, "combination", ("often", "common"), by_combination, half))
+        .unionByName(pairs(single, often, "key", ("often", "common"), F.get(F.array_sort(some), F.lit(0)), half | ~F.col("aloneb")))
     )
     return found.distinct().join(done, ["a", "b"], "left_anti")
 
 
+def recentred(lists: DataFrame, sets: DataFrame, texts: DataFrame) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
+    """Step 4: lists(key, rep, comp) of the lists that stay open, the links(a, b) found and the pairs(a, b) tried."""
+    links, tried = [], []
+    for turn in range(ROUNDS):
+        still = lists.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+        lists = cut(lists.join(still, "key", "left_semi"), "jaccard-open")
+        if not lists.head(1):
+            break
+        centre = lists.groupBy("key").agg(F.min_by(F.struct(F.col("rep").alias("b"), F.col("comp").alias("cb")), F.xxhash64("key", "rep", F.lit(turn))).alias("centre"))
+        met = lists.join(centre, "key").where(F.col("comp") != F.col("centre.cb"))
+        pairs = met.select(F.col("rep").alias("a"), F.col("centre.b").alias("b"), F.col("comp").alias("ca"), F.col("centre.cb").alias("cb")).distinct()
+        near = cut(pairs.join(as_side(sets, "a"), "a").join(as_side(sets, "b"), "b").where(may_be_similar()).select("a", "b", "ca", "cb"), "jaccard-centred")
+        found = cut(similar(near.select("a", "b"), texts), "jaccard-recentred")
+        tried.append(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        links.append(found)
+        if found.count() * TENTH < near.count():
+            break
+        united = components(near.join(found, ["a", "b"]).select("ca", "cb").distinct(), "ca", "cb").withColumnRenamed("comp", "now")
+        lists = lists.join(united, F.col("comp") == F.col("node"), "left").select("key", "rep", F.coalesce("now", "comp").alias("comp"))
+    return lists, links, tried
+
+
 def _lists(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """Steps 1 and 2: nodes(doc_id, n, s1, s2), first(n, s1, s2, rep), reps(doc_id, rep), sets(rep, n, o0 ...)
     and shared(key, rep)."""
@@ -261,8 +310,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     apart = stars.where(F.size("keys") > 0).join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
     open_keys = apart.select(F.explode("keys").alias("key")).distinct()
     lists = shared.join(open_keys, "key", "left_semi").join(comps, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-    ordered = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = similar(cut(between_components(lists, sets, ordered), "jaccard-candidates"), texts)
+    lists, links2, tried2 = recentred(lists, sets, texts)
+    done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for pairs in tried2:
+        done = done.unionByName(pairs)
+    more = similar(cut(between_components(lists, sets, done.distinct()), "jaccard-candidates"), texts)
+    for found in links2:
+        more = more.unionByName(found)
 
     copies = reps.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     whole = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(cut(more, "jaccard-more")).unionByName(copies), "a", "b")

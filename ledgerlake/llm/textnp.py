@@ -1,7 +1,8 @@
 """Hashes of words and shingles of many texts at once, with numpy on Arrow buffers.
 
-A word's hash is a polynomial over random values of its bytes, taken from prefix sums modulo 2^64, and
-finalised by a mixer. Nothing depends on the process or machine, so tasks agree.
+A word's hash mixes two polynomials over random values of its bytes, both taken from prefix sums: one
+modulo 2^64 and one modulo the prime 2^31 - 1. Texts made to be equal in the first (as can be done for any
+base) are not equal in the second. Nothing depends on the process or machine, so tasks agree.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 IS_SPACE_WORD = np.ones(256, bool)
 IS_SPACE_WORD[[9, 10, 11, 12, 13, 32]] = False
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+PRIME, _PRIME_BASE = U(2**31 - 1), 1_412_347_019
+BYTE_PRIME = _rng.integers(1, 2**31 - 1, 256, dtype=np.uint64)
+_powers = {name: np.ones(1, np.uint64) for name in ("up", "down", "prime", "emirp")}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -38,6 +41,29 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the second base and of its inverse, modulo PRIME."""
+    if len(_powers["prime"]) < n:
+        size = max(n, SLICE + 1)
+        for name, base in (("prime", _PRIME_BASE), ("emirp", pow(_PRIME_BASE, -1, int(PRIME)))):
+            p = np.ones(1, np.uint64)
+            while len(p) < size:  # doubled: each half is the other times a power
+                p = np.concatenate([p, p * U(pow(base, len(p), int(PRIME))) % PRIME])
+            _powers[name] = p[:size]
+    return _powers["prime"], _powers["emirp"]
+
+
+def prime_sums(values: np.ndarray) -> np.ndarray:
+    """Prefix sums of values below PRIME times powers; sums of fewer than 2^33 terms are exact."""
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * prime_powers(len(values) + 1)[0][: len(values)] % PRIME, out=out[1:])
+    return out
+
+
+def prime_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return (sums[end] - sums[start]) % PRIME * prime_powers(len(sums))[1][start] % PRIME
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> U(33))
     h = h * U(0xFF51AFD7ED558CCD)
@@ -85,7 +111,8 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     after[:-1] = word[1:]
     end = np.flatnonzero(word & (~after | first[1:])) + 1
     sums = prefix_sums(data)
-    return mix((sums[end] - sums[start]) * powers(len(data) + 1)[1][start]), np.searchsorted(start, bounds)
+    second = mix(prime_hash(prime_sums(BYTE_PRIME[data]), start, end))
+    return mix((sums[end] - sums[start]) * powers(len(data) + 1)[1][start] + second), np.searchsorted(start, bounds)
 
 
 def shingle_sets(column: pa.Array, k: int = 5) -> Iterator[np.ndarray]:

@@ -103,9 +103,53 @@ def test_jaccard_frequent_lists(spark, plain, monkeypatch):
     """Small limits send the same documents through token combinations and single tokens."""
     docs = frame(spark, [(i, t, "s") for i, t in plain.items()])
     want = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs).collect()}
-    monkeypatch.setattr(jaccard, "RARE", 3)
-    monkeypatch.setattr(jaccard, "COMBINED", 8)
-    assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs).collect()} == want
+    for rounds, rare, common, combined, least in ((0, 3, 6, 64, 16), (1, 2, 2, 2048, 2)):
+        monkeypatch.setattr(jaccard, "LEAST", least)
+        monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+        monkeypatch.setattr(jaccard, "RARE", rare)
+        monkeypatch.setattr(jaccard, "COMMON", common)
+        monkeypatch.setattr(jaccard, "COMBINED", combined)
+        assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs).collect()} == want
+
+
+def thue_morse(n):
+    """Two words of n letters that any polynomial modulo 2^64 makes equal."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_jaccard_words_of_equal_polynomials(spark):
+    x, y = thue_morse(2048)
+    rows = [(1, f"one two three {x} four five", "s"), (2, f"one two three {y} four five", "s"), (3, x, "s"), (4, y, "s"), (5, y.upper(), "s")]
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(frame(spark, rows)).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 4}
+
+
+def test_jaccard_hub_with_a_larger_id(spark):
+    """Copies of one text that are not alike among each other: all hang on a hub that no list has first."""
+    r = random.Random(3)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for k in r.sample(range(200), 4):
+            w[k] = f"x{i}y{k}"
+        rows.append((i, " ".join(w), "s"))
+    rows.append((500, " ".join(base), "s"))
+    rows += [(600 + i, f"{' '.join(base[:30])} " + " ".join(f"z{i}q{k}" for k in range(100)), "s") for i in range(50)]
+    sets = {i: shingle_set(t) for i, t, _ in rows}
+    near = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    want = components(sets, near)
+    assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(frame(spark, rows)).collect()} == want
+    assert sum(c == 0 for c in want.values()) > 100 and not near(0, 1)
+
+
+def test_jaccard_very_long_text(spark):
+    words = [f"w{i}" for i in range(300_000)]
+    text = " ".join(words)
+    rows = [(1, text, "s"), (2, text.replace("w77 ", "v "), "s"), (3, "w" * 2_000_000, "s"), (4, "w" * 2_000_000 + " ", "s"), (5, " " * 2_000_000, "s"), (6, " ".join(words[150_000:]), "s")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(frame(spark, rows)).collect()}
+    assert got == {1: (299_996, 1), 2: (299_996, 1), 3: (1, 3), 4: (1, 3), 5: (0, 5), 6: (149_996, 6)}
 
 
 def test_jaccard_links(docs, none, plain, monkeypatch):
