@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 from ledgerlake.llm import exchange
 from ledgerlake.llm.common import cut, power_of_two
 from ledgerlake.llm.components import components
+from ledgerlake.llm.pairs import as_side, may_be_similar, parity, recentred, sketch
 from ledgerlake.llm.textnp import U, mix, shingle_sets
 
 SHINGLE, PERCENT = 5, 80
@@ -52,14 +53,12 @@ SKETCH_BITS, PIECES, CHUNK_KEYS, OWNER_KEYS = 20, 16, 1 << 20, 1 << 21
 SHARED, RARE, COMMON, COMBINED = 3, 32, 1024, 2048
 #: Least shared keys that a row carries, to tell where a pair counts.
 LEAST = 16
-#: Rounds of new centres go on while one in TENTH of a round's pairs is a link, and ROUNDS at most.
-ROUNDS, TENTH = 12, 10
 #: The counted prefix is extended by one DEPTH-th of the set.
 DEPTH = 5
 LOW58 = U((1 << 58) - 1)
 #: Longs of the parity sketch that bounds the difference of two sets.
 PARITY = 16
-PARITIES = [f"o{i}" for i in range(PARITY)]
+PARITIES = sketch(PARITY)
 
 
 def _ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -79,7 +78,7 @@ def signatures(texts: DataFrame) -> DataFrame:
             odd = np.zeros((batch.num_rows, PARITY), np.int64)
             for i, got in enumerate(shingle_sets(batch.column("text"), SHINGLE)):
                 n[i], s1[i], s2[i] = len(got), mix(got ^ U(0x5851F42D4C957F2D)).sum(dtype=np.uint64), mix(got ^ U(0x14057B7EF767814F)).sum(dtype=np.uint64)
-                odd[i] = np.packbits((np.bincount((got & U(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1).astype(np.uint8)).view(np.int64)
+                odd[i] = parity(got, PARITY)
                 held.append(got >> U(64 - SKETCH_BITS))
                 size += len(got)
                 if size > 1 << 21:
@@ -186,21 +185,6 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def may_be_similar(a: str = "a", b: str = "b") -> Column:
-    """Whether sizes (na, nb) and parity sketches (ao0 ..., bo0 ...) allow two sets to be similar. A bit of
-    the sketch is the parity of the elements that hash to it, so the bits that differ are as many as the
-    elements in one set only, or fewer: a bound that drops no similar pair."""
-    n, m = f"n{a}", f"n{b}"
-    differ = sum((F.bit_count(F.col(a + o).bitwiseXOR(F.col(b + o))) for o in PARITIES), F.lit(0))
-    # 100 shared >= PERCENT (n + m - shared), where 2 shared <= n + m - differ
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT) & ((F.col(n) + F.col(m) - differ) * (100 + PERCENT) >= (F.col(n) + F.col(m)) * 2 * PERCENT)
-
-
-def as_side(rows: DataFrame, side: str, *others: str) -> DataFrame:
-    """rows(rep, n, o0 ...) as one side of a pair."""
-    return rows.select(*others, F.col("rep").alias(side), F.col("n").alias(f"n{side}"), *[F.col(o).alias(side + o) for o in PARITIES])
-
-
 def between_components(lists: DataFrame, sets: DataFrame, done: DataFrame) -> DataFrame:
     """lists(key, rep, comp) -> pairs(a, b) of different components that step 5 has to verify, but for those
     in done(a, b). Sizes and sketches are compared within the joins."""
@@ -228,12 +212,12 @@ def between_components(lists: DataFrame, sets: DataFrame, done: DataFrame) -> Da
 
     def side(x: DataFrame, name: str, key: str, keep: tuple) -> DataFrame:
         more = [F.col(k).alias(k + name) for k in (*keep, "comp", "alone")]
-        return as_side(x.join(facts, "rep"), name, key, *more)
+        return as_side(x.join(facts, "rep"), name, PARITY, key, *more)
 
     def pairs(x: DataFrame, y: DataFrame, key: str, keep: tuple, first: Column, once: Column) -> DataFrame:
         """Pairs that meet at key. first is the value of key at which a pair counts, so that it comes out of
         the join once and not for every key that it shares; null where the LEAST keys don't tell."""
-        met = side(x, "a", key, keep).join(side(y, "b", key, keep), key).where((F.col("compa") != F.col("compb")) & once & may_be_similar() & F.coalesce(F.col(key) == first, F.lit(True)))
+        met = side(x, "a", key, keep).join(side(y, "b", key, keep), key).where((F.col("compa") != F.col("compb")) & once & may_be_similar(PERCENT, PARITY) & F.coalesce(F.col(key) == first, F.lit(True)))
         return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     shared = lambda k: F.array_sort(F.array_intersect(k + "a", k + "b"))
@@ -254,28 +238,6 @@ def between_components(lists: DataFrame, sets: DataFrame, done: DataFrame) -> Da
     return found.distinct().join(done, ["a", "b"], "left_anti")
 
 
-def recentred(lists: DataFrame, sets: DataFrame, texts: DataFrame) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
-    """Step 4: lists(key, rep, comp) of the lists that stay open, the links(a, b) found and the pairs(a, b) tried."""
-    links, tried = [], []
-    for turn in range(ROUNDS):
-        still = lists.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-        lists = cut(lists.join(still, "key", "left_semi"), "jaccard-open")
-        if not lists.head(1):
-            break
-        centre = lists.groupBy("key").agg(F.min_by(F.struct(F.col("rep").alias("b"), F.col("comp").alias("cb")), F.xxhash64("key", "rep", F.lit(turn))).alias("centre"))
-        met = lists.join(centre, "key").where(F.col("comp") != F.col("centre.cb"))
-        pairs = met.select(F.col("rep").alias("a"), F.col("centre.b").alias("b"), F.col("comp").alias("ca"), F.col("centre.cb").alias("cb")).distinct()
-        near = cut(pairs.join(as_side(sets, "a"), "a").join(as_side(sets, "b"), "b").where(may_be_similar()).select("a", "b", "ca", "cb"), "jaccard-centred")
-        found = cut(similar(near.select("a", "b"), texts), "jaccard-recentred")
-        tried.append(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        links.append(found)
-        if found.count() * TENTH < near.count():
-            break
-        united = components(near.join(found, ["a", "b"]).select("ca", "cb").distinct(), "ca", "cb").withColumnRenamed("comp", "now")
-        lists = lists.join(united, F.col("comp") == F.col("node"), "left").select("key", "rep", F.coalesce("now", "comp").alias("comp"))
-    return lists, links, tried
-
-
 def _lists(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """Steps 1 and 2: nodes(doc_id, n, s1, s2), first(n, s1, s2, rep), reps(doc_id, rep), sets(rep, n, o0 ...)
     and shared(key, rep)."""
@@ -301,7 +263,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     met = shared.join(head, "key").where("rep <> b")
     stars = met.groupBy(F.col("rep").alias("a"), "b").agg(F.collect_list(F.when(F.col("m") > 2, F.col("key"))).alias("keys"))
     stars = cut(stars, "jaccard-stars")
-    tried = stars.select("a", "b").join(as_side(sets, "a"), "a").join(as_side(sets, "b"), "b").where(may_be_similar()).select("a", "b")
+    tried = stars.select("a", "b").join(as_side(sets, "a", PARITY), "a").join(as_side(sets, "b", PARITY), "b").where(may_be_similar(PERCENT, PARITY)).select("a", "b")
     links = cut(similar(tried.distinct(), texts), "jaccard-links")
     comps = cut(components(links, "a", "b"), "jaccard-components")
 
@@ -310,7 +272,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     apart = stars.where(F.size("keys") > 0).join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
     open_keys = apart.select(F.explode("keys").alias("key")).distinct()
     lists = shared.join(open_keys, "key", "left_semi").join(comps, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-    lists, links2, tried2 = recentred(lists, sets, texts)
+    lists, links2, tried2 = recentred(lists, lambda pairs: pairs.join(as_side(sets, "a", PARITY), "a").join(as_side(sets, "b", PARITY), "b").where(may_be_similar(PERCENT, PARITY)), lambda pairs: similar(pairs, texts), "jaccard")
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for pairs in tried2:
         done = done.unionByName(pairs)

@@ -5,30 +5,36 @@ A line is trimmed and its A-Z lower-cased; its set holds the hashes of its SHING
 2. Distinct lines of a task get a signature of BANDS x ROWS minima by one-permutation hashing with
    densification. A pair of similarity 0.8 shares a band with a probability of 1 - (1 - 0.8^ROWS)^BANDS,
    above 0.999. Bands that two lines have are found by the Golomb-coded exchange (exchange.py).
-3. Lines are verified by exact Jaccard against the first line of each of their bands, then, where
-   bands still hold several components, between components.
+3. Lines are verified by exact Jaccard against the first line of each of their bands, then in rounds
+   against other lines of bands that hold several components (pairs.py), and at last between the
+   components that are left. Sizes and parity sketches bound each pair before its lines are compared.
 4. Distributed union-find (components.py) keeps the first line of each component.
 
 Defined results: blank lines are no lines and always stay; a line shorter than SHINGLE is one shingle;
-null and empty texts have no lines; a null id is below every other; rows that repeat an id and a line
-number keep or lose that line alike; extra columns are ignored.
+null and empty texts have no lines; very long texts and lines are read whole; of ties, the first line
+stays; a null id is below every other; rows that repeat an id and a line number keep or lose that line
+alike; empty tables give no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.llm import exchange
 from ledgerlake.llm.common import cut, power_of_two, text_or_empty
 from ledgerlake.llm.components import components
-from ledgerlake.llm.textnp import STEP, U, mix, powers
+from ledgerlake.llm.pairs import as_side, may_be_similar, parity, recentred, sketch
+from ledgerlake.llm.textnp import PRIME, STEP, U, mix, powers, prime_hash, prime_sums, slices
 
 SHINGLE, PERCENT, BANDS, ROWS = 8, 80, 20, 5
 SLOTS = BANDS * ROWS
 CHUNK_KEYS, OWNER_KEYS, CHUNK_CHARS = 1 << 20, 1 << 21, 1 << 21
+#: Longs of the parity sketch of a line.
+PARITY = 8
 
 
 def code_points(text: str) -> np.ndarray:
@@ -54,12 +60,11 @@ def line_hashes(text: str):
     up, down = powers(n + 1)
     up, down = up[:n], down[: n + 1]
     value = mix(points.astype(np.uint64) + U(0x632BE59BD9B4E019))
-    sums, more = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+    sums, more = np.zeros(n + 1, np.uint64), prime_sums(value % PRIME)
     np.cumsum(value * up, out=sums[1:])
-    np.cumsum(mix(value ^ U(0x2545F4914F6CDD1D)) * up, out=more[1:])
     size = (end - begin).astype(np.uint64)
     h1 = mix((sums[end] - sums[begin]) * down[begin] + size)
-    h2 = mix((more[end] - more[begin]) * down[begin] + size)
+    h2 = mix(prime_hash(more, begin, end) + (size << U(32)))
     each = np.maximum(1, end - begin - SHINGLE + 1)
     bounds = np.concatenate([[0], np.cumsum(each)])
     at = np.arange(bounds[-1]) - np.repeat(bounds[:-1], each) + np.repeat(begin, each)
@@ -153,23 +158,61 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return lines.select(F.struct("doc_id", F.col("no").alias("line_no")).alias("node"), F.get("lines", F.col("no")).alias("line")).where("line is not null")
 
 
-def similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Those of pairs(x, y) whose lines' sets are similar, by exact Jaccard."""
-    joined = pairs.join(lines.select(F.col("node").alias("x"), F.col("line").alias("tx")), "x").join(lines.select(F.col("node").alias("y"), F.col("line").alias("ty")), "y")
+def shingles_of(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of lines that aren't blank, sorted within each, and their bounds."""
+    _, _, _, shingles, bounds = line_hashes("\n".join(lines.to_pylist()))
+    line = np.repeat(np.arange(len(lines)), np.diff(bounds))
+    order = np.lexsort((shingles, line))
+    line, shingles = line[order], shingles[order]
+    new = np.ones(len(line), bool)
+    new[1:] = (line[1:] != line[:-1]) | (shingles[1:] != shingles[:-1])
+    return shingles[new], np.searchsorted(line[new], np.arange(len(lines) + 1))
+
+
+def portions(batch: pa.RecordBatch, *columns: str):
+    """Slices of a batch with about CHUNK_CHARS bytes of text each, one row at least."""
+    ends = np.cumsum(sum(pc.binary_length(batch.column(c)).to_numpy(zero_copy_only=False) for c in columns))
+    for i, j in slices(np.concatenate([[0], ends]).astype(np.int64), CHUNK_CHARS):
+        yield batch.slice(i, j - i)
+
+
+def with_sketches(lines: DataFrame) -> DataFrame:
+    """lines(node, line) as (rep, n, o0 ..., line)."""
 
     def run(batches):
-        for batch in batches:
-            ok = []
-            for s, t in zip(batch.column("tx").to_pylist(), batch.column("ty").to_pylist()):
-                p, q = np.unique(line_hashes(s)[3]), np.unique(line_hashes(t)[3])
-                shared = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(shared > 0 and 100 * shared >= PERCENT * (len(p) + len(q) - shared))
-            mask = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in range(4)], names=["xd", "xl", "yd", "yl"])
+        for batch in (p for b in batches if b.num_rows for p in portions(b, "line")):
+            shingles, bounds = shingles_of(batch.column("line"))
+            odd = np.array([parity(shingles[a:b], PARITY) for a, b in zip(bounds, bounds[1:])])
+            made = [pa.array(np.diff(bounds)), *[pa.array(np.ascontiguousarray(odd[:, i])) for i in range(PARITY)]]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("line_no"), *made, batch.column("line")], names=["doc_id", "line_no", "n", *sketch(PARITY), "line"])
 
-    flat = joined.select(F.col("x.doc_id").alias("xd"), F.col("x.line_no").alias("xl"), F.col("y.doc_id").alias("yd"), F.col("y.line_no").alias("yl"), "tx", "ty")
-    found = flat.mapInArrow(run, "xd long, xl int, yd long, yl int")
-    return found.select(F.struct(F.col("xd").alias("doc_id"), F.col("xl").alias("line_no")).alias("u"), F.struct(F.col("yd").alias("doc_id"), F.col("yl").alias("line_no")).alias("v"))
+    flat = lines.select("node.doc_id", "node.line_no", "line")
+    schema = "doc_id long, line_no int, n long, " + "".join(f"{o} long, " for o in sketch(PARITY)) + "line string"
+    return flat.mapInArrow(run, schema).select(F.struct("doc_id", "line_no").alias("rep"), "n", *sketch(PARITY), "line")
+
+
+def similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Those of pairs(a, b) whose lines' sets are similar, by exact Jaccard."""
+    joined = pairs.select("a", "b").join(lines.select(F.col("rep").alias("a"), F.col("line").alias("ta")), "a").join(lines.select(F.col("rep").alias("b"), F.col("line").alias("tb")), "b")
+
+    def run(batches):
+        for batch in (p for b in batches if b.num_rows for p in portions(b, "ta", "tb")):
+            pair, found, size = [], [], np.zeros(batch.num_rows, np.int64)
+            for side in ("ta", "tb"):
+                shingles, bounds = shingles_of(batch.column(side))
+                size += np.diff(bounds)
+                pair.append(np.repeat(np.arange(batch.num_rows), np.diff(bounds)))
+                found.append(shingles)
+            pair, found = np.concatenate(pair), np.concatenate(found)
+            order = np.lexsort((found, pair))
+            pair, found = pair[order], found[order]
+            shared = np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (found[1:] == found[:-1])], minlength=batch.num_rows)
+            mask = pa.array((shared > 0) & (100 * shared >= PERCENT * (size - shared)))
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in range(4)], names=["ad", "al", "bd", "bl"])
+
+    flat = joined.select(F.col("a.doc_id").alias("ad"), F.col("a.line_no").alias("al"), F.col("b.doc_id").alias("bd"), F.col("b.line_no").alias("bl"), "ta", "tb")
+    links = flat.mapInArrow(run, "ad long, al int, bd long, bl int")
+    return links.select(F.struct(F.col("ad").alias("doc_id"), F.col("al").alias("line_no")).alias("a"), F.struct(F.col("bd").alias("doc_id"), F.col("bl").alias("line_no")).alias("b"))
 
 
 def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,23 +228,30 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     unpacked = exchange.unpacked(items, "a", "b").distinct()
     lists = cut(unpacked.join(reps.select("a", "b", "node"), ["a", "b"]).select("key", "node"), "lines-lists")
 
-    head = lists.groupBy("key").agg(F.min("node").alias("y"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    met = lists.join(head, "key").where("node <> y")
-    stars = cut(met.groupBy(F.col("node").alias("x"), "y").agg(F.collect_list(F.when(F.col("m") > 2, F.col("key"))).alias("keys")), "lines-stars")
+    head = lists.groupBy("key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    met = lists.join(head, "key").where("node <> b")
+    stars = cut(met.groupBy(F.col("node").alias("a"), "b").agg(F.collect_list(F.when(F.col("m") > 2, F.col("key"))).alias("keys")), "lines-stars")
     members = lists.join(head.select("key"), "key", "left_semi").select("node").distinct()
-    lines = cut(line_texts(texts, members), "lines-texts")
-    links = cut(similar(stars.select("x", "y"), lines), "lines-links")
-    comps = cut(components(links), "lines-components")
+    lines = cut(with_sketches(line_texts(texts, members)), "lines-texts")
+    bounded = lambda pairs: pairs.join(as_side(lines, "a", PARITY), "a").join(as_side(lines, "b", PARITY), "b").where(may_be_similar(PERCENT, PARITY))
+    links = cut(similar(bounded(stars.select("a", "b")), lines), "lines-links")
+    comps = cut(components(links, "a", "b"), "lines-components")
 
     of = lambda name: comps.select(F.col("node").alias(name), F.col("comp").alias("c" + name))
-    apart = stars.where(F.size("keys") > 0).join(of("x"), "x", "left").join(of("y"), "y", "left").where(F.coalesce("cx", "x") != F.coalesce("cy", "y"))
+    apart = stars.where(F.size("keys") > 0).join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
     open_keys = apart.select(F.explode("keys").alias("key")).distinct()
-    left = lists.join(open_keys, "key", "left_semi").join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    one, two = left.select("key", F.col("node").alias("x"), F.col("comp").alias("cx")), left.select("key", F.col("node").alias("y"), F.col("comp").alias("cy"))
-    tries = one.join(two, "key").where("cx < cy").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
-    tries = cut(tries.join(stars.select("x", "y"), ["x", "y"], "left_anti"), "lines-candidates")
-    more = cut(similar(tries, lines), "lines-more")
-    whole = components(comps.select(F.col("node").alias("u"), F.col("comp").alias("v")).unionByName(more))
+    left = lists.join(open_keys, "key", "left_semi").join(comps, "node", "left").select("key", F.col("node").alias("rep"), F.coalesce("comp", "node").alias("comp"))
+    left, more, tried = recentred(left, bounded, lambda pairs: similar(pairs, lines), "lines")
+    side = lambda name: as_side(left.join(lines, "rep"), name, PARITY, "key", F.col("comp").alias("c" + name))
+    tries = side("a").join(side("b"), "key").where((F.col("ca") < F.col("cb")) & may_be_similar(PERCENT, PARITY)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for pairs in tried:
+        done = done.unionByName(pairs)
+    more.append(cut(similar(cut(tries.join(done.distinct(), ["a", "b"], "left_anti"), "lines-candidates"), lines), "lines-more"))
+    edges = comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))
+    for found in more:
+        edges = edges.unionByName(found)
+    whole = components(edges, "a", "b")
 
     keep = reps.join(whole, "node", "left").select("a", "b", F.coalesce("comp", "node").alias("keep"))
     out = rows.join(keep, ["a", "b"])

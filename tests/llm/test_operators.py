@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlake.llm import decontaminate, exact_dedup, html_text, jaccard, line_dedup, mixing, pii, quality, suffix_dedup, token_counts
+from ledgerlake.llm import decontaminate, exact_dedup, html_text, jaccard, line_dedup, mixing, pairs, pii, quality, suffix_dedup, token_counts
 from ledgerlake.llm import common
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("row", T.StringType()), T.StructField("size", T.LongType()), T.StructField("stat_words", T.StringType())])
@@ -105,7 +105,7 @@ def test_jaccard_frequent_lists(spark, plain, monkeypatch):
     want = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs).collect()}
     for rounds, rare, common, combined, least in ((0, 3, 6, 64, 16), (1, 2, 2, 2048, 2)):
         monkeypatch.setattr(jaccard, "LEAST", least)
-        monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+        monkeypatch.setattr(pairs, "ROUNDS", rounds)
         monkeypatch.setattr(jaccard, "RARE", rare)
         monkeypatch.setattr(jaccard, "COMMON", common)
         monkeypatch.setattr(jaccard, "COMBINED", combined)
@@ -196,6 +196,44 @@ def test_line_dedup(docs, none, plain):
     assert line_dedup.line_components(none).count() == 0
 
 
+def test_line_dedup_recall(spark, sf):
+    """Pairs that brute force links on a given table end in one component; the rest is exact."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    first = {}
+    for r in docs.orderBy("doc_id").collect():
+        for k, x in enumerate((r.text or "").split("\n")):
+            if x := low(x.strip(" \t\r\x0b\x0c")):
+                first.setdefault(x, (r.doc_id, k))
+    sets = {v: frozenset(x[j : j + 8] for j in range(max(1, len(x) - 7))) for x, v in first.items()}
+    by_shingle, shared = {}, {}
+    for v, s in sets.items():
+        for x in s:
+            for u in by_shingle.setdefault(x, []):
+                shared[u, v] = shared.get((u, v), 0) + 1
+            by_shingle[x].append(v)
+    near = [(u, v) for (u, v), n in shared.items() if 100 * n >= 80 * (len(sets[u]) + len(sets[v]) - n)]
+    got = {(r.doc_id, r.line_no): (r.keep_doc_id, r.keep_line_no) for r in line_dedup.line_components(docs).collect()}
+    assert near and sum(got[u] == got[v] for u, v in near) >= 0.99 * len(near)
+    linked = {v: v for v in sets}
+    for u, v in sorted(near):
+        assert got[u] != got[v] or got[u] <= min(u, v)
+        linked[v] = linked[u] = None
+    assert all(got[v] == v for v, alone in linked.items() if alone)
+
+
+def test_line_dedup_odd_lines(spark):
+    x, y = thue_morse(2048)
+    long = "".join(chr(97 + (i * i * 7 + i // 11) % 26) for i in range(300_000))
+    rows = [(1, f"{x}\n{y}\n{x.upper()}", "s"), (2, long, "s"), (3, long[:-9] + "!", "s"), (4, " " * 500_000, "s"), (None, "a line of a null id\n" + long[:50], "s"), (2, long, "s")]
+    got = sorted(((r.doc_id or -1, r.line_no), (r.keep_doc_id or -1, r.keep_line_no), r.kept) for r in line_dedup.line_components(frame(spark, rows)).collect())
+    assert got == [
+        ((-1, 0), (-1, 0), True), ((-1, 1), (-1, 1), True), ((1, 0), (1, 0), True), ((1, 1), (1, 0), False), ((1, 2), (1, 0), False),
+        ((2, 0), (2, 0), True), ((2, 0), (2, 0), True), ((3, 0), (2, 0), False),
+    ]  # fmt: skip  (x and y are of the same shingles, but not equal:)
+    _, h1, h2, _, _ = line_dedup.line_hashes(f"{x}\n{y}")
+    assert h1[0] == h1[1] and h2[0] != h2[1]
+
+
 def bench(spark, plain):
     items = [(1, plain[55]), (2, " ".join(plain[0].split()[20:60])), (3, "one"), (4, None), (5, ""), (6, "two WORDS"), (7, plain[55]), (12, "never seen words here"), (13, "b c d")]
     return spark.createDataFrame(items, "item_id long, text string")
