@@ -29,7 +29,8 @@ def op4_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+    vocabulary = spark.conf.get("spark.ledgerlake.vocabulary", token_counts.VOCABULARY)
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary=vocabulary)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

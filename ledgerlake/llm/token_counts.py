@@ -8,13 +8,18 @@ byte, "end" to that of its last. The line end after a section belongs to that se
 The default sections of a text are its lines. Other spans may be given as a column of structs
 (begin, end) in code points, sorted and apart; tokens outside of all of them get section -1.
 
-Defined results: a null or empty text has one empty section without tokens; an empty table gives no
-rows; rows that repeat an id are counted apart; extra columns are ignored.
+The driver reads the vocabulary once, from `vocabulary` (spark.ledgerlake.vocabulary for the query), and
+broadcasts it; executors need no file of their own. It may have VOCABULARY_BYTES at most.
+
+Defined results: a null or empty text has one empty section without tokens; very long texts and runs of
+one character are encoded whole; an empty table gives no rows; rows that repeat an id are counted apart;
+a null id stays null; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -24,24 +29,45 @@ from pyspark.sql import functions as F
 #: The tokenizer's file, and the pattern that belongs to byte-level vocabularies of this kind.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+VOCABULARY_BYTES = 64 << 20
+#: White space that the pattern's matcher can't take at once: it goes back step by step.
+LONG_SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{20000,}")
+
+
+def vocabulary_file(path: str) -> bytes:
+    with open(path, "rb") as f:
+        found = f.read(VOCABULARY_BYTES + 1)
+    if len(found) > VOCABULARY_BYTES:
+        raise ValueError(f"{path} has more than {VOCABULARY_BYTES} bytes")
+    return found
 
 
 class Encoder:
-    """Loads a vocabulary of ranks once per task."""
+    """Takes up a vocabulary of ranks once per task."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, vocabulary: bytes, pattern: str = PATTERN):
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines()) if a}
+        self.cuts = pattern == PATTERN
         self.coder = tiktoken.Encoding("counts", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, rank in ranks.items():
             self.sizes[rank] = len(token)
 
+    def tokens(self, text: str) -> list[int]:
+        """PATTERN takes a run of white space as one piece, up to its last character if text follows. Long runs
+        are encoded as that piece here, so the tokens are those of the whole text."""
+        out, at = [], 0
+        for m in LONG_SPACE.finditer(text) if self.cuts else ():
+            stop = m.end() - (m.end() < len(text))
+            out += self.coder.encode_ordinary(text[at : m.start()]) + self.coder._encode_single_piece(text[m.start() : stop])
+            at = stop
+        return out + self.coder.encode_ordinary(text[at:])
+
     def ends(self, text: str) -> np.ndarray:
         """The byte offset at which each token ends."""
-        return np.cumsum(self.sizes[np.asarray(self.coder.encode_ordinary(text), np.int64)])
+        return np.cumsum(self.sizes[np.asarray(self.tokens(text), np.int64)])
 
 
 def line_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,8 +95,10 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if spans_col:
         cols.append(F.transform(F.col(spans_col), lambda s: F.struct(s["begin"].cast("int").alias("begin"), s["end"].cast("int").alias("end"))).alias("spans"))
 
+    held = docs.sparkSession.sparkContext.broadcast(vocabulary_file(vocabulary))
+
     def run(batches):
-        coder = Encoder(vocabulary, pattern)
+        coder = Encoder(held.value, pattern)
         for batch in batches:
             spans = batch.column("spans").to_pylist() if spans_col else [None] * batch.num_rows
             ids = batch.column("doc_id").to_pylist()

@@ -313,7 +313,7 @@ def test_token_counts(docs, none, plain):
     by = {}
     for r in rows:
         by.setdefault(r.doc_id, []).append(r)
-    coder = token_counts.Encoder(token_counts.VOCABULARY, token_counts.PATTERN).coder
+    coder = token_counts.Encoder(token_counts.vocabulary_file(token_counts.VOCABULARY)).coder
     for i, t in plain.items():
         t = t or ""
         mine = sorted(by[i], key=lambda r: r.section)
@@ -339,6 +339,24 @@ def test_token_counts_of_spans(spark):
     assert token_counts.token_counts(df, spans_col="spans").where("doc_id = 2").count() == 0
 
 
+def test_token_counts_of_long_runs(spark, monkeypatch):
+    """Runs that the pattern's matcher can't take whole have the tokens of the whole text."""
+    coder = token_counts.Encoder(token_counts.vocabulary_file(token_counts.VOCABULARY))
+    with monkeypatch.context() as m:
+        m.setattr(token_counts, "LONG_SPACE", re.compile(token_counts.LONG_SPACE.pattern.replace("20000", "3")))
+        for gap in (" " * 9, "\n" * 5, " \n\t  ", "\u3000 \xa0\u2009", "\t\t\t", "    \n", "\x1c\x1d\x1e\x1f    "):
+            for text in (gap, f"a{gap}", f"{gap}b", f"one{gap}two 33{gap}'s{gap}!?{gap}", f"é{gap}{gap}x"):
+                assert coder.tokens(text) == coder.coder.encode_ordinary(text), text
+    n = 5_000_000
+    rows = [(i, c * n, "s") for i, c in enumerate((" ", "\n", "\t"))] + [(8, "a" * (n // 10), "s"), (9, "7" * (n // 10), "s"), (10, "one" + " " * n + "two", "s")]
+    got = {r.doc_id: (r.n, r.sections) for r in token_counts.token_counts(frame(spark, rows)).groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("sections")).collect()}
+    single = lambda c: len(coder.coder._encode_single_piece(c * n))
+    assert {i: got[i][0] for i in (0, 1, 2)} == {i: single(c) for i, c in enumerate((" ", "\n", "\t"))}
+    assert got[1][1] == n + 1 and got[0][1] == 1
+    assert got[8][0] == len(coder.coder.encode_ordinary("a" * (n // 10))) and got[9][0] == len(coder.coder.encode_ordinary("7" * (n // 10)))
+    assert got[10][0] == 1 + len(coder.coder._encode_single_piece(" " * (n - 1))) + 1
+
+
 def test_exact_dedup(spark, docs, none, plain):
     groups = {}
     for i, t in plain.items():
