@@ -1,17 +1,21 @@
 """Main text of web pages by tag-path ratios.
 
-Each text node hangs on a root-to-leaf path of tags. Text length and punctuation are summed per path
-and divided by the nodes that the path has; both ratios are smoothed along the page and fused by their
-product. A path's score is the geometric mean of its own and its smoothed fused ratio, and a threshold
-picks the content paths. The path with the most weight tells the container, which decides where ratios
-can't: for the headings, lists, tables and other text structure that stand in it, and for doubtful paths
-outside an <article> or <main>. A path with a wrapper of its own in the container is left to its ratios.
+Each text node hangs on a root-to-leaf path of tags, inline ones too; the parts of a block's text on one
+path, between inline elements, are one node. Text length and punctuation are
+summed per path and divided by the nodes that the path has; both ratios are smoothed along the page's
+nodes and fused by their product. A block's ratio is the mean of its nodes' by length, and the score of a
+block's path is the geometric mean of its own and its smoothed fused ratio; a threshold picks the content
+paths. The path with the most weight tells the container, which decides where ratios can't: for the
+headings, lists, tables and other text structure that stand in it, and for doubtful paths outside an
+<article> or <main>. A path with a wrapper of its own in the container is left to its ratios.
 Parts that are never an article (navigation, forms, scripts ...) are left out before, by tag. Words of
 class, id and role that name other parts, and links, only lower the score of a path: words on what holds
 the path with the most weight count for nothing, and links within the container don't count.
 
-One Arrow pass; a page is read whole. Defined results: a null or empty page has an empty text; markup
-that is cut off or never closed is read as far as it goes; pages without any container give their text.
+One Arrow pass; a page is read whole, however long. Defined results: a null or empty page and one of
+nothing but links have an empty text; markup that is cut off or never closed is read as far as it goes;
+pages without any container give their text; of paths with equal weight, the last by name is best; rows
+that repeat an id are read apart; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>?|[^<]+|<", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*')?)*+)>?|[^<]+|<", re.S)
+ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 # The tags of HTML by what they do.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object"}
@@ -84,22 +88,26 @@ def _tag(element: str) -> str:
     return element.rstrip("!~")
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path, text, characters within links) of each block that may be content, in page order. A path has
-    its elements' marks."""
-    out: list[tuple[tuple[str, ...], str, int]] = []
+Path = tuple[str, ...]
+
+
+def blocks(page: str) -> list[tuple[Path, str, int, list[tuple[Path, int, int]]]]:
+    """(path, text, characters within links, nodes) of each block that may be content, in page order. A path
+    has its elements' marks; a block's has its block elements, that of a node (path, length, punctuation) all."""
+    out: list[tuple[Path, str, int, list[tuple[Path, int, int]]]] = []
     stack: list[tuple[str, bool, bool, str]] = []  # tag, left out, link, mark
     buffer: list[str] = []
-    path: tuple[str, ...] = ()
+    path: Path = ()
+    nodes: dict[Path, tuple[int, int]] = {}
     linked = at = 0
 
     def flush():
-        nonlocal linked
+        nonlocal linked, nodes
         text = " ".join("".join(buffer).split())
         if text:
-            out.append((path, text, linked))
+            out.append((path, text, linked, [(p, n, m) for p, (n, m) in nodes.items()]))
         buffer.clear()
-        linked = 0
+        nodes, linked = {}, 0
 
     while at < len(page):
         m = TOKEN.match(page, at)
@@ -113,8 +121,13 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                     path = tuple(t + mark for t, _, _, mark in stack if t in BLOCK)
                 text = html.unescape(m[0])
                 buffer.append(text)
+                n = len(text.strip())
+                if n:
+                    whole = tuple(t + mark for t, _, _, mark in stack)
+                    before = nodes.get(whole, (0, 0))
+                    nodes[whole] = before[0] + n, before[1] + len(MARKS.findall(text))
                 if stack and stack[-1][2]:
-                    linked += len(text.strip())
+                    linked += n
             continue
         tag = tag.lower()
         if m[1]:
@@ -153,37 +166,50 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
 
 def _smooth(x: np.ndarray) -> np.ndarray:
     kernel = np.array([0.25, 0.5, 1.0, 0.5, 0.25])
-    return np.convolve(x, kernel, "same") / np.convolve(np.ones(len(x)), kernel, "same") if len(x) > 4 else x
+    at = slice(2, 2 + len(x))
+    return np.convolve(x, kernel)[at] / np.convolve(np.ones(len(x)), kernel)[at]
+
+
+def ratios(nodes: list[tuple[Path, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """For each text node, in page order: the fused ratio of its path, and that of the smoothed ratios."""
+    length, marks, times = {}, {}, {}
+    for path, n, m in nodes:
+        length[path] = length.get(path, 0) + n
+        marks[path] = marks.get(path, 0) + m
+        times[path] = times.get(path, 0) + 1
+    text, punctuation = (np.array([of[p] / times[p] for p, _, _ in nodes]) for of in (length, marks))
+    return text * (1 + punctuation), _smooth(text) * (1 + _smooth(punctuation))
 
 
 def main_text(page: str | None) -> str:
     """The article's blocks, joined by two line ends."""
-    found = blocks(page or "")
+    found = [b for b in blocks(page or "") if b[3]]
     if not found:
         return ""
-    length, marks, nodes, links = {}, {}, {}, {}
-    for path, text, linked in found:
+    own_ratio, smoothed = ratios([n for *_, nodes in found for n in nodes])
+    sizes = np.array([n for *_, nodes in found for _, n, _ in nodes], float)
+    at = np.cumsum([0] + [len(nodes) for *_, nodes in found])[:-1]
+    mean = lambda x: np.add.reduceat(x * sizes, at) / np.add.reduceat(sizes, at)
+    length, times, links, own, near, weight = {}, {}, {}, {}, {}, {}
+    for path, text, linked, _ in found:
         length[path] = length.get(path, 0) + len(text)
-        marks[path] = marks.get(path, 0) + len(MARKS.findall(text))
-        nodes[path] = nodes.get(path, 0) + 1
+        times[path] = times.get(path, 0) + 1
         links[path] = links.get(path, 0) + linked
-    fused = _smooth(np.array([length[p] / nodes[p] for p, _, _ in found])) * (1 + _smooth(np.array([marks[p] / nodes[p] for p, _, _ in found])))
-    near: dict[tuple[str, ...], float] = {}
-    weight: dict[tuple[str, ...], float] = {}
-    unlinked = {p: max(0.0, 1 - links[p] / length[p]) for p in nodes}
-    for (path, text, _), f in zip(found, fused):
-        near[path] = near.get(path, 0.0) + f / nodes[path]
+    unlinked = {p: max(0.0, 1 - links[p] / length[p]) for p in times}
+    for (path, text, _, _), r, f in zip(found, mean(own_ratio), mean(smoothed)):
+        own[path] = own.get(path, 0.0) + r / times[path]
+        near[path] = near.get(path, 0.0) + f / times[path]
         weight[path] = weight.get(path, 0.0) + f * len(text) * unlinked[path] * math.prod(NAMES.get(x[-1], 1) for x in path)
-    if not max(weight.values()):
-        return "\n\n".join(t for _, t, _ in found)
-    score = {p: float(np.sqrt(near[p] * length[p] / nodes[p] * (1 + marks[p] / nodes[p]))) for p in nodes}
-    unnamed = [p for p in nodes if not any(x[-1] == "!" for x in p[max((i for i, x in enumerate(p) if x in ("article", "main")), default=0) :])]
-    able = {p: length[p] * unlinked[p] for p in nodes}
-    best = max(unnamed if sum(able[p] for p in unnamed) >= UNNAMED * sum(able.values()) else nodes, key=lambda p: (weight[p], p))
+    if not max(weight.values()):  # nothing but links
+        return ""
+    score = {p: float(np.sqrt(near[p] * own[p])) for p in times}
+    unnamed = [p for p in times if not any(x[-1] == "!" for x in p[max((i for i, x in enumerate(p) if x in ("article", "main")), default=0) :])]
+    able = {p: length[p] * unlinked[p] for p in times}
+    best = max(unnamed if sum(able[p] for p in unnamed) >= UNNAMED * sum(able.values()) else times, key=lambda p: (weight[p], p))
     named = [t for t in best if t in ("article", "main")]
     container = best[: best.index(named[0]) + 1] if named else best[:-1] if len(best) > 1 else best
 
-    def content(path: tuple[str, ...]) -> bool:
+    def content(path: Path) -> bool:
         share = score[path] / score[best]
         inside = path[: len(container)] == container
         own = path[next((i for i, (x, y) in enumerate(zip(path, best)) if x != y), min(len(path), len(best))) :]
@@ -196,13 +222,13 @@ def main_text(page: str | None) -> str:
         tags = {_tag(x) for x in own}
         return share >= FUSED or bool(SHAPES & tags) or not (beside or WRAPS & tags)
 
-    chosen = {p: content(p) for p in nodes}
-    keep = [chosen[p] for p, _, _ in found]
+    chosen = {p: content(p) for p in times}
+    keep = [chosen[p] for p, *_ in found]
     for i in range(len(found) - 2, -1, -1):  # a heading goes with what it stands above
-        (path, _, _), (after, _, _) = found[i], found[i + 1]
+        (path, *_), (after, *_) = found[i], found[i + 1]
         if path[-1:] and _tag(path[-1]) in HEADINGS and path[:-1] == after[: len(path) - 1] and path[: len(container)] == container:
             keep[i] = keep[i + 1]
-    return "\n\n".join(t for (_, t, _), k in zip(found, keep) if k)
+    return "\n\n".join(t for (_, t, *_), k in zip(found, keep) if k)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

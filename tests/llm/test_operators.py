@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+from html.parser import HTMLParser
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -518,6 +520,70 @@ def test_html_ratios_decide():
     assert html_text.main_text(page).split("\n\n") == ["Head", *(t.strip() for t in text)]
 
 
+def test_html_constant_ratios_change_the_result(monkeypatch):
+    """Boxes under names that no list has are told by their ratios alone."""
+    say = "The council met on Monday, spoke for hours, and agreed at last. Nobody, it was said, had hoped for that; all were glad. "
+    ps = "".join(f"<p>Part {i}. <b>Well</b>, {say * 3}</p>" for i in range(6))
+    rail = '<div class="rail"><div>Top ten</div><div>Hot now</div><div>More lamps</div></div>'
+    want = [f"Part {i}. Well, {say * 3}".strip() for i in range(6)]
+    for tag in ("article", "main", "div"):
+        page = f"<body><{tag}>{ps}{rail}</{tag}><div>Bottom line</div></body>"
+        assert html_text.main_text(page).split("\n\n") == want, tag
+        with monkeypatch.context() as m:
+            m.setattr(html_text, "ratios", lambda nodes: (np.ones(len(nodes)), np.ones(len(nodes))))
+            assert html_text.main_text(page).split("\n\n") != want, tag
+
+
+def test_html_odd_markup(spark):
+    say = "Said, done, and said again. "
+    assert html_text.main_text("<body><ul><li><a href=a>Home</a></li><li><a href=b>About us</a></li></ul></body>") == ""
+    page = f"<body><article><p title=don't>{say}</p><p data-id=nav>{say * 2}</p><p title='a > b' id=\"x\">{say * 3}</p><p title=\"open>{say * 4}</p></article></body>"
+    assert html_text.main_text(page).split("\n\n") == [(say * k).strip() for k in (1, 2, 3, 4)]
+    long = "<body><article>" + f"<p>{say}</p>" * 40_000 + "<p>" + "x" * 2_000_000 + "</p></article></body>"
+    assert html_text.main_text(long) == "\n\n".join([say.strip()] * 40_000 + ["x" * 2_000_000])
+
+
+def test_html_against_a_plain_parser(spark, sf):
+    """On the given pages the article stands in one element: another parser's text of it is the result."""
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.now, self.inside, self.off = [], [], 0, 0
+
+        def flush(self):
+            if t := " ".join("".join(self.now).split()):
+                self.out.append(t)
+            self.now = []
+
+        def step(self, tag, by):
+            self.inside += by * (tag == "article")
+            self.off += by * (tag in ("script", "style", "nav", "aside", "form", "footer"))
+            if tag in html_text.BLOCK:
+                self.flush()
+
+        def handle_starttag(self, tag, attrs):
+            self.step(tag, 1)
+            if tag == "br":
+                self.now.append(" ")
+
+        def handle_endtag(self, tag):
+            self.step(tag, -1)
+
+        def handle_data(self, data):
+            if self.inside and not self.off:
+                self.now.append(data)
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    for r in pages.collect():
+        plain = Plain()
+        plain.feed(r.html or "")
+        plain.close()
+        plain.flush()
+        assert got[r.page_id] == "\n\n".join(plain.out), r.page_id
+
+
 def test_html_names_and_links_are_evidence():
     """Class words and links lower a path's score; they drop neither what holds the article nor its links."""
     say = "The council met on Monday, spoke for hours, and agreed at last. Nobody, it was said, had hoped for that; all were glad. "
