@@ -50,7 +50,7 @@ SHINGLE, PERCENT = 5, 80
 SKETCH_BITS, PIECES, CHUNK_KEYS, OWNER_KEYS = 20, 16, 1 << 20, 1 << 21
 #: Shared elements that prefixes are extended for, and the classes of lists by their documents: by themselves
 #: up to RARE, in twos up to COMMON, in threes beyond. Combinations of a document, at most.
-SHARED, RARE, COMMON, COMBINED = 3, 32, 1024, 2048
+SHARED, RARE, COMMON, COMBINED = 3, 32, 1024, 256
 #: Least shared keys that a row carries, to tell where a pair counts.
 LEAST = 16
 #: The counted prefix is extended by one DEPTH-th of the set.
@@ -200,8 +200,9 @@ def between_components(lists: DataFrame, sets: DataFrame, done: DataFrame) -> Da
     threes = each("common", lambda x, i: each(F.slice("common", i + 2, F.size("common")), lambda y, j: F.transform(F.slice("common", i + j + 3, F.size("common")), lambda z: F.xxhash64(x, y, z))))
     o, c = F.size("often").cast("double"), F.size("common").cast("double")
     number = o * (o - 1) / 2 + o * c + c * (c - 1) * (c - 2) / 6
-    combined = cut(held.where((number > 0) & (number <= COMBINED)).select("rep", "met", F.explode(F.concat(twos, threes)).alias("combination")), "jaccard-combined")
-    # combinations pay where they meet fewer documents than the tokens do; not among copies of one text
+    combined = cut(held.where((number > 0) & (number <= COMBINED) & (number < F.col("met"))).select("rep", "met", F.explode(F.concat(twos, threes)).alias("combination")), "jaccard-combined")
+    # combinations pay where they meet fewer documents than the tokens do; not among copies of one text, nor where
+    # there are as many of them as the tokens meet
     met_by = combined.join(combined.groupBy("combination").agg(F.count(F.lit(1)).alias("m2")), "combination").groupBy("rep", "met").agg(F.sum("m2").alias("met2"))
     pays = cut(met_by.where("met2 < met").select(F.col("rep").alias("pays")), "jaccard-pays")
 
