@@ -79,3 +79,7 @@ class ConsentNotFound(LedgerError):
 
 class KeyRequired(LedgerError):
     pass
+
+
+class StreamIdTaken(LedgerError):
+    pass

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlake.operators.ordered import most_before
+
 
 def offset_gaps(log: DataFrame) -> DataFrame:
     """Offsets without a predecessor, but for the first: the starts of gaps."""
@@ -38,13 +40,17 @@ def count_mismatches(log: DataFrame) -> DataFrame:
 
 def stale_reads(history: DataFrame) -> DataFrame:
     """history(key, op 'r'/'w', begin, end, value), values written once per key: reads of a value that
-    was overwritten before they began, or whose write began after they ended."""
+    was overwritten before they began, or whose write began after they ended (or never did).
+
+    A value is overwritten for a read if some write that ended before it began after the value's own write
+    had ended: the largest begin among the writes that ended earlier decides, by one ordered pass."""
     w = history.where("op = 'w'").select("key", "value", F.col("begin").alias("w_begin"), F.col("end").alias("w_end"))
-    # a read is stale when some write lies wholly between its own write's end and its begin
-    r = history.where("op = 'r'").join(w, ["key", "value"], "left")
-    last = r.join(w.select("key", F.col("w_begin").alias("o_begin"), F.col("w_end").alias("o_end")), "key").where("o_begin > w_end and o_end < begin").select("key", "value", "begin").distinct()
-    early = r.where("w_begin is null or w_begin > end").select("key", "value", "begin")
-    return last.unionByName(early).distinct()
+    r = history.where("op = 'r'").select("key", "value", "begin", "end").distinct().join(w, ["key", "value"], "left")
+    reads = r.select("key", F.col("begin").alias("t"), F.lit(0).alias("late"), F.lit(None).cast("long").alias("o_begin"), F.struct("value", "begin", "end", "w_begin", "w_end").alias("read"))
+    writes = w.select("key", F.col("w_end").alias("t"), F.lit(1).alias("late"), F.col("w_begin").cast("long").alias("o_begin"), F.lit(None).cast(reads.schema["read"].dataType).alias("read"))
+    seen = most_before(reads.unionByName(writes), "key", ("t", "late"), F.col("o_begin"), "newest").where("read is not null")
+    stale = F.col("read.w_begin").isNull() | (F.col("read.w_begin") > F.col("read.end")) | (F.col("newest") > F.col("read.w_end"))
+    return seen.where(stale).select("key", "read.value", "read.begin").distinct()
 
 
 def k_anonymity(rows: DataFrame, quasi: list[str], target: int) -> DataFrame:
@@ -55,11 +61,34 @@ def k_anonymity(rows: DataFrame, quasi: list[str], target: int) -> DataFrame:
 
 
 def request_counts(requests: DataFrame) -> DataFrame:
-    """Requests by method and status, with the mean and the 99th percentile of durations."""
+    """Requests by method and status, with the mean and the longest of durations."""
     return requests.groupBy("method", "status").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("duration"), 6).alias("mean"), F.max("duration").alias("longest"))
 
 
+def request_histogram(requests: DataFrame, bounds: list[float], share: float = 0.99) -> DataFrame:
+    """method, status, le, n, holds: how many requests took bound or less, for each bound and without one (le
+    NULL), and whether that is the given share of them or more. The least bound that holds is the percentile's
+    upper bound. Counts are partial sums, so a method with very many requests costs a row per task."""
+    counts = [F.count_if(F.col("duration") <= b).alias(f"b{i}") for i, b in enumerate(bounds)]
+    sums = requests.groupBy("method", "status").agg(F.count(F.lit(1)).alias("all"), *counts)
+    rows = [F.struct(F.lit(float(b)).alias("le"), F.col(f"b{i}").alias("n")) for i, b in enumerate(bounds)] + [F.struct(F.lit(None).cast("double").alias("le"), F.col("all").alias("n"))]
+    return sums.select("method", "status", "all", F.explode(F.array(*rows)).alias("b")).select("method", "status", "b.le", "b.n", (F.col("b.n") >= F.col("all") * share).alias("holds"))
+
+
 def over_rate(requests: DataFrame, window: str = "60 seconds", most: int = 100) -> DataFrame:
-    """Clients with more requests in a window than allowed."""
+    """Clients with more requests in a window than allowed; windows stand side by side."""
     n = requests.groupBy("client", F.window("ts", window).alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return n.where(F.col("n") > most).select("client", F.col("w.start").alias("window_start"), "n")
+
+
+def over_sliding_rate(requests: DataFrame, seconds: int = 60, most: int = 100) -> DataFrame:
+    """(client, ts, n): requests at which a client has had more than allowed in the window that ends there,
+    itself included and the window's begin left out. Each request counts in the block of time that it is in
+    and the next one, so a client with very many requests is judged block by block."""
+    at = F.unix_micros("ts")
+    wide = seconds * 1_000_000
+    block = F.floor(at / wide)
+    rows = requests.select("client", "ts", at.alias("_at"), F.explode(F.array(block, block + 1)).alias("_block"))
+    last = Window.partitionBy("client", "_block").orderBy("_at").rangeBetween(1 - wide, 0)
+    n = rows.withColumn("n", F.count(F.lit(1)).over(last)).where((F.floor(F.col("_at") / wide) == F.col("_block")) & (F.col("n") > most))
+    return n.select("client", "ts", "n")

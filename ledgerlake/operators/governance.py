@@ -8,16 +8,18 @@ state; everything about rows is a DataFrame plan.
 from __future__ import annotations
 
 import hashlib
+import json
 import secrets
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.errors import ConsentNotFound, LedgerError, ScopeViolation, TokenExpired, TokenNotFound, TokenRevoked
 from ledgerlake.functions import anonymize, keyed
 from ledgerlake.operators.log import record_hash  # noqa: F401  (part of the public surface for proofs)
+from ledgerlake.operators.ordered import dense_offsets, neighbour
 from ledgerlake.plans.select import Catalog, Select
 
 DEFAULT_ROWS, MOST_EXPORTED = 1_000, 10_000
@@ -87,6 +89,15 @@ class Scope:
         if self.tables and table not in self.tables:
             raise ScopeViolation(f"table {table} is outside the scope")
 
+    def shows(self, name: str) -> bool:
+        return (not self.fields or name in self.fields) and name not in self.excluded
+
+    def check_used(self, names: set[str]) -> None:
+        """A hidden column can't be searched or sorted by either."""
+        hidden = sorted(n for n in names if not self.shows(n))
+        if hidden:
+            raise ScopeViolation(f"{', '.join(hidden)} is outside the scope")
+
     def restrict(self, df: DataFrame, ts: str | None = None, pos: str | None = None, stream: str | None = None) -> DataFrame:
         if self.streams and stream:
             df = df.where(F.col(stream).isin(sorted(self.streams)))
@@ -94,7 +105,7 @@ class Scope:
             df = df.where(F.col(ts).between(*[F.lit(x) for x in self.time_range]))
         if self.positions and pos:
             df = df.where(F.col(pos).between(*self.positions))
-        return df.select(*[c for c in df.columns if (not self.fields or c in self.fields) and c not in self.excluded])
+        return df.select(*[c for c in df.columns if self.shows(c)])
 
 
 def list_tables(catalog: Catalog, scope: Scope) -> list[tuple[str, list[str], bool]]:
@@ -187,28 +198,54 @@ def content_hash(lines: DataFrame, key: list[str]) -> DataFrame:
     return parts.select(F.size("rows").cast("long").alias("n_rows"), F.sha2(F.array_join(F.transform("rows", lambda r: r["h"]), ""), 256).alias("sha256"))
 
 
+#: Columns of the audit trail, and records that are held until they are written.
+AUDIT = "at timestamp, tool string, token string, tenant string, tables array<string>, success boolean, error string, transformations array<string>"
+AUDIT_BATCH = 1_000
+EXPORTS = "export_id string, at timestamp, token string, tenant string, table string, n_rows long, sha256 string"
+
+
 @dataclass
 class Governed:
-    """A catalog behind tokens. now() is given, so that results do not hang on the wall clock."""
+    """A catalog behind tokens. now() is given, so that results do not hang on the wall clock.
+
+    Each attempt is one audit record. With a folder, records are appended to tables there, AUDIT_BATCH at a
+    time and on flush(); without one they stay in audit."""
 
     catalog: Catalog
     tokens: TokenStore
     now: object
+    folder: str | None = None
     audit: list[dict] = field(default_factory=list)
 
     def _note(self, tool: str, token: Token | None, tables: list[str], error: str | None, **more) -> None:
-        self.audit.append({"at": self.now(), "tool": tool, "tenant": token.tenant if token else None, "tables": tables, "success": error is None, "error": error, **more})
+        self.audit.append({"at": self.now(), "tool": tool, "token": token.id if token else None, "tenant": token.tenant if token else None, "tables": tables, "success": error is None, "error": error, **more})
+        if self.folder and len(self.audit) >= AUDIT_BATCH:
+            self.flush()
+
+    def flush(self) -> None:
+        """Append the held records to the audit table."""
+        if self.folder and self.audit:
+            spark = SparkSession.active()
+            names = [c.split()[0] for c in AUDIT.split(", ")]
+            spark.createDataFrame([tuple(r.get(n) for n in names) for r in self.audit], AUDIT).coalesce(1).write.mode("append").parquet(f"{self.folder}/audit")
+            self.audit.clear()
 
     def query(self, id: str, select: Select, *params, ts: str | None = None, pos: str | None = None, stream: str | None = None) -> DataFrame:
         """The selected rows that the token's scope shows: its max_rows at most, or 1,000 if it has none."""
-        return self._read(id, select, params, DEFAULT_ROWS, ts, pos, stream)
+        return self._read("query", id, select, params, DEFAULT_ROWS, ts, pos, stream)[0]
 
-    def _read(self, id: str, select: Select, params: tuple, default: int, ts: str | None = None, pos: str | None = None, stream: str | None = None) -> DataFrame:
+    def page(self, id: str, select: Select, *params, **columns) -> tuple[DataFrame, DataFrame]:
+        """(rows, state): as query, and one row with returned and truncated, whether there is more."""
+        rows, more, most = self._read("query", id, select, params, DEFAULT_ROWS, **columns)
+        return rows, capped(more, most)
+
+    def _read(self, tool: str, id: str, select: Select, params: tuple, default: int, ts: str | None = None, pos: str | None = None, stream: str | None = None) -> tuple[DataFrame, DataFrame, int]:
         token = None
         try:
             token = self.tokens.use(id, self.now())
             token.scope.check(select.table)
             bound = select.bind(*params)
+            token.scope.check_used(bound.used())
             wanted = bound.columns
             rows = replace(bound, columns=None, order=(), most=None).build(self.catalog)
             order = [F.col(n).desc_nulls_last() if down else F.col(n).asc_nulls_first() for n, down in bound.order]
@@ -220,20 +257,118 @@ class Governed:
                 seen = seen.select(*[F.col(o).alias(n) for o, n in wanted if o in seen.columns])
             out, done = transform(seen.limit(most), list(token.scope.rules))
         except Exception as e:
-            self._note("query", token, [select.table], type(e).__name__)
+            self._note(tool, token, [select.table], type(e).__name__)
             raise
-        self._note("query", token, [select.table], None, transformations=done)
-        return out
+        self._note(tool, token, [select.table], None, transformations=done)
+        return out, seen, most
 
     def export(self, id: str, table: str, key: list[str], kind: str = "json", limit: int | None = None) -> tuple[DataFrame, DataFrame]:
         """(lines, proof) of a table's export: limit is 1,000 unless asked for, and 10,000 at most; the
         scope's max_rows may lower it."""
         most = min(DEFAULT_ROWS if limit is None else limit, MOST_EXPORTED)
-        rows = self._read(id, Select(table).order_by(*key).limit(most), (), MOST_EXPORTED)
+        rows, _, _ = self._read("export", id, Select(table).order_by(*key).limit(most), (), MOST_EXPORTED)
         lines = (json_lines if kind == "json" else csv_lines)(rows, key)
-        self._note("export", self.tokens.tokens.get(id), [table], None)
         return lines, content_hash(lines, key)
 
+    def register(self, export_id: str, id: str, table: str, proof: DataFrame) -> None:
+        """Enter an export's proof in the registry."""
+        token = self.tokens.tokens[id]
+        names = [c.split()[0] for c in EXPORTS.split(", ")]
+        row = proof.select(F.lit(export_id).alias("export_id"), F.lit(self.now()).cast("timestamp").alias("at"), F.lit(id).alias("token"), F.lit(token.tenant).alias("tenant"), F.lit(table).alias("table"), "n_rows", "sha256")
+        row.select(*names).write.mode("append").parquet(f"{self.folder}/exports")
+
+
+def capped(rows: DataFrame, most: int) -> DataFrame:
+    """One row: returned (most at most) and truncated, whether there are more. Counts most + 1 rows at most."""
+    n = rows.limit(most + 1).agg(F.count(F.lit(1)).alias("n"))
+    return n.select(F.least("n", F.lit(most)).cast("long").alias("returned"), (F.col("n") > most).alias("truncated"))
+
+
+def verify_exports(registry: DataFrame, claims: DataFrame) -> DataFrame:
+    """claims(export_id, sha256) with verified and message: against the registry, not by their form alone."""
+    known = registry.select("export_id", F.col("sha256").alias("_known"))
+    form = F.coalesce(F.col("sha256").rlike("^[0-9a-fA-F]{64}$"), F.lit(False))
+    message = F.when(~form, "not a hash of 64 hex digits").when(F.col("_known").isNull(), "no such export").when(F.lower("sha256") != F.col("_known"), "another content").otherwise("verified")
+    return claims.join(known, "export_id", "left").select("export_id", "sha256", (message == "verified").alias("verified"), message.alias("message"))
+
+
+def system_views(log: DataFrame, exports: DataFrame, holds: DataFrame) -> None:
+    """The views __events, __export_audit and __legal_holds. What the log doesn't have of an event's metadata
+    is NULL."""
+    names = {"position": "long", "timestamp": "timestamp", "tenant_id": "long", "stream": "string", "actor": "string", "caused_by": "string", "client_ip": "string", "operation": "string", "data": "string"}
+    log.select(*[(F.col(n) if n in log.columns else F.lit(None)).cast(t).alias(n) for n, t in names.items()]).createOrReplaceTempView("__events")
+    exports.createOrReplaceTempView("__export_audit")
+    holds.createOrReplaceTempView("__legal_holds")
+
+
+# What each role may do, and the years that audit events of a kind are kept.
+ROLES = {
+    "Owner": ("View data", "Query data", "Create streams", "Append events", "Delete streams", "Manage users", "Manage roles", "Manage billing", "Delete org"),
+    "Admin": ("View data", "Query data", "Create streams", "Append events", "Delete streams", "Manage users"),
+    "Member": ("View data", "Query data", "Create streams", "Append events"),
+    "Viewer": ("View data", "Query data"),
+}
+AUDIT_YEARS = {"authentication": 2, "data access": 7, "administrative": 10}
+AUDIT_KINDS = {
+    "LoginSuccess": "authentication", "LoginFailure": "authentication", "Logout": "authentication", "SessionExpired": "authentication",
+    "QueryExecuted": "data access", "DataExported": "data access", "StreamCreated": "data access", "StreamDeleted": "data access",
+    "UserCreated": "administrative", "UserDeleted": "administrative", "ApiKeyCreated": "administrative", "ApiKeyRevoked": "administrative",
+}
+
+
+def permitted(requests: DataFrame, grants: DataFrame | None = None) -> DataFrame:
+    """requests(id, role, permission, ...) with allowed: by the role, or by grants(principal, resource, permission)
+    where requests have principal and resource."""
+    table = F.create_map(*[F.lit(x) for role, may in ROLES.items() for x in (role, list(may))])
+    by_role = F.coalesce(F.array_contains(table[F.col("role")], F.col("permission")), F.lit(False))
+    if grants is None:
+        return requests.withColumn("allowed", by_role)
+    own = grants.select("principal", "resource", "permission", F.lit(True).alias("_granted")).distinct()
+    return requests.join(own, ["principal", "resource", "permission"], "left").withColumn("allowed", by_role | F.coalesce("_granted", F.lit(False))).drop("_granted")
+
+
+def audit_kept(audit: DataFrame, now, kind: str = "kind", at: str = "at", years: dict | None = None) -> DataFrame:
+    """audit with keep_until and kept: by the years of its kind; kinds without a period are kept."""
+    periods = F.create_map(*[F.lit(x) for pair in (years or AUDIT_YEARS).items() for x in pair])
+    until = F.add_months(F.to_date(at), 12 * periods[F.col(kind)])
+    return audit.withColumn("keep_until", until).withColumn("kept", F.coalesce(until > F.to_date(F.lit(now)), F.lit(True)))
+
+
+def consent_history(events: DataFrame) -> DataFrame:
+    """events(consent_id, at, action) -> each consent's actions in order, as (seq, at, action, until): until is
+    when the next one came, NULL for the one that holds."""
+    numbered = dense_offsets(events, "consent_id", "at", "seq")
+    return neighbour(numbered, "consent_id", ("seq",), F.col("at"), "until", ahead=True).select("consent_id", "seq", "at", "action", "until")
+
+
+def exports_per_consent(consents: DataFrame, exports: DataFrame) -> DataFrame:
+    """consents(consent_id, ...) with the exports(consent_id, at) made under them: n_exports, last_export."""
+    n = exports.groupBy("consent_id").agg(F.count(F.lit(1)).alias("n_exports"), F.max("at").alias("last_export"))
+    return consents.join(n, "consent_id", "left").withColumn("n_exports", F.coalesce("n_exports", F.lit(0)).cast("long"))
+
+
+def json_params(text: str) -> list:
+    """Parameters out of a JSON array: null, booleans, texts and whole numbers of 64 bits as they are, all other
+    numbers, arrays and objects as their JSON text."""
+
+    def one(v):
+        if v is None or isinstance(v, (bool, str)):
+            return v
+        if isinstance(v, int) and -(2**63) <= v < 2**63:
+            return v
+        return v.text if isinstance(v, _Number) else json.dumps(v, separators=(",", ":"), ensure_ascii=False, default=str) if isinstance(v, (list, dict)) else str(v)
+
+    return [one(v) for v in json.loads(text, parse_float=_Number)]
+
+
+class _Number(float):
+    """A number with the text that it was read from."""
+
+    def __new__(cls, text: str):
+        made = super().__new__(cls, text)
+        made.text = text
+        return made
+
 
 def valid_consents(consents: DataFrame, now) -> DataFrame:
     """consents(subject, recipient, status, expires_at): active and not expired."""
@@ -269,6 +404,13 @@ def export_proof(content_sha: str, position: int, head: bytes) -> str:
     return hashlib.sha256(f"{content_sha}:{position}:".encode() + head).hexdigest()
 
 
+def proof_row(content: DataFrame, log: DataFrame, pos: str = "pos") -> DataFrame:
+    """content(n_rows, sha256) with log_position and log_hash, the head of log(pos, hash) at that time, and a
+    signature column, which stays NULL."""
+    head = log.agg(F.max(F.struct(F.col(pos).alias("p"), F.col("hash").alias("h"))).alias("head"))
+    return content.withColumn("_k", F.lit(1)).join(head.withColumn("_k", F.lit(1)), "_k").select("n_rows", F.col("sha256").alias("content_hash"), F.col("head.p").alias("log_position"), F.lower(F.hex("head.h")).alias("log_hash"), F.lit(None).cast("binary").alias("signature"))
+
+
 def placed(streams: DataFrame, groups: DataFrame) -> DataFrame:
     """streams(…, region) with their group; regions without one keep NULL and fail `require_placed`."""
     return streams.join(groups, "region", "left")

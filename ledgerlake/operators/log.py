@@ -9,13 +9,14 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.errors import ChainVerificationFailed, CorruptedRecord, UnexpectedStreamOffset
-from ledgerlake.operators.ordered import sum_before
+from ledgerlake.errors import ChainVerificationFailed, CorruptedRecord, StreamIdTaken, UnexpectedStreamOffset
+from ledgerlake.operators.ordered import dense_offsets, sum_before
 
 CHECKPOINT_EVERY = 1000
+DATA, CHECKPOINT, TOMBSTONE = 0, 1, 2
 ZEROS = "X'" + "00" * 32 + "'"
 
 
@@ -29,26 +30,52 @@ def chained(rows: DataFrame, heads: dict | None = None) -> DataFrame:
     """rows(stream, offset, kind, payload) with prev_hash and hash, each stream's records in order.
 
     A chain is sequential, so a stream is folded by one task, batch by batch: only the last hash is
-    held. heads gives the hashes that streams go on from, for appends."""
+    held. heads gives the hashes that streams go on from, for appends. A checkpoint record without a payload
+    gets its own: the hash before it (zeros for none) and the number of records with it."""
     known = dict(heads or {})
     schema = rows.select("stream", "offset", "kind", "payload").schema.add("prev_hash", "binary").add("hash", "binary")
 
     def run(batches):
         stream, last = None, None
         for batch in batches:
-            prevs, hashes = [], []
-            for s, k, p in zip(*[batch.column(c).to_pylist() for c in ("stream", "kind", "payload")]):
+            prevs, hashes, payloads = [], [], []
+            for s, o, k, p in zip(*[batch.column(c).to_pylist() for c in ("stream", "offset", "kind", "payload")]):
                 if s != stream:
                     stream, last = s, known.get(s)
                 prevs.append(last)
+                if k == CHECKPOINT and p is None:
+                    p = checkpoint_payload(last, o + 1)
+                payloads.append(p)
                 last = hashlib.sha256((last or b"") + bytes([k]) + p).digest()
                 hashes.append(last)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prevs, pa.binary()), pa.array(hashes, pa.binary())], names=[*batch.schema.names, "prev_hash", "hash"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(payloads, pa.binary()), pa.array(prevs, pa.binary()), pa.array(hashes, pa.binary())], names=[*batch.schema.names, "prev_hash", "hash"])
 
     ordered = rows.select("stream", "offset", "kind", "payload").repartition("stream").sortWithinPartitions("stream", "offset")
     return ordered.mapInArrow(run, schema)
 
 
+def checkpoint_payload(before: bytes | None, records: int) -> bytes:
+    """32 bytes of chain hash and the record count as an unsigned long, lowest byte first."""
+    return (before or bytes(32)) + records.to_bytes(8, "little")
+
+
+def with_checkpoints(rows: DataFrame, every: int = CHECKPOINT_EVERY, explicit: DataFrame | None = None) -> DataFrame:
+    """rows(stream, offset, payload) of data records as chained records with checkpoints between them: one after
+    every `every` data records, or, with explicit(stream, after), after the data offsets named there alone."""
+    data = rows.select("stream", "offset", F.lit(DATA).alias("kind"), "payload")
+    if explicit is None:
+        moved = data.withColumn("offset", F.col("offset") + F.floor(F.col("offset") / every))
+        due = rows.where((F.col("offset") + 1) % every == 0).select("stream", (F.col("offset") + 1 + F.floor(F.col("offset") / every)).alias("offset"))
+    else:
+        marks = explicit.select("stream", F.col("after").cast("long").alias("after")).distinct()
+        before = data.withColumn("_mark", F.lit(0)).unionByName(marks.select("stream", F.col("after").alias("offset"), F.lit(None).cast("int").alias("kind"), F.lit(None).cast("binary").alias("payload"), F.lit(1).alias("_mark")))
+        summed = sum_before(before.withColumn("_key", F.col("offset") * 2 + F.col("_mark")), "stream", "_key", F.col("_mark"), "_marks")
+        shifted = summed.withColumn("offset", F.col("offset") + F.col("_marks") + F.col("_mark"))
+        moved, due = shifted.where("_mark = 0").select(*data.columns), shifted.where("_mark = 1").select("stream", "offset")
+    marks = due.select("stream", "offset", F.lit(CHECKPOINT).alias("kind"), F.lit(None).cast("binary").alias("payload"))
+    return chained(moved.unionByName(marks))
+
+
 def with_crc(log: DataFrame) -> DataFrame:
     return log.withColumn("crc", F.crc32("payload"))
 
@@ -68,23 +95,32 @@ def append(log: DataFrame, batch: DataFrame, expected: dict[str, int]) -> DataFr
 
 
 def chain_breaks(log: DataFrame) -> DataFrame:
-    """(stream, offset, problem) of records whose hash, link, offset or first link is wrong. Every record
-    meets its predecessor by an equi-join, so the check is parallel within a stream too."""
-    prev = log.select("stream", (F.col("offset") + 1).alias("offset"), F.col("hash").alias("before"))
-    at = log.join(prev, ["stream", "offset"], "left")
+    """(stream, offset, problem) of records whose hash, link, offset or first link is wrong, one row per
+    stream and offset. Every record meets its predecessor by an equi-join, so the check is parallel within a
+    stream too.
+
+    A NULL hash, payload or kind is as wrong as another one (hash); an offset that several records have is
+    doubled; a record whose predecessor is missing follows a gap; a NULL offset is a gap of its own."""
+    own = log.groupBy("stream", "offset").agg(F.count(F.lit(1)).alias("times"), F.max("hash").alias("before"))
+    prev = own.select("stream", (F.col("offset") + 1).alias("offset"), "before", F.lit(True).alias("follows"))
+    at = log.join(own.select("stream", "offset", "times"), ["stream", "offset"], "left").join(prev, ["stream", "offset"], "left")
     zero = F.expr(ZEROS)
     link = F.when(F.col("prev_hash") == zero, F.lit(None)).otherwise(F.col("prev_hash"))
+    right = record_hash(F.col("prev_hash"), F.col("kind"), F.col("payload"))
     problem = (
-        F.when(F.col("hash") != record_hash(F.col("prev_hash"), F.col("kind"), F.col("payload")), "hash")
+        F.when(F.col("offset").isNull(), "gap")
+        .when(F.col("times") > 1, "doubled")
+        .when(F.col("hash").isNull() | ~F.col("hash").eqNullSafe(right), "hash")
         .when((F.col("offset") == 0) & link.isNotNull(), "genesis")
-        .when((F.col("offset") > 0) & F.col("before").isNull(), "gap")
-        .when((F.col("offset") > 0) & ~F.col("prev_hash").eqNullSafe(F.col("before")), "link")
+        .when((F.col("offset") != 0) & F.col("follows").isNull(), "gap")
+        .when((F.col("offset") != 0) & ~F.col("prev_hash").eqNullSafe(F.col("before")), "link")
     )
-    return at.select("stream", "offset", problem.alias("problem")).where("problem is not null")
+    return at.select("stream", "offset", problem.alias("problem")).where("problem is not null").distinct()
 
 
 def crc_breaks(log: DataFrame) -> DataFrame:
-    return log.where(F.crc32("payload") != F.col("crc")).select("stream", "offset")
+    """Records whose checksum is not their payload's; a NULL payload or checksum is a break."""
+    return log.where(F.col("payload").isNull() | ~F.crc32("payload").eqNullSafe(F.col("crc"))).select("stream", "offset")
 
 
 def checkpoints(log: DataFrame, every: int = CHECKPOINT_EVERY) -> DataFrame:
@@ -144,3 +180,31 @@ def loss_report(recoveries: DataFrame) -> DataFrame:
     n = F.greatest(F.lit(0).cast("long"), F.coalesce(F.col("discarded_to") - F.col("discarded_from"), F.lit(0)).cast("long"))
     lost = n > 0
     return recoveries.select("id", n.alias("affected"), F.when(lost, F.col("discarded_from")).alias("first"), F.when(lost, F.col("discarded_to") - 1).alias("last"), lost.alias("had_data_loss"))
+
+
+def sealed(head: DataFrame, roots: DataFrame, times: DataFrame) -> DataFrame:
+    """Checkpoints to seal: head(stream, pos, hash), roots(stream, root) of the state, times(stream, sealed_at)."""
+    last = head.groupBy("stream").agg(F.max(F.struct("pos", "hash")).alias("h"))
+    found = last.join(roots, "stream").join(times, "stream")
+    return found.select("stream", F.col("h.pos").alias("position"), F.lower(F.hex("h.hash")).alias("log_hash"), F.col("root").alias("state_root"), "sealed_at")
+
+
+STREAMS = "id long, name string, region long"
+
+
+def streams_table(spark: SparkSession) -> DataFrame:
+    """An empty table of streams."""
+    return spark.createDataFrame([], STREAMS)
+
+
+def create_streams(known: DataFrame, made: DataFrame) -> DataFrame:
+    """known with made(id, name, region). An id that is taken or given twice is refused; rows without one get the
+    ids after the largest, by name."""
+    given, free = made.where("id IS NOT NULL"), made.where("id IS NULL")
+    both = known.select("id").unionByName(given.select("id"))
+    twice = both.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").first()
+    if twice:
+        raise StreamIdTaken(twice["id"])
+    first = (both.agg(F.max("id")).first()[0] or 0) + 1
+    numbered = dense_offsets(free.withColumn("_all", F.lit(0)), "_all", "name", "_n").withColumn("id", F.col("_n") + first)
+    return known.unionByName(given.select(known.columns)).unionByName(numbered.select(known.columns))

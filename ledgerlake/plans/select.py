@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ledgerlake.errors import ColumnNotFound, ParameterNotFound, TableNotFound, TypeMismatch, UnsupportedFeature
 
-OPERATORS = ("=", "<", "<=", ">", ">=", "in")
+OPERATORS = ("=", "<", "<=", ">", ">=", "in", "between", "has")
 
 
 @dataclass(frozen=True)
@@ -54,6 +54,11 @@ class Catalog:
         self.tables[table.name] = table
         return self
 
+    def drop(self, name: str) -> Catalog:
+        self.get(name)
+        del self.tables[name]
+        return self
+
     def get(self, name: str) -> TableDef:
         if name not in self.tables:
             raise TableNotFound(name)
@@ -64,6 +69,17 @@ def _family(value) -> str:
     return "boolean" if isinstance(value, bool) else "number" if isinstance(value, (int, float)) else "text" if isinstance(value, str) else "bytes" if isinstance(value, (bytes, bytearray)) else "time"
 
 
+def _check_test(field: T.StructField, op: str, value) -> None:
+    """Refuse a test whose values are of another kind than the column; nothing is converted."""
+    kind = field.dataType
+    if op == "has":
+        if not isinstance(kind, T.ArrayType):
+            raise TypeMismatch(kind.simpleString(), "array")
+        kind = kind.elementType
+    for v in value if op in ("in", "between") else (value,):
+        _check(kind, v)
+
+
 def _check(kind: T.DataType, value) -> None:
     families = {"boolean": T.BooleanType, "number": T.NumericType, "text": T.StringType, "bytes": T.BinaryType, "time": (T.TimestampType, T.TimestampNTZType, T.DateType)}
     if value is not None and not isinstance(kind, families[_family(value)]):
@@ -73,6 +89,10 @@ def _check(kind: T.DataType, value) -> None:
 def predicate(column: Column, op: str, value, nullable: bool = True) -> Column:
     """column op value, with NULL as the least value."""
     null = column.isNull() if nullable else F.lit(False)
+    if op == "between":
+        return predicate(column, ">=", value[0], nullable) & predicate(column, "<=", value[1], nullable)
+    if op == "has":  # value = ANY(column)
+        return F.coalesce(F.array_contains(column, value), F.lit(False)) if value is not None else F.coalesce(F.exists(column, lambda x: x.isNull()), F.lit(False))
     if op == "in":
         known = [v for v in value if v is not None]
         arms = ([column.isin(known)] if known else []) + ([null] if len(known) < len(value) else [])
@@ -100,9 +120,28 @@ class Select:
         return replace(self, columns=(*[(n, n) for n in names], *[(old, new) for new, old in renamed.items()]))
 
     def where(self, column: str, op: str, value) -> Select:
+        """One more condition. The column may be qualified by the table's own name."""
         if op not in OPERATORS:
             raise UnsupportedFeature(f"operator {op}")
-        return replace(self, tests=(*self.tests, (column, op, value)))
+        return replace(self, tests=(*self.tests, (self._own(column), op, value)))
+
+    def where_any(self, *tests: tuple[str, str, object]) -> Select:
+        """One more condition: any of the tests (column, operator, value)."""
+        for _, op, _ in tests:
+            if op not in OPERATORS:
+                raise UnsupportedFeature(f"operator {op}")
+        return replace(self, tests=(*self.tests, ("", "any", tuple((self._own(c), op, v) for c, op, v in tests))))
+
+    def _own(self, column: str) -> str:
+        table, dot, name = column.rpartition(".")
+        if dot and table != self.table:
+            raise ColumnNotFound(table, name)
+        return name
+
+    def used(self) -> set[str]:
+        """The columns that conditions and the order read."""
+        tests = [t for c, op, v in self.tests for t in (v if op == "any" else ((c, op, v),))]
+        return {c for c, _, _ in tests} | {c for c, _ in self.order}
 
     def order_by(self, *names: str) -> Select:
         """Names to sort by; a leading minus sorts downwards."""
@@ -123,7 +162,10 @@ class Select:
                 return values[v.number - 1]
             return [one(x) for x in v] if isinstance(v, (list, tuple)) else v
 
-        return replace(self, tests=tuple((c, op, one(v)) for c, op, v in self.tests))
+        def test(c, op, v):
+            return (c, op, tuple(test(*t) for t in v) if op == "any" else one(v))
+
+        return replace(self, tests=tuple(test(*t) for t in self.tests))
 
     def path(self, catalog: Catalog) -> str:
         """How the key is bound: "point", "range" or "scan". Only for reports."""
@@ -133,15 +175,22 @@ class Select:
             return "point"
         return "range" if len(key) == 1 and any(c == key[0] and op in OPERATORS[:5] for c, op, _ in self.tests) else "scan"
 
+    def at(self, catalog: Catalog, ops: DataFrame, position: int, decode) -> DataFrame:
+        """The selection as of a log position: ops are read there (refused if it isn't applied yet) and decode
+        turns (key, created_at, value) into the table's columns."""
+        from ledgerlake.operators.versions import read_at
+
+        return self.build(catalog, decode(read_at(ops, position)))
+
     def build(self, catalog: Catalog, rows: DataFrame | None = None) -> DataFrame:
         """The DataFrame; rows stands in for the table's rows, for instance as of a position."""
         table = catalog.get(self.table)
         df = table.rows if rows is None else rows
-        for name, op, value in self.bind().tests:
-            kind = table.field(name).dataType
-            for v in value if op == "in" else (value,):
-                _check(kind, v)
-            df = df.where(predicate(F.col(name), op, value, table.nullable(name)))
+        for test in self.bind().tests:
+            arms = test[2] if test[1] == "any" else (test,)
+            for name, op, value in arms:
+                _check_test(table.field(name), op, value)
+            df = df.where(reduce(lambda a, b: a | b, [predicate(F.col(n), op, v, table.nullable(n)) for n, op, v in arms], F.lit(False)) if len(arms) != 1 else predicate(F.col(arms[0][0]), arms[0][1], arms[0][2], table.nullable(arms[0][0])))
         for name, _ in (*self.order, *(self.columns or ())):
             table.field(name)
         if self.order:

@@ -10,15 +10,19 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlake.functions import anonymize as A
 from ledgerlake.functions import keyed
 from ledgerlake.operators import checks, governance, log, projections, versions
 from ledgerlake.operators.merkle import merkle_root
 from ledgerlake.operators.ordered import dense_offsets
-from ledgerlake.plans.materialize import materialize
+from ledgerlake.plans.materialize import fresh_path, materialize
 from ledgerlake.plans.select import Catalog, Param, Select, TableDef
+from ledgerlake.functions import text
 from ledgerlake.sources import records
+from ledgerlake.sources import rows as json_rows
+from ledgerlake.sources.rows import decode_rows
 from ledgerlake.streaming.apply import run_projection
 
 KEYS = {
@@ -112,6 +116,18 @@ def alias_projection(spark, sf):
     return s.build(catalog(spark, sf, "customer"))
 
 
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE (o_orderkey < 50 OR o_orderstatus = 'P' OR o_orderstatus IS NULL) AND o_totalprice BETWEEN 1000 AND 100000")
+def or_filter(spark, sf):
+    s = Select("orders").pick("o_orderkey", "o_orderstatus").where_any(("orders.o_orderkey", "<", Param(1)), ("o_orderstatus", "in", ["P", None])).where("orders.o_totalprice", "between", (1000, Param(2)))
+    return s.bind(50, 100000).build(catalog(spark, sf, "orders"))
+
+
+@query("SELECT o_custkey AS token_id, o_orderdate AS at FROM orders WHERE list_contains([o_orderstatus, o_orderpriority], 'F')")
+def any_of_array(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("token_id"), F.col("o_orderdate").alias("at"), F.array("o_orderstatus", "o_orderpriority").alias("tables"))
+    return Select("exports").pick("token_id", "at").where("tables", "has", "F").build(Catalog().add(TableDef("exports", o)))
+
+
 _SOME_NULL = "(SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_nationkey END AS k FROM customer)"
 
 
@@ -149,14 +165,94 @@ def mvcc_versions(spark, sf):
     return versions.versions(op_log(spark, sf)).select("key", "value", "created_at", "deleted_at")
 
 
-@query(f"SELECT key, created_at, value FROM {_VERSIONS} WHERE created_at <= 500 AND (deleted_at IS NULL OR deleted_at > 500)")
+_HALF = "(SELECT max(event_id + 1) // 2 AS p FROM events)"
+
+
+def half(ops):
+    """The position in the middle of an operation log."""
+    return versions.applied_position(ops) // 2
+
+
+@query(f"SELECT key, created_at, value FROM {_VERSIONS}, {_HALF} WHERE created_at <= p AND (deleted_at IS NULL OR deleted_at > p)")
 def mvcc_as_of(spark, sf):
-    return versions.read_at(op_log(spark, sf), 500)
+    ops = op_log(spark, sf)
+    return versions.read_at(ops, half(ops))
 
 
-@query(f"SELECT key, value, created_at FROM {_VERSIONS} WHERE created_at <= 500 AND (deleted_at IS NULL OR deleted_at > 500)")
+@query(f"SELECT key, value, created_at FROM {_VERSIONS}, {_HALF} WHERE created_at <= p AND (deleted_at IS NULL OR deleted_at > p)")
 def mvcc_visible(spark, sf):
-    return versions.visible(versions.versions(op_log(spark, sf)), 500).select("key", "value", "created_at")
+    ops = op_log(spark, sf)
+    return versions.visible(versions.versions(ops), half(ops)).select("key", "value", "created_at")
+
+
+_TIED = "(SELECT user_id AS key, event_id // 5 + 1 AS pos, arg_max(CASE WHEN event_type = 'error' THEN 'D' ELSE 'P' END, event_id) AS op, arg_max(event_type, event_id) AS value FROM (SELECT user_id % 4 AS user_id, event_id, event_type FROM events) GROUP BY ALL)"
+
+
+def tied_log(spark, sf):
+    """Five operations share a position; seq is their order. Four keys have all of them."""
+    e = table(spark, sf, "events")
+    return e.select((F.col("user_id") % 4).alias("key"), F.floor(F.col("event_id") / 5 + 1).alias("pos"), F.when(F.col("event_type") == "error", "D").otherwise("P").alias("op"), F.col("event_type").alias("value"), F.col("event_id").alias("seq"))
+
+
+@query(f"SELECT key, value, pos AS created_at, deleted_at FROM (SELECT *, lead(pos) OVER (PARTITION BY key ORDER BY pos) AS deleted_at FROM {_TIED}) WHERE op = 'P'")
+def mvcc_ties(spark, sf):
+    return versions.versions(tied_log(spark, sf)).select("key", "value", "created_at", "deleted_at")
+
+
+@query(f"SELECT key, pos AS created_at, value FROM {_TIED} QUALIFY row_number() OVER (PARTITION BY key ORDER BY pos DESC) = 1 AND op = 'P'")
+def mvcc_ties_current(spark, sf):
+    return versions.state_at(tied_log(spark, sf))
+
+
+def row_log(spark, sf):
+    """An operation log whose values are JSON rows of a users table."""
+    e = table(spark, sf, "events")
+    row = json_rows.encode_row([("user_id", e.schema["user_id"].dataType), ("event_type", e.schema["event_type"].dataType), ("value", e.schema["value"].dataType)])
+    return e.select(F.col("user_id").alias("key"), (F.col("event_id") + 1).alias("pos"), F.when(F.col("event_type") == "error", "D").otherwise("P").alias("op"), row.alias("value"))
+
+
+USERS = T.StructType([T.StructField("user_id", T.LongType(), False), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType())])
+_USERS_AT = f"(SELECT user_id, event_type, value FROM events, {_HALF} WHERE event_id + 1 <= p QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1 AND event_type <> 'error')"
+
+
+def users(spark):
+    return Catalog().add(TableDef("users", spark.createDataFrame([], USERS), ("user_id",)))
+
+
+@query(f"SELECT user_id, value FROM {_USERS_AT} WHERE value > 50 ORDER BY user_id LIMIT 200")
+def select_as_of(spark, sf):
+    ops = row_log(spark, sf)
+    s = Select("users").pick("user_id", "value").where("users.value", ">", Param(1)).order_by("user_id").limit(200).bind(50)
+    return s.at(users(spark), ops, half(ops), lambda found: decode_rows(found, "value", USERS))
+
+
+@query(f"SELECT key, created_at, value FROM {_VERSIONS}, {_HALF} WHERE created_at <= p AND (deleted_at IS NULL OR deleted_at > p) AND key >= 10 AND key < 200 ORDER BY key LIMIT 50")
+def kv_scan_as_of(spark, sf):
+    ops = op_log(spark, sf)
+    return versions.scan(versions.read_at(ops, half(ops)), 10, 200, 50)
+
+
+@query("SELECT event_id, user_id, event_type, value, lower(hex(encode(event_type || event_id))) AS mark FROM events")
+def json_row_decode(spark, sf):
+    e = table(spark, sf, "events").withColumn("mark", F.encode(F.concat("event_type", F.col("event_id").cast("string")), "utf-8"))
+    schema = T.StructType([T.StructField("event_id", T.LongType(), False), *USERS.fields, T.StructField("mark", T.BinaryType())])
+    packed = e.select(json_rows.encode_row([(f.name, f.dataType) for f in schema.fields]).alias("payload"))
+    return decode_rows(packed, "payload", schema).withColumn("mark", F.lower(F.hex("mark")))
+
+
+_APPLIED = (
+    "(SELECT user_id AS key, event_id + 1 AS pos, 0 AS seq, CASE WHEN event_type = 'error' THEN 'D' ELSE 'P' END AS op, event_type AS value FROM events "
+    "UNION ALL SELECT c_custkey, n + 1, c_nationkey, 'P', c_mktsegment FROM customer, (SELECT max(event_id + 1) AS n FROM events) WHERE c_custkey % 2 = 0 "
+    "UNION ALL SELECT c_custkey, n + 2, 0, 'D', NULL FROM customer, (SELECT max(event_id + 1) AS n FROM events) WHERE c_custkey % 6 = 0)"
+)
+
+
+@query(f"SELECT key, pos AS created_at, value FROM {_APPLIED} QUALIFY row_number() OVER (PARTITION BY key ORDER BY pos DESC, seq DESC) = 1 AND op = 'P'")
+def apply_rows(spark, sf):
+    c = table(spark, sf, "customer")
+    ops = versions.apply(op_log(spark, sf), "insert", c.where("c_custkey % 2 = 0"), "c_custkey", F.col("c_mktsegment"), F.col("c_nationkey"))
+    ops = versions.apply(ops, "delete", c.where("c_custkey % 6 = 0"), "c_custkey", F.lit(None).cast("string"))
+    return versions.read_consistent(ops, "linearizable", head=versions.applied_position(ops))
 
 
 @query(f"SELECT key, created_at, value FROM {_VERSIONS} WHERE deleted_at IS NULL")
@@ -213,9 +309,15 @@ def chained_log(spark, sf):
 
 
 def tampered_log(spark, sf):
-    """The chained log with another payload at offset 7 of each stream."""
-    wrong = F.when(F.col("offset") == 7, F.concat(F.col("payload"), F.lit(b"!"))).otherwise(F.col("payload"))
-    return chained_log(spark, sf).withColumn("payload", wrong)
+    """The chained log with another payload at offset 7 of each stream, none at 13, no hash at 11 and at the
+    last offset, record 17 twice, zeros for the previous hash at 21, and without record 25."""
+    rows = chained_log(spark, sf)
+    last = rows.groupBy("stream").agg(F.max("offset").alias("last"))
+    offset = F.col("offset")
+    wrong = F.when(offset == 7, F.concat(F.col("payload"), F.lit(b"!"))).when(offset != 13, F.col("payload"))
+    bad = rows.join(last, "stream").withColumn("payload", wrong).withColumn("hash", F.when((offset != 11) & (offset != F.col("last")), F.col("hash")))
+    bad = bad.withColumn("prev_hash", F.when(offset == 21, F.unhex(F.lit("00" * 32))).otherwise(F.col("prev_hash"))).drop("last").where("offset <> 25")
+    return bad.unionByName(bad.where("offset = 17"))
 
 
 _LOG = "(SELECT event_type AS stream, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS \"offset\", event_id + 1 AS pos, concat_ws('|', event_id, user_id, event_type) AS payload FROM events)"
@@ -236,9 +338,13 @@ def byte_budget_read(spark, sf):
     return log.within_budget(rows, 5000).select("stream", "offset", F.decode("payload", "utf-8").alias("payload"))
 
 
-@query(f"SELECT stream, max(\"offset\") AS last_offset, count(*) AS n, 'Global' AS placement FROM {_LOG} GROUP BY stream")
+@query(f"SELECT l.stream, max(\"offset\") AS last_offset, count(*) AS n, coalesce(max(r_name), 'Global') AS placement FROM {_LOG} l LEFT JOIN region ON strlen(l.stream) = r_regionkey + 4 GROUP BY l.stream")
 def stream_metadata(spark, sf):
-    return event_log(spark, sf).groupBy("stream").agg(F.max("offset").alias("last_offset"), F.count(F.lit(1)).alias("n")).withColumn("placement", F.lit("Global"))
+    """A stream stays in the region that a table names for it (here by the length of its name), else it is global."""
+    streams = event_log(spark, sf).groupBy("stream").agg(F.max("offset").alias("last_offset"), F.count(F.lit(1)).alias("n"))
+    places = table(spark, sf, "region").select((F.col("r_regionkey") + 4).alias("length"), F.col("r_name").alias("region"))
+    found = streams.withColumn("length", F.octet_length("stream")).join(places, "length", "left")
+    return found.select("stream", "last_offset", "n", F.coalesce("region", F.lit("Global")).alias("placement"))
 
 
 @query(f"WITH RECURSIVE {_CHAIN} SELECT stream, \"offset\", lower(hex(h)) AS hash FROM chain")
@@ -254,11 +360,60 @@ def chain_verify(spark, sf):
     return n.join(bad, "stream", "left").select("stream", "n", F.coalesce("b", F.lit(0)).cast("long").alias("n_bad"))
 
 
-@query("SELECT DISTINCT event_type AS stream, 7::BIGINT AS \"offset\", 'hash' AS problem FROM (SELECT event_type, count(*) AS n FROM events GROUP BY event_type) WHERE n > 7")
+_TAMPERED = (
+    "bad AS (SELECT stream, \"offset\", CASE WHEN \"offset\" = 7 THEN payload || '!' WHEN \"offset\" = 13 THEN NULL ELSE payload END AS payload, "
+    "CASE WHEN \"offset\" = 21 THEN unhex(repeat('00', 32)) ELSE prev END AS prev, CASE WHEN \"offset\" IN (11, last) THEN NULL ELSE h END AS h "
+    "FROM chain JOIN (SELECT stream, max(\"offset\") AS last FROM log GROUP BY stream) USING (stream), (SELECT unnest([1, 2]) AS copy) WHERE (copy = 1 OR \"offset\" = 17) AND \"offset\" <> 25), "
+    "own AS (SELECT stream, \"offset\", count(*) AS times, max(h) AS h FROM bad GROUP BY ALL)"
+)
+
+
+@query(
+    f"WITH RECURSIVE {_CHAIN}, {_TAMPERED} SELECT DISTINCT * FROM (SELECT b.stream, b.\"offset\", CASE WHEN o.times > 1 THEN 'doubled' "
+    "WHEN b.h IS NULL OR payload IS NULL OR b.h <> unhex(sha256(coalesce(prev, ''::BLOB) || unhex('00') || encode(payload))) THEN 'hash' WHEN b.\"offset\" > 0 AND p.stream IS NULL THEN 'gap' "
+    "WHEN b.\"offset\" > 0 AND b.prev IS DISTINCT FROM p.h THEN 'link' END AS problem FROM bad b JOIN own o ON o.stream = b.stream AND o.\"offset\" = b.\"offset\" "
+    "LEFT JOIN own p ON p.stream = b.stream AND p.\"offset\" = b.\"offset\" - 1) WHERE problem IS NOT NULL"
+)
 def chain_tamper(spark, sf):
     return log.chain_breaks(tampered_log(spark, sf))
 
 
+@query(f"SELECT stream, count(*) AS n, max(\"offset\") AS last FROM {_LOG} WHERE \"offset\" % 50 <> 3 GROUP BY stream HAVING count(*) <> max(\"offset\") + 1")
+def count_mismatch(spark, sf):
+    return checks.count_mismatches(event_log(spark, sf).where("offset % 50 <> 3"))
+
+
+@query(
+    f"WITH RECURSIVE log AS MATERIALIZED {_LOG}, mixed AS MATERIALIZED (SELECT stream, \"offset\" + \"offset\" // 100 AS \"offset\", 0 AS kind, payload FROM log "
+    "UNION ALL SELECT stream, \"offset\" + 1 + \"offset\" // 100, 1, NULL FROM log WHERE (\"offset\" + 1) % 100 = 0), "
+    "chain AS (SELECT stream, \"offset\", kind, encode(payload) AS payload, unhex(sha256(unhex('00') || encode(payload))) AS h FROM mixed WHERE \"offset\" = 0 "
+    "UNION ALL SELECT stream, \"offset\", kind, payload, unhex(sha256(prev || unhex('0' || kind) || payload)) FROM (SELECT l.stream, l.\"offset\", l.kind, c.h AS prev, "
+    "CASE WHEN l.kind = 1 THEN c.h || unhex(lpad(to_hex((l.\"offset\" + 1) % 256), 2, '0') || lpad(to_hex((l.\"offset\" + 1) // 256 % 256), 2, '0') || lpad(to_hex((l.\"offset\" + 1) // 65536 % 256), 2, '0') || repeat('00', 5)) ELSE encode(l.payload) END AS payload "
+    "FROM chain c JOIN mixed l ON l.stream = c.stream AND l.\"offset\" = c.\"offset\" + 1)) SELECT stream, \"offset\", kind, lower(hex(payload)) AS payload, lower(hex(h)) AS hash FROM chain"
+)
+def checkpoint_append(spark, sf):
+    found = log.with_checkpoints(event_log(spark, sf), 100)
+    return found.select("stream", "offset", "kind", F.lower(F.hex("payload")).alias("payload"), F.lower(F.hex("hash")).alias("hash"))
+
+
+@query(f"WITH l AS {_LOG} SELECT stream, \"offset\", payload FROM l WHERE stream IN ('click', 'view') AND \"offset\" >= 5")
+def log_table_roundtrip(spark, sf):
+    path = fresh_path(spark, "log-table")
+    records.write_log(event_log(spark, sf), path)
+    return records.read_log(spark, path).where("stream IN ('click', 'view') AND offset >= 5").select("stream", "offset", F.decode("payload", "utf-8").alias("payload"))
+
+
+_STREAMS = "(SELECT n_nationkey + 1 AS id, n_name AS name, n_regionkey AS region FROM nation)"
+
+
+@query(f"SELECT id, name, region FROM {_STREAMS} UNION ALL SELECT (SELECT max(id) FROM {_STREAMS}) + 1 + r_regionkey, r_name, r_regionkey FROM region")
+def create_streams(spark, sf):
+    known = log.streams_table(spark)
+    n = table(spark, sf, "nation")
+    known = log.create_streams(known, n.select((F.col("n_nationkey") + 1).alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("long").alias("region")))
+    return log.create_streams(known, table(spark, sf, "region").select(F.lit(None).cast("long").alias("id"), F.col("r_name").alias("name"), F.col("r_regionkey").cast("long").alias("region")))
+
+
 @query(f'SELECT stream, "offset" FROM {_LOG} WHERE "offset" > 0 AND (pos - 1) % 97 <> 5 AND (stream, "offset" - 1) NOT IN (SELECT (stream, "offset") FROM {_LOG} WHERE (pos - 1) % 97 <> 5)')
 def offset_continuity(spark, sf):
     return checks.offset_gaps(event_log(spark, sf).where("(pos - 1) % 97 <> 5"))
@@ -313,11 +468,11 @@ def idempotent_dedup(spark, sf):
     return log.first_submits(e.unionByName(again), "id", "ts")
 
 
-@query(f'SELECT i.id, stream, "offset", "offset" IS NOT NULL AS committed FROM (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 3 = 0) i LEFT JOIN {_LOG} l ON l.pos - 1 = i.id')
+@query(f'SELECT i.id, stream, "offset", CASE WHEN payload IS NOT NULL THEN sha256(payload) END AS hash, "offset" IS NOT NULL AS committed FROM (SELECT o_orderkey AS id FROM orders) i LEFT JOIN {_LOG} l ON l.pos - 1 = i.id')
 def commitment_proof(spark, sf):
-    ids = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")).where("id % 3 = 0")
+    ids = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
     rows = event_log(spark, sf).select((F.col("pos") - 1).alias("id"), "stream", "offset", F.sha2("payload", 256).alias("hash"))
-    return log.commitment_proof(rows, ids).drop("hash")
+    return log.commitment_proof(rows, ids)
 
 
 @query("SELECT event_id AS id, greatest(0, n)::BIGINT AS affected, CASE WHEN n > 0 THEN event_id END AS first, CASE WHEN n > 0 THEN event_id + n - 1 END AS last, n > 0 AS had_data_loss FROM (SELECT event_id, event_id % 4 - 1 AS n FROM events WHERE event_type = 'error')")
@@ -411,7 +566,7 @@ def k_anonymity(spark, sf):
 
 RULES = (
     governance.Rule("c_name", "partial_mask", (0, 4)),
-    governance.Rule("c_acct*", "redact"),
+    governance.Rule("c_address", "redact"),
     governance.Rule("c_nationkey", "generalize", (5,)),
     governance.Rule("c_mkt.*", "hash"),
 )
@@ -427,10 +582,10 @@ def governed(spark, sf, scope, *names):
     return governance.Governed(catalog(spark, sf, *names), store, lambda: NOW)
 
 
-@query(f"SELECT {_SEEN} FROM customer WHERE c_acctbal > 100 ORDER BY c_custkey LIMIT 200")
+@query(f"SELECT {_SEEN} FROM customer WHERE c_custkey > 100 ORDER BY c_custkey LIMIT 200")
 def scoped_query(spark, sf):
     g = governed(spark, sf, governance.Scope(frozenset({"customer"}), excluded=frozenset({"c_acctbal"}), max_rows=200, rules=RULES), "customer")
-    return g.query("t", Select("customer").where("c_acctbal", ">", Param(1)).order_by("c_custkey"), 100)
+    return g.query("t", Select("customer").where("c_custkey", ">", Param(1)).order_by("c_custkey"), 100)
 
 
 @query("SELECT event_id, ts, '***' AS event_type FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-10' ORDER BY event_id LIMIT 300")
@@ -458,10 +613,117 @@ def export_content_hash(spark, sf):
     return g.export("t", "customer", ["c_custkey"], "csv")[1]
 
 
-@query("SELECT count(*) AS n, least(count(*), 100) AS returned, count(*) > 100 AS truncated FROM (SELECT 1 FROM customer WHERE c_mktsegment = 'BUILDING' LIMIT 101)")
+@query("SELECT least(count(*), 100) AS returned, count(*) > 100 AS truncated FROM customer WHERE c_mktsegment = 'BUILDING'")
 def row_cap(spark, sf):
-    rows = Select("customer").where("c_mktsegment", "=", "BUILDING").limit(101).build(catalog(spark, sf, "customer"))
-    return rows.agg(F.count(F.lit(1)).alias("n")).select("n", F.least("n", F.lit(100)).alias("returned"), (F.col("n") > 100).alias("truncated"))
+    g = governed(spark, sf, governance.Scope(max_rows=100), "customer")
+    return g.page("t", Select("customer").where("c_mktsegment", "=", "BUILDING"))[1]
+
+
+@query("SELECT count(*) AS n_rows, sha256(string_agg(sha256(line), '' ORDER BY o_orderkey)) AS sha256 FROM (SELECT o_orderkey, o_orderkey || ',' || o_custkey AS line FROM orders ORDER BY o_orderkey LIMIT 5000)")
+def export_beyond_the_default(spark, sf):
+    g = governed(spark, sf, governance.Scope(fields=frozenset({"o_orderkey", "o_custkey"})), "orders")
+    return g.export("t", "orders", ["o_orderkey"], "csv", 5000)[1]
+
+
+_EXPORT_SHA = "(SELECT count(*) AS n, sha256(string_agg(sha256(line), '' ORDER BY c_custkey)) AS h FROM (SELECT c_custkey, c_custkey || ',\"' || c_name || '\"' AS line FROM customer ORDER BY c_custkey LIMIT 1000))"
+
+
+@query(
+    f"SELECT 'export-' || n_nationkey AS export_id, CASE n_nationkey % 3 WHEN 0 THEN h WHEN 1 THEN repeat('0', 64) ELSE 'short' END AS sha256, n_nationkey = 0 AS verified, "
+    f"CASE WHEN n_nationkey % 3 = 2 THEN 'not a hash of 64 hex digits' WHEN n_nationkey > 1 THEN 'no such export' WHEN n_nationkey = 1 THEN 'another content' ELSE 'verified' END AS message FROM nation, {_EXPORT_SHA}"
+)
+def export_verify(spark, sf):
+    g = governed(spark, sf, governance.Scope(fields=frozenset({"c_custkey", "c_name"})), "customer")
+    g.folder = fresh_path(spark, "governed")
+    proof = materialize(g.export("t", "customer", ["c_custkey"], "csv")[1], "proof")
+    for number in (0, 1):
+        g.register(f"export-{number}", "t", "customer", proof)
+    claim = F.when(F.col("n_nationkey") % 3 == 0, F.col("sha256")).when(F.col("n_nationkey") % 3 == 1, F.lit("0" * 64)).otherwise("short")
+    n = table(spark, sf, "nation").withColumn("k", F.lit(1)).join(proof.withColumn("k", F.lit(1)), "k")
+    claims = n.select(F.concat(F.lit("export-"), F.col("n_nationkey").cast("string")).alias("export_id"), claim.alias("sha256"))
+    return governance.verify_exports(spark.read.parquet(f"{g.folder}/exports"), claims)
+
+
+@query(
+    f"WITH RECURSIVE {_CHAIN} SELECT n AS n_rows, h AS content_hash, p AS log_position, head AS log_hash, NULL::BLOB AS signature FROM {_EXPORT_SHA}, "
+    "(SELECT max(pos) AS p, arg_max(lower(hex(h)), pos) AS head FROM chain JOIN log USING (stream, \"offset\"))"
+)
+def export_proof_row(spark, sf):
+    g = governed(spark, sf, governance.Scope(fields=frozenset({"c_custkey", "c_name"})), "customer")
+    positions = event_log(spark, sf).select("stream", "offset", "pos")
+    return governance.proof_row(g.export("t", "customer", ["c_custkey"], "csv")[1], chained_log(spark, sf).join(positions, ["stream", "offset"]))
+
+
+@query(
+    "SELECT consent_id, seq, \"at\", action, lead(\"at\") OVER (PARTITION BY consent_id ORDER BY seq) AS until FROM (SELECT user_id % 50 AS consent_id, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) - 1 AS seq, event_id AS \"at\", event_type AS action FROM events)"
+)
+def consent_history(spark, sf):
+    e = table(spark, sf, "events")
+    return governance.consent_history(e.select((F.col("user_id") % 50).alias("consent_id"), F.col("event_id").alias("at"), F.col("event_type").alias("action")))
+
+
+@query("SELECT c_custkey AS consent_id, count(o_orderkey) AS n_exports, max(o_orderdate) AS last_export FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+def exports_per_consent(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("consent_id"), F.col("o_orderdate").alias("at"))
+    return governance.exports_per_consent(table(spark, sf, "customer").select(F.col("c_custkey").alias("consent_id")), o)
+
+
+@query("SELECT event_id + 1 AS position, ts AS timestamp, user_id % 8 AS tenant_id, event_type AS stream, 'user:' || user_id AS actor, NULL::VARCHAR AS caused_by, CASE WHEN event_type = 'error' THEN 'DELETE' ELSE 'INSERT' END AS operation FROM events WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-02'")
+def events_view(spark, sf):
+    e = table(spark, sf, "events")
+    meta = e.select((F.col("event_id") + 1).alias("position"), F.col("ts").alias("timestamp"), (F.col("user_id") % 8).alias("tenant_id"), F.col("event_type").alias("stream"), F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("actor"), F.when(F.col("event_type") == "error", "DELETE").otherwise("INSERT").alias("operation"), F.col("props").alias("data"))
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("token_id"), F.array("o_orderstatus").alias("tables_accessed"))
+    governance.system_views(meta, o, table(spark, sf, "customer").select(F.col("c_custkey").alias("subject")))
+    return spark.sql("SELECT position, timestamp, tenant_id, stream, actor, caused_by, operation FROM __events WHERE operation = 'DELETE' AND timestamp >= TIMESTAMP '2024-01-02'")
+
+
+@query("SELECT o.o_custkey AS token_id, count(*) AS n FROM orders o WHERE o_orderstatus = 'O' AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 = 0) GROUP BY o_custkey")
+def export_audit_view(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("token_id"), F.array("o_orderstatus").alias("tables_accessed"))
+    governance.system_views(table(spark, sf, "events").select(F.col("event_type").alias("stream")), o, table(spark, sf, "customer").where("c_custkey % 4 = 0").select(F.col("c_custkey").alias("subject")))
+    return spark.sql("SELECT token_id, count(*) AS n FROM __export_audit LEFT ANTI JOIN __legal_holds ON token_id = subject WHERE array_contains(tables_accessed, 'O') GROUP BY token_id")
+
+
+_ROLE = "CASE user_id % 5 WHEN 0 THEN 'Owner' WHEN 1 THEN 'Admin' WHEN 2 THEN 'Member' WHEN 3 THEN 'Viewer' ELSE 'Guest' END"
+_PERMISSION = "CASE event_id % 4 WHEN 0 THEN 'View data' WHEN 1 THEN 'Append events' WHEN 2 THEN 'Delete streams' ELSE 'Manage roles' END"
+
+
+@query(
+    f"SELECT id, role, permission, (role = 'Owner' OR role = 'Admin' AND permission <> 'Manage roles' OR role = 'Member' AND permission IN ('View data', 'Append events') OR role = 'Viewer' AND permission = 'View data' OR c_custkey IS NOT NULL) AS allowed "
+    f"FROM (SELECT event_id AS id, user_id, {_ROLE} AS role, {_PERMISSION} AS permission, event_type FROM events) LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0) ON c_custkey = user_id AND event_type = 'view' AND permission = 'Append events'"
+)
+def role_permissions(spark, sf):
+    e = table(spark, sf, "events").selectExpr("event_id AS id", "user_id AS principal", "event_type AS resource", f"{_ROLE} AS role", f"{_PERMISSION} AS permission")
+    grants = table(spark, sf, "customer").where("c_custkey % 3 = 0").selectExpr("c_custkey AS principal", "'view' AS resource", "'Append events' AS permission")
+    return governance.permitted(e, grants).select("id", "role", "permission", "allowed")
+
+
+_KIND = "CASE o_custkey % 4 WHEN 0 THEN 'authentication' WHEN 1 THEN 'data access' WHEN 2 THEN 'administrative' ELSE 'other' END"
+_YEARS = "CASE o_custkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 7 WHEN 2 THEN 10 END"
+
+
+@query(f"SELECT o_orderkey AS id, {_KIND} AS kind, (o_orderdate + to_years({_YEARS}))::DATE::VARCHAR AS keep_until, coalesce((o_orderdate + to_years({_YEARS}))::DATE > DATE '2002-06-01', true) AS kept FROM orders")
+def audit_retention(spark, sf):
+    o = table(spark, sf, "orders").selectExpr("o_orderkey AS id", f"{_KIND} AS kind", "o_orderdate AS at")
+    return governance.audit_kept(o, datetime(2002, 6, 1)).select("id", "kind", F.col("keep_until").cast("string").alias("keep_until"), "kept")
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'error' THEN '' ELSE user_id::VARCHAR END AS number_text, (epoch_us(ts) * 1000)::VARCHAR AS time_ns, base64(encode(event_type)) AS bytes_text, (epoch_us(ts) // 1000000)::VARCHAR || '.' || lpad((epoch_us(ts) % 1000000 * 1000)::VARCHAR, 9, '0') AS rendered FROM events")
+def value_texts(spark, sf):
+    ts = F.to_utc_timestamp("ts", spark.conf.get("spark.sql.session.timeZone")) if dict(table(spark, sf, "events").dtypes)["ts"] == "timestamp_ntz" else F.col("ts")
+    e = table(spark, sf, "events").withColumn("t", ts.cast("timestamp"))
+    return e.select("event_id", text.value_text(F.when(F.col("event_type") != "error", F.col("user_id")), "long").alias("number_text"), text.value_text(F.col("t"), "timestamp").alias("time_ns"), text.value_text(F.encode("event_type", "utf-8"), "binary").alias("bytes_text"), text.time_text(F.col("t")).alias("rendered"))
+
+
+@query("SELECT event_id, key, i + max(v - i) OVER (PARTITION BY key ORDER BY i ROWS UNBOUNDED PRECEDING) AS ts_ns FROM (SELECT event_id, user_id % 3 AS key, value::BIGINT AS v, row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) - 1 AS i FROM events)")
+def rising_times(spark, sf):
+    e = table(spark, sf, "events").select("event_id", (F.col("user_id") % 3).alias("key"), F.round("value").cast("long").alias("v"))
+    return text.rising(e, "key", "event_id", F.col("v")).select("event_id", "key", "ts_ns")
+
+
+@query("SELECT c_custkey, sha256(c_name) AS hash FROM customer")
+def hash_for_compliance(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", text.hash_for(F.col("c_name"), "compliance").alias("hash"))
 
 
 def consents(spark, sf):
@@ -519,6 +781,26 @@ def rate_limit_windows(spark, sf):
     return checks.over_rate(e, "1 hour", 1)
 
 
+_BUCKETS = (10.0, 50.0, 90.0, 99.0)
+
+
+@query(
+    "SELECT method, status, le, CASE WHEN le IS NULL THEN n WHEN le = 10 THEN b10 WHEN le = 50 THEN b50 WHEN le = 90 THEN b90 ELSE b99 END AS n, "
+    "CASE WHEN le IS NULL THEN n WHEN le = 10 THEN b10 WHEN le = 50 THEN b50 WHEN le = 90 THEN b90 ELSE b99 END >= n * 0.99 AS holds FROM (SELECT event_type AS method, value > 50 AS status, count(*) AS n, "
+    "count(*) FILTER (value <= 10) AS b10, count(*) FILTER (value <= 50) AS b50, count(*) FILTER (value <= 90) AS b90, count(*) FILTER (value <= 99) AS b99 FROM events GROUP BY ALL), (SELECT unnest([10, 50, 90, 99, NULL])::DOUBLE AS le)"
+)
+def request_histogram(spark, sf):
+    e = table(spark, sf, "events").select(F.col("event_type").alias("method"), (F.col("value") > 50).alias("status"), F.col("value").alias("duration"))
+    return checks.request_histogram(e, list(_BUCKETS))
+
+
+@query("SELECT client, ts, n FROM (SELECT user_id % 5 AS client, ts, count(*) OVER (PARTITION BY user_id % 5 ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS n FROM events) WHERE n > 3")
+def rate_limit_sliding(spark, sf):
+    e = table(spark, sf, "events").select((F.col("user_id") % 5).alias("client"), F.col("ts").cast("timestamp").alias("ts"))
+    found = checks.over_sliding_rate(e, 3600, 3)
+    return found.withColumn("ts", F.col("ts").cast(table(spark, sf, "events").schema["ts"].dataType))
+
+
 @query("SELECT event_id, user_id, ts FROM events WHERE ts < TIMESTAMP '2024-01-15' AND user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 = 0)")
 def retention_anti_hold(spark, sf):
     holds = table(spark, sf, "customer").where("c_custkey % 4 = 0").select(F.col("c_custkey").alias("user_id"))
@@ -574,6 +856,22 @@ def quorum_commit(spark, sf):
     return checks.quorums(votes, 5)
 
 
+_HISTORY = (
+    "h AS MATERIALIZED (SELECT event_id // 3 % 7 AS key, CASE WHEN event_id % 3 = 0 THEN 'w' ELSE 'r' END AS op, event_id * 10 AS \"begin\", event_id * 10 + 5 AS \"end\", "
+    "CASE event_id % 3 WHEN 0 THEN event_id WHEN 1 THEN event_id - 1 ELSE event_id - 2 - CASE WHEN event_id % 2 = 0 THEN 21 ELSE 0 END END AS value FROM events)"
+)
+
+
+@query(
+    f"WITH {_HISTORY}, w AS (SELECT key, value, \"begin\" AS wb, \"end\" AS we FROM h WHERE op = 'w') SELECT DISTINCT r.key, r.value, r.\"begin\" FROM h r LEFT JOIN w ON w.key = r.key AND w.value = r.value WHERE r.op = 'r' AND "
+    "(w.wb IS NULL OR w.wb > r.\"end\" OR EXISTS (SELECT 1 FROM w o WHERE o.key = r.key AND o.wb > w.we AND o.we < r.\"begin\"))"
+)
+def stale_reads(spark, sf):
+    e, i = table(spark, sf, "events"), F.col("event_id")
+    value = F.when(i % 3 == 0, i).when(i % 3 == 1, i - 1).otherwise(i - 2 - F.when(i % 2 == 0, 21).otherwise(0))
+    return checks.stale_reads(e.select((F.floor(i / 3) % 7).alias("key"), F.when(i % 3 == 0, "w").otherwise("r").alias("op"), (i * 10).alias("begin"), (i * 10 + 5).alias("end"), value.alias("value")))
+
+
 @query("SELECT event_id, user_id, (props->>'$.k')::BIGINT AS k FROM events WHERE (props->>'$.k')::BIGINT BETWEEN 10 AND 20")
 def json_payload_filter(spark, sf):
     k = F.get_json_object("props", "$.k").cast("long")
@@ -584,3 +882,18 @@ def json_payload_filter(spark, sf):
 def sealed_checkpoint(spark, sf):
     rows = chained_log(spark, sf).groupBy("stream").agg(F.min_by("hash", "offset").alias("first"), F.max_by("hash", "offset").alias("last"), F.count(F.lit(1)).alias("n"))
     return rows.select("stream", F.sha2(F.concat("first", "last"), 256).alias("sealed"), "n")
+
+
+_MERKLE = SQL["merkle_roots"].removeprefix("WITH RECURSIVE ")
+
+
+@query(
+    f"WITH RECURSIVE {_CHAIN}, m AS (WITH RECURSIVE {_MERKLE}) SELECT stream, max(pos) AS position, arg_max(lower(hex(h)), \"offset\") AS log_hash, any_value(root) AS state_root, any_value(sealed_at) AS sealed_at "
+    "FROM chain JOIN log USING (stream, \"offset\") JOIN m USING (stream) JOIN (SELECT event_type AS stream, max(ts) AS sealed_at FROM events GROUP BY event_type) USING (stream) GROUP BY stream"
+)
+def sealed_checkpoint_state(spark, sf):
+    """The position, the log's hash there, the Merkle root of the state and the time of each stream's seal."""
+    positions = event_log(spark, sf).select("stream", "offset", "pos")
+    head = chained_log(spark, sf).join(positions, ["stream", "offset"])
+    times = table(spark, sf, "events").groupBy(F.col("event_type").alias("stream")).agg(F.max("ts").alias("sealed_at"))
+    return log.sealed(head, merkle_roots(spark, sf), times)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.plans.materialize import fresh_path
+from ledgerlake.errors import NonSequentialBatch
+from ledgerlake.plans.materialize import exists, fresh_path
 
 
 def log_stream(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
@@ -20,6 +21,8 @@ def follow(stream: DataFrame, key: str, value: str, state_path: str, checkpoint:
     spark = stream.sparkSession
 
     def step(batch: DataFrame, number: int) -> None:
+        if number and not exists(spark, f"{state_path}/batch={number - 1}"):
+            raise NonSequentialBatch(f"batch {number} has no state before it")
         new = batch.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"), F.max(value).alias("top"))
         before = spark.read.parquet(f"{state_path}/batch={number - 1}") if number else None
         both = new if before is None else new.unionByName(before)

@@ -258,3 +258,165 @@ def test_entry_without_text_subpackage():
     for folder, _, names in os.walk(os.path.join(root, "ledgerlake")):
         if not folder.endswith("llm"):
             assert not any("ledgerlake.llm" in open(os.path.join(folder, n)).read() for n in names if n.endswith(".py"))
+
+
+def small_log(spark, n=6):
+    rows = spark.createDataFrame([("s", i, 0, bytearray(b"p%d" % i)) for i in range(n)], "stream string, offset long, kind int, payload binary")
+    return log.with_crc(log.chained(rows))
+
+
+def test_tampering_with_nulls_and_doubles(spark):
+    """Taking out a hash, a payload, a link or a record, or writing one twice, is found where it was done."""
+    good = small_log(spark)
+    assert log.chain_breaks(good).count() == 0 and log.crc_breaks(good).count() == 0
+    at = lambda c, k, v: good.withColumn(c, F.when(F.col("offset") == k, v).otherwise(F.col(c)))
+    none = F.lit(None)
+    broken = {
+        "last hash": (at("hash", 5, none), {(5, "hash")}),
+        "a hash": (at("hash", 2, none), {(2, "hash"), (3, "link")}),
+        "a payload": (at("payload", 2, none), {(2, "hash")}),
+        "a link": (at("prev_hash", 3, none), {(3, "hash")}),
+        "a kind": (at("kind", 4, none), {(4, "hash")}),
+        "a record": (good.where("offset <> 3"), {(4, "gap")}),
+        "twice": (good.unionByName(good.where("offset = 2")), {(2, "doubled")}),
+        "no offset": (good.unionByName(good.where("offset = 5").withColumn("offset", none.cast("long"))), {(None, "gap")}),
+        "genesis": (at("prev_hash", 0, F.col("hash")), {(0, "hash")}),
+    }
+    for name, (bad, want) in broken.items():
+        assert {(r.offset, r.problem) for r in log.chain_breaks(bad).collect()} == want, name
+    for bad in (at("payload", 2, none), at("crc", 2, none)):
+        assert [r.offset for r in log.crc_breaks(bad).collect()] == [2]
+
+
+def test_crc_against_zlib(spark, sf):
+    import zlib
+
+    from ledgerlake.queries import QUERIES, event_log
+
+    want = set()
+    for r in event_log(spark, sf).collect():
+        payload = bytes(r.payload)
+        if zlib.crc32(b"x" + payload if r.offset % 50 == 3 else payload) != zlib.crc32(payload):
+            want.add((r.stream, r.offset))
+    assert {(r.stream, r.offset) for r in QUERIES["crc_check"](spark, sf).collect()} == want and want
+
+
+def test_explicit_checkpoints(spark):
+    rows = small_log(spark).select("stream", "offset", "payload")
+    marks = spark.createDataFrame([("s", 1), ("s", 4)], "stream string, after long")
+    got = [(r.offset, r.kind, bytes(r.payload)) for r in log.with_checkpoints(rows, explicit=marks).orderBy("offset").collect()]
+    hashes = [bytes(r.hash) for r in log.with_checkpoints(rows, explicit=marks).orderBy("offset").collect()]
+    assert [(o, k) for o, k, _ in got] == [(0, 0), (1, 0), (2, 1), (3, 0), (4, 0), (5, 0), (6, 1), (7, 0)]
+    assert got[2][2] == hashes[1] + (3).to_bytes(8, "little") and got[6][2] == hashes[5] + (7).to_bytes(8, "little")
+    assert log.chain_breaks(log.with_checkpoints(rows, explicit=marks)).count() == 0
+
+
+def test_ranges_of_a_hot_group(spark):
+    """Numbers, neighbours and maxima across the borders of ranges, for one key with most rows."""
+    from ledgerlake.operators.ordered import dense_offsets, most_before, neighbour
+
+    r = __import__("random").Random(5)
+    rows = [("hot" if i % 9 else f"k{i % 4}", i, r.randrange(1000)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, o long, v long").repartition(5)
+    by = {}
+    for g, o, v in sorted(rows, key=lambda x: x[1]):
+        by.setdefault(g, []).append((o, v))
+    want = {(g, o): (i, own[i + 1][1] if i + 1 < len(own) else None, own[i - 1][1] if i else None, max((v for _, v in own[:i]), default=None)) for g, own in by.items() for i, (o, _) in enumerate(own)}
+    found = dense_offsets(df, "g", "o", "i")
+    found = neighbour(found, "g", ("o",), F.col("v"), "after", ahead=True)
+    found = neighbour(found, "g", ("o",), F.col("v"), "before", ahead=False)
+    found = most_before(found, "g", ("o",), F.col("v"), "most")
+    assert {(x.g, x.o): (x.i, x.after, x.before, x.most) for x in found.collect()} == want
+    empty = df.where("false")
+    assert dense_offsets(empty, "g", "o").count() == 0 and neighbour(empty, "g", ("o",), F.col("v"), "n", True).count() == 0
+
+
+def test_ties_at_one_position(spark):
+    """Of operations at one position the last in order wins; without an order, a delete."""
+    rows = [("a", 1, "P", "x", 0), ("a", 1, "D", None, 1), ("b", 1, "D", None, 0), ("b", 1, "P", "y", 1), ("b", 2, "P", "z", 0)]
+    ops = spark.createDataFrame(rows, "key string, pos long, op string, value string, seq long")
+    assert [tuple(r) for r in versions.versions(ops).orderBy("created_at").collect()] == [("b", "y", 1, 2), ("b", "z", 2, None)]
+    assert [tuple(r) for r in versions.state_at(ops).collect()] == [("b", 2, "z")]
+    assert [tuple(r) for r in versions.state_at(ops, 1).collect()] == [("b", 1, "y")]
+    assert versions.state_at(ops.drop("seq"), 1).count() == versions.versions(ops.drop("seq")).where("created_at = 1").count() == 0
+    more = versions.apply_batch(ops, spark.createDataFrame([("c", "P", "w", 0)], "key string, op string, value string, seq long"), 3)
+    assert versions.read_consistent(more, "causal", position=3).count() == 2
+    for bad in (2, 4):
+        with pytest.raises(errors.NonSequentialBatch):
+            versions.apply_batch(more, ops.select("key", "op", "value", "seq"), bad + 1 if bad > 3 else bad)
+    for mode, kw in (("causal", {"position": 4}), ("linearizable", {"head": 9}), ("at_position", {"position": 4})):
+        with pytest.raises(errors.PositionAhead):
+            versions.read_consistent(more, mode, **kw)
+    assert versions.read_consistent(more, "eventual").count() == 2
+
+
+def test_rows_fail_fast(spark):
+    from pyspark.sql import types as T
+
+    from ledgerlake.sources.rows import decode_rows
+
+    schema = T.StructType([T.StructField("id", T.LongType(), False), T.StructField("b", T.BinaryType())])
+    good = spark.createDataFrame([('{"id":1,"b":"aGk="}',), ('{"id":2,"b":null}',)], "p string")
+    assert [(r.id, r.b and bytes(r.b)) for r in decode_rows(good, "p", schema).orderBy("id").collect()] == [(1, b"hi"), (2, None)]
+    for bad in ('{"id":"x"}', "no json", '{"b":"aGk="}'):
+        with pytest.raises(Exception):  # noqa: B017  (whatever Spark wraps it in)
+            decode_rows(spark.createDataFrame([(bad,)], "p string"), "p", schema).collect()
+
+
+def test_select_arms(users):
+    assert {r.id for r in Select("users").where_any(("users.id", "=", 1), ("name", "=", None)).build(users).collect()} >= {1}
+    with pytest.raises(errors.ColumnNotFound):
+        Select("users").where("other.id", "=", 1)
+    with pytest.raises(errors.TypeMismatch):
+        Select("users").where("id", "has", 1).build(users)
+    with pytest.raises(errors.TypeMismatch):
+        Select("users").where_any(("id", "=", "x")).build(users)
+
+
+def test_governed_trail(spark, users, tmp_path):
+    """Hidden columns can't be searched or sorted by; each attempt is one record of the written trail."""
+    store = governance.TokenStore()
+    store.issue("t", governance.Scope(excluded=frozenset({"age"}), max_rows=1), NOW, timedelta(hours=1), id="a")
+    g = governance.Governed(users, store, lambda: NOW, folder=str(tmp_path))
+    for s in (Select("users").where("age", ">", 1), Select("users").order_by("-age"), Select("users").where_any(("id", "=", 1), ("age", "=", 2))):
+        with pytest.raises(errors.ScopeViolation):
+            g.query("a", s)
+    rows, state = g.page("a", Select("users").order_by("id"))
+    assert rows.count() == 1 and tuple(state.first()) == (1, True)
+    lines, proof = g.export("a", "users", ["id"], "csv")
+    g.register("e1", "a", "users", proof)
+    g.flush()
+    trail = spark.read.parquet(f"{tmp_path}/audit")
+    assert sorted((r.tool, r.success, r.tenant) for r in trail.collect()) == [("export", True, "t"), ("query", False, "t"), ("query", False, "t"), ("query", False, "t"), ("query", True, "t")]
+    sha = proof.first().sha256
+    claims = spark.createDataFrame([("e1", sha.upper()), ("e1", "0" * 64), ("e2", sha), ("e1", None)], "export_id string, sha256 string")
+    found = governance.verify_exports(spark.read.parquet(f"{tmp_path}/exports"), claims)
+    assert sorted(r.message for r in found.collect()) == ["another content", "no such export", "not a hash of 64 hex digits", "verified"]
+
+
+def test_json_params():
+    got = governance.json_params('[null, true, "x", 7, 9223372036854775808, 1.50, [1, {"a": 2}]]')
+    assert got == [None, True, "x", 7, "9223372036854775808", "1.50", '[1,{"a":2}]']
+
+
+def test_streams_and_gaps(spark, tmp_path):
+    known = log.create_streams(log.streams_table(spark), spark.createDataFrame([(5, "a", 0)], log.STREAMS))
+    more = log.create_streams(known, spark.createDataFrame([(None, "c", 1), (None, "b", 1), (9, "d", 2)], log.STREAMS))
+    assert sorted((r.id, r.name) for r in more.collect()) == [(5, "a"), (9, "d"), (10, "b"), (11, "c")]
+    for bad in ([(5, "x", 0)], [(6, "x", 0), (6, "y", 0)]):
+        with pytest.raises(errors.StreamIdTaken):
+            log.create_streams(known, spark.createDataFrame(bad, log.STREAMS))
+    # a state folder that is lost between batches stops the stream
+    from ledgerlake.streaming.apply import follow, log_stream
+
+    import shutil
+
+    schema = "k long, v double"
+    for i in range(2):
+        spark.createDataFrame([(1, float(i))], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        if i:
+            shutil.rmtree(f"{tmp_path}/state/batch=0")
+            with pytest.raises(Exception, match="NonSequentialBatch"):
+                follow(log_stream(spark, f"{tmp_path}/in", schema), "k", "v", f"{tmp_path}/state", f"{tmp_path}/cp")
+        else:
+            follow(log_stream(spark, f"{tmp_path}/in", schema), "k", "v", f"{tmp_path}/state", f"{tmp_path}/cp")

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from ledgerlake.queries import QUERIES, SQL
@@ -20,7 +21,7 @@ def duck(sf):
 
 
 def value(v):
-    if v is None or v != v:
+    if not isinstance(v, (list, tuple, dict, bytes, bytearray)) and not hasattr(v, "__len__") and pd.isna(v):
         return None
     if isinstance(v, bool) or type(v).__name__ == "bool":
         return bool(v)
