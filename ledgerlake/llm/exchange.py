@@ -41,9 +41,10 @@ def decode(block: bytes, owner: int, owners: int) -> np.ndarray:
     return rice_decode(block) + owner_base(owner, owners)
 
 
-def repeated(blocks: DataFrame, owners: int) -> DataFrame:
+def repeated(blocks: DataFrame, owners: int, hot: int | None = None) -> DataFrame:
     """blocks(chunk, owner, keys, twice) -> (chunk, owner, bitmap): the bits of the keys that occur in
-    another chunk too or are flagged in twice."""
+    another chunk too or are flagged in twice. With hot, and blocks(..., counts), also the bits hot of the keys
+    that so many items have in all chunks together."""
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [rice_decode(b) for b in pdf["keys"]]
@@ -60,9 +61,19 @@ def repeated(blocks: DataFrame, owners: int) -> DataFrame:
         # a key flagged anywhere is repeated for the one chunk that has it; others are met above
         again |= np.concatenate(flags) if flags else False
         cuts = np.cumsum([len(p) for p in parts])[:-1]
-        return pd.DataFrame({"chunk": pdf["chunk"], "owner": pdf["owner"], "bitmap": [pack_flags(x) for x in np.split(again, cuts)]})
+        out = {"chunk": pdf["chunk"], "owner": pdf["owner"], "bitmap": [pack_flags(x) for x in np.split(again, cuts)]}
+        if hot is not None:
+            n = np.concatenate([unpack(c, np.int32) for c in pdf["counts"]]).astype(np.int64)[order]
+            at = np.flatnonzero(np.concatenate([[True], ~same])) if len(ordered) else np.zeros(0, np.int64)
+            often = np.empty(len(ordered), bool)
+            often[order] = np.repeat(np.add.reduceat(n, at) >= hot, np.diff(at, append=len(n))) if len(at) else False
+            out["hot"] = [pack_flags(x) for x in np.split(often, cuts)]
+        return pd.DataFrame(out)
 
-    return blocks.select("chunk", "owner", "keys", "twice").groupBy("owner").applyInPandas(answer, "chunk long, owner int, bitmap binary")
+    columns, schema = ["chunk", "owner", "keys", "twice"], "chunk long, owner int, bitmap binary"
+    if hot is not None:
+        columns, schema = [*columns, "counts"], schema + ", hot binary"
+    return blocks.select(*columns).groupBy("owner").applyInPandas(answer, schema)
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -115,13 +126,15 @@ class Chunk:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), *[pa.binary()] * 4))], names=["chunk", "owner", "keys", "twice", "counts", "docs"])
 
 
-def shared_keys(blocks: DataFrame, owners: int) -> DataFrame:
+def shared_keys(blocks: DataFrame, owners: int, hot: int | None = None) -> DataFrame:
     """(first, second, shared, keys): how many keys of each item another one has too, and the wanted ones
-    of these as an array of u64."""
-    told = repeated(blocks.where("owner >= 0"), owners)
+    of these as an array of u64. With hot also hot: a byte for each of these, 1 where so many items have it."""
+    told = repeated(blocks.where("owner >= 0"), owners, hot)
 
     def gather(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         maps = dict(zip(right["owner"], right["bitmap"]))
+        marks = dict(zip(right["owner"], right["hot"])) if hot is not None else {}
+        often = []
         keys, items, first, second = [], [], np.zeros(0, np.int64), np.zeros(0, np.int64)
         for r in left.itertuples():
             if r.owner < 0:
@@ -131,17 +144,22 @@ def shared_keys(blocks: DataFrame, owners: int) -> DataFrame:
             again, n = unpack_flags(maps[r.owner], len(k)), unpack(r.counts, np.int32)
             keys.append(np.repeat(k[again], n[again]))
             items.append(unpack(r.docs, np.int32)[np.repeat(again, n)])
-        k, d = np.concatenate(keys), np.concatenate(items)
+            often.append(np.repeat(unpack_flags(marks[r.owner], len(k))[again] if marks else np.zeros(int(again.sum()), bool), n[again]))
+        k, d, often = np.concatenate(keys), np.concatenate(items), np.concatenate(often)
         shared = np.bincount(d >> 1, minlength=len(first))
         wanted = (d & 1) == 1
-        k, d = k[wanted], d[wanted] >> 1
+        k, d, often = k[wanted], d[wanted] >> 1, often[wanted]
         order = np.argsort(d, kind="stable")
-        k, d = k[order], d[order]
+        k, d, often = k[order], d[order], often[order]
         at = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else np.zeros(0, np.int64)
         mine = d[at]
-        return pd.DataFrame({"first": first[mine], "second": second[mine], "shared": shared[mine], "keys": [x.tobytes() for x in np.split(k, at[1:])] if len(at) else []})
+        out = {"first": first[mine], "second": second[mine], "shared": shared[mine], "keys": [x.tobytes() for x in np.split(k, at[1:])] if len(at) else []}
+        if hot is not None:
+            out["hot"] = [x.astype(np.uint8).tobytes() for x in np.split(often, at[1:])] if len(at) else []
+        return pd.DataFrame(out)
 
-    return blocks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(gather, "first long, second long, shared long, keys binary")
+    schema = "first long, second long, shared long, keys binary" + (", hot binary" if hot is not None else "")
+    return blocks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(gather, schema)
 
 
 def unpacked(items: DataFrame, *columns: str) -> DataFrame:

@@ -11,11 +11,15 @@ A byte goes when a string of SPAN bytes that covers it also starts in a document
    search find the common extension of two suffixes, so a comparison in the merge sort costs a
    logarithm. Neighbours' common extensions to the right and hashes to the left class the strings of
    SPAN bytes; each class's smallest document stays, and bytes are compared before any is removed.
+4. A minimizer that HOT_CONTEXTS documents have or more (a phrase between different words, say) has no owner:
+   its strings of SPAN bytes are settled in each task, and what is left is grouped by the strings
+   themselves, with partial minima. So no task holds all contexts of one minimizer.
 
 Whole texts that occur under a smaller id are settled before by SHA-256.
 
-Defined results: a null text is empty; texts shorter than SPAN lose nothing; rows that repeat an id
-do not remove each other; a row with a null id removes nothing and loses nothing.
+Defined results: a null text is empty; texts shorter than SPAN lose nothing; very long texts are read
+whole; rows that repeat an id do not remove each other; a row with a null id removes nothing and loses
+nothing; empty tables give no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,6 +43,8 @@ SIDE = SPAN - GRAM
 WIDE = 2 * SIDE + GRAM
 #: Minimizers of a chunk and of an owner; contexts of a task's chunk and of an owner.
 CHUNK_KEYS, OWNER_KEYS, CHUNK_CONTEXTS, OWNER_CONTEXTS = 1 << 20, 1 << 21, 1 << 18, 1 << 17
+#: Documents with a minimizer that make it hot, and contexts of hot ones that a task settles at once.
+HOT_CONTEXTS, HOT_CHUNK = 1 << 16, 1 << 13
 
 
 def _slide(a: np.ndarray, width: int, pick) -> np.ndarray:
@@ -89,12 +95,12 @@ def minimizer_blocks(texts: DataFrame, owners: int) -> DataFrame:
 
 
 def shared_minimizers(blocks: DataFrame, owners: int) -> DataFrame:
-    """(doc_id, tag, keys): the minimizers of each document that another one has too."""
-    return exchange.shared_keys(blocks, owners).withColumnsRenamed({"first": "doc_id", "second": "tag"}).drop("shared")
+    """(doc_id, tag, keys, hot): the minimizers of each document that another one has too, and which are hot."""
+    return exchange.shared_keys(blocks, owners, HOT_CONTEXTS).withColumnsRenamed({"first": "doc_id", "second": "tag"}).drop("shared")
 
 
-OUT = "owner int, doc_id long, tag long, ranges binary, block binary"
-SCHEMA = pa.schema([("owner", pa.int32()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("ranges", pa.binary()), ("block", pa.binary())])
+OUT = "owner int, doc_id long, tag long, ranges binary, block binary, string binary"
+SCHEMA = pa.schema([("owner", pa.int32()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("ranges", pa.binary()), ("block", pa.binary()), ("string", pa.binary())])
 
 
 def _ranges(owner, docs: np.ndarray, tags: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pd.DataFrame:
@@ -104,7 +110,7 @@ def _ranges(owner, docs: np.ndarray, tags: np.ndarray, begin: np.ndarray, end: n
     new = np.ones(len(docs), bool)
     new[1:] = (docs[1:] != docs[:-1]) | (tags[1:] != tags[:-1])
     at = np.flatnonzero(new)
-    return pd.DataFrame({"owner": owner, "doc_id": docs[at], "tag": tags[at], "ranges": [x.tobytes() for x in np.split(both, at[1:])] if len(at) else [], "block": None})
+    return pd.DataFrame({"owner": owner, "doc_id": docs[at], "tag": tags[at], "ranges": [x.tobytes() for x in np.split(both, at[1:])] if len(at) else [], "block": None, "string": None})
 
 
 def _settle(h, ctx, la, ra, docs):
@@ -123,13 +129,33 @@ def _settle(h, ctx, la, ra, docs):
     return out
 
 
+def hot_strings(ctx: np.ndarray, la: np.ndarray, ra: np.ndarray, docs: np.ndarray, tags: np.ndarray, at: np.ndarray) -> list[pd.DataFrame]:
+    """All strings of SPAN bytes in some contexts, as rows of OUT: ranges of those that a smaller document here
+    has too, and a row with string (owner -1) for each other one."""
+    i, l = np.nonzero((la[:, None] >= np.arange(SIDE + 1)) & (ra[:, None] >= SIDE - np.arange(SIDE + 1)))  # noqa: E741
+    strings = ctx[i[:, None], SIDE - l[:, None] + np.arange(SPAN)]
+    _, cls = np.unique(np.ascontiguousarray(strings).view(f"V{SPAN}").reshape(-1), return_inverse=True)
+    low = np.full(len(i), np.iinfo(np.int64).max)
+    np.minimum.at(low, cls, docs[i])
+    begin, done = at[i] - l, docs[i] > low[cls]
+    pairs = np.stack([begin, begin + SPAN], 1).astype(np.int32)
+    left = np.flatnonzero(~done)
+    sent = pd.DataFrame({"owner": np.int32(-1), "doc_id": docs[i[left]], "tag": tags[i[left]], "ranges": [p.tobytes() for p in pairs[left]], "block": None, "string": [x.tobytes() for x in strings[left]]})
+    return [_ranges(0, docs[i[done]], tags[i[done]], begin[done], begin[done] + SPAN), sent]
+
+
 def context_blocks(found: DataFrame, owners: int) -> DataFrame:
-    """found(doc_id, tag, text, keys) -> rows of OUT: blocks of contexts for their owners, and ranges
-    that a smaller document of the same task has settled."""
+    """found(doc_id, tag, text, keys, hot) -> rows of OUT: blocks of contexts for their owners, ranges that a
+    smaller document of the same task has settled, and strings of hot minimizers."""
     shift = U(64 - (owners.bit_length() - 1))
 
     def run(batches):
-        parts, size = [], 0
+        parts, size, hot_parts, hot_size = [], 0, [], 0
+
+        def flush_hot():
+            out = hot_strings(*(np.concatenate(x) for x in zip(*hot_parts)))
+            out[0]["owner"] = (out[0]["doc_id"] % owners).astype(np.int32)
+            return [pa.RecordBatch.from_pandas(x, schema=SCHEMA, preserve_index=False) for x in out if len(x)]
 
         def flush():
             h, ctx, la, ra, docs, tags, at = (np.concatenate(x) for x in zip(*parts))
@@ -150,16 +176,26 @@ def context_blocks(found: DataFrame, owners: int) -> DataFrame:
                 members = rest[np.concatenate([places[i] for i in pick])]
                 body = [pack(h[lead[pick]]), pack(np.ascontiguousarray(ctx[lead[pick]]).reshape(-1)), pack(la[lead[pick]].astype(np.uint8)), pack(ra[lead[pick]].astype(np.uint8)), pack(docs[lead[pick]]), pack(n[pick].astype(np.int32)), pack(tags[members]), pack(at[members].astype(np.int32))]
                 rows.append((int(o), b"".join(len(x).to_bytes(8, "little") + x for x in body)))
-            out.append(pd.DataFrame({"owner": [r[0] for r in rows], "doc_id": None, "tag": None, "ranges": None, "block": [r[1] for r in rows]}))
+            out.append(pd.DataFrame({"owner": [r[0] for r in rows], "doc_id": None, "tag": None, "ranges": None, "block": [r[1] for r in rows], "string": None}))
             return [pa.RecordBatch.from_pandas(x, schema=SCHEMA, preserve_index=False) for x in out if len(x)]
 
         for batch in batches:
-            for doc_id, tag, keys, data in zip(batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist(), batch.column("keys").to_pylist(), _each(batch)):
+            for doc_id, tag, keys, hot, data in zip(batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist(), batch.column("keys").to_pylist(), batch.column("hot").to_pylist(), _each(batch)):
                 at, h = minimizers(data)
-                pick = np.isin(h >> U(64 - exchange.KEY_BITS), np.frombuffer(keys, np.uint64))
+                keys, hot = np.frombuffer(keys, np.uint64), np.frombuffer(hot, np.uint8) > 0
+                pick = np.isin(h >> U(64 - exchange.KEY_BITS), keys)
                 at, h = at[pick], h[pick]
                 padded = np.zeros(len(data) + 2 * SIDE, np.uint8)
                 padded[SIDE : SIDE + len(data)] = data
+                if hot.any():
+                    often = np.isin(h >> U(64 - exchange.KEY_BITS), keys[hot])
+                    for a in np.split(at[often], np.arange(HOT_CHUNK, int(often.sum()), HOT_CHUNK)):
+                        hot_parts.append((padded[a[:, None] + np.arange(WIDE)], np.minimum(a, SIDE), np.minimum(len(data) - a - GRAM, SIDE), np.full(len(a), doc_id), np.full(len(a), tag), a))
+                        hot_size += len(a)
+                        if hot_size >= HOT_CHUNK:
+                            yield from flush_hot()
+                            hot_parts, hot_size = [], 0
+                    at, h = at[~often], h[~often]
                 for i in range(0, len(at), CHUNK_CONTEXTS):  # long texts in pieces
                     a = at[i : i + CHUNK_CONTEXTS]
                     ctx = padded[a[:, None] + np.arange(WIDE)]
@@ -170,10 +206,18 @@ def context_blocks(found: DataFrame, owners: int) -> DataFrame:
                         parts, size = [], 0
         if size:
             yield from flush()
+        if hot_size:
+            yield from flush_hot()
 
     return found.mapInArrow(run, OUT)
 
 
+def settled_strings(strings: DataFrame) -> DataFrame:
+    """strings(string, doc_id, tag, ranges) -> (doc_id, tag, ranges) of those that a smaller document has too."""
+    low = strings.groupBy("string").agg(F.min("doc_id").alias("low"))
+    return strings.join(low, "string").where("doc_id > low").select("doc_id", "tag", "ranges")
+
+
 def common_extension(sums: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Lengths of the common prefixes of suffixes x and y, by binary search over prefix hashes."""
     low, high = np.zeros(len(x), np.int64), np.full(len(x), sums.shape[1] - 1)
@@ -327,8 +371,14 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     many = power_of_two((shared.agg(F.sum(F.octet_length("keys"))).first()[0] or 0) / 8 / OWNER_CONTEXTS, 64)
     # both joins deal the same rows by the same keys, so the texts are shuffled once
     named = texts.where("doc_id is not null")
-    found = named.hint("merge").join(shared, ["doc_id", "tag"]).select("doc_id", "tag", "text", "keys")
-    ranges = context_blocks(found, many).groupBy("owner").applyInArrow(_owner, OUT)
+    found = named.hint("merge").join(shared, ["doc_id", "tag"]).select("doc_id", "tag", "text", "keys", "hot")
+    contexts = context_blocks(found, many)
+    any_hot = bool(shared.where(F.hex("hot").contains("01")).head(1))
+    if any_hot:  # read twice below
+        contexts = cut(contexts, "suffix-contexts")
+    ranges = contexts.where("owner >= 0").groupBy("owner").applyInArrow(_owner, OUT).select("doc_id", "tag", "ranges")
+    if any_hot:
+        ranges = ranges.unionByName(settled_strings(contexts.where("owner = -1")))
     ranges = ranges.groupBy("doc_id", "tag").agg(F.collect_list("ranges").alias("ranges"))
     told = own.join(ranges.where("doc_id is not null"), ["doc_id", "tag"], "left")
     all_rows = named.hint("merge").join(told, ["doc_id", "tag"], "left").select("doc_id", "text", "copied", "ranges")

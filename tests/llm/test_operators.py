@@ -602,7 +602,7 @@ def test_html_names_and_links_are_evidence():
     assert html_text.main_text(short) == "It is so.\n\nIt is so."
 
 
-def test_suffix_dedup(docs, none, plain):
+def test_suffix_dedup(docs, none, plain, monkeypatch):
     seen, want = set(), {}
     for i in sorted(plain):
         b = (plain[i] or "").encode()
@@ -618,6 +618,30 @@ def test_suffix_dedup(docs, none, plain):
     got = {r.doc_id: tuple(r)[1:5] for r in suffix_dedup.suffix_dedup(docs).collect()}
     assert got == want and sum(w[1] for w in want.values()) > 5000
     assert suffix_dedup.suffix_dedup(none).count() == 0
+    for hot, chunk in ((2, 64), (8, 1 << 13)):  # hot minimizers go by their strings, with the same result
+        monkeypatch.setattr(suffix_dedup, "HOT_CONTEXTS", hot)
+        monkeypatch.setattr(suffix_dedup, "HOT_CHUNK", chunk)
+        assert {r.doc_id: tuple(r)[1:5] for r in suffix_dedup.suffix_dedup(docs).collect()} == want
+
+
+def test_suffix_hot_phrase(spark, monkeypatch):
+    """A phrase of less than a string between different words: its minimizers are hot, no owner has them."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(9))
+    phrase = "as it was said in that year of the old king"
+    rows = [(i, f"{word()} {word()} {phrase} {word()} {word()}", "s") for i in range(300)] + [(300, f"zzzzzzzzz {phrase} yyyyyyyy", "s"), (301, f"zzzzzzzzz {phrase} yyyyyyyy and more", "s")]
+    monkeypatch.setattr(suffix_dedup, "HOT_CONTEXTS", 100)
+    seen = []
+    monkeypatch.setattr(suffix_dedup, "settled_strings", lambda x, f=suffix_dedup.settled_strings: seen.append(x.count()) or f(x))
+    got = {x.doc_id: x.n_removed for x in suffix_dedup.suffix_dedup(frame(spark, rows)).collect()}
+    strings, want = {}, {}
+    for i, t, _ in rows:
+        b, gone = t.encode(), set()
+        for s in range(len(b) - 49):
+            if strings.setdefault(b[s : s + 50], i) < i:
+                gone |= set(range(s, s + 50))
+        want[i] = len(gone)
+    assert got == want and want[301] > 50 and seen and seen[0] > 300
 
 
 def test_suffix_sort_orders_and_extends():
