@@ -4,15 +4,14 @@ Tokens are summed per source; targets share the whole by weight, stop at MAX_RAT
 own size and hand the excess on by weight; a document is taken floor(rate) times, and once more with
 a probability equal to the fraction, by a uniform number that a hash of its id seeds.
 
-Defined results: a null text has no words; a null source is a source of its own, last in order; a
-source or table without words has target 0; rows that repeat an id draw the same number; extra
-columns pass through `mix` unless they have the names that it adds.
+Defined results: a null text has no words; very long texts are counted whole; a null source is a source of
+its own, last in order; a source or table without words has target 0; rows that repeat an id draw the same
+number; a null id draws the number of an empty one; extra columns pass through `mix` unless they have the
+names that it adds.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,9 +30,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(SPACE_WORD)), F.lit(0)).cast("long")
 
 
-def ranked(sources: DataFrame, parts: int = 16) -> DataFrame:
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ranked(sources: DataFrame) -> DataFrame:
     """sources with rank, 0 for the first by code point, null last. Ranges are ranked apart and
     shifted by the sizes of the ranges before them, so no task needs all sources."""
+    parts = _parts(sources)
     held = cut(sources.repartitionByRange(parts, F.col("source").isNull(), F.col("source")).withColumn("part", F.spark_partition_id()), "mix-sources")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shift = held.groupBy("part").count().withColumn("shift", F.coalesce(F.sum("count").over(before), F.lit(0)))
@@ -42,21 +46,26 @@ def ranked(sources: DataFrame, parts: int = 16) -> DataFrame:
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_rate: float = MAX_RATE) -> DataFrame:
-    """sizes(source, source_size) -> with target and rate. The level of water that fills the caps is
-    found by sums over all sources, one row each time."""
+    """sizes(source, source_size) -> with target and rate: each source gets its weight times one level, or its
+    cap if that is less. At the level where a source is full, all fuller ones hold their caps and the others
+    their weight times that level; prefix sums in order of these levels give what is held. The largest of
+    them that holds no more than there is tells which sources are full, and so the level."""
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
     rows = cut(ranked(sizes).withColumn("weight", weight).withColumn("cap", F.col("source_size") * max_rate), "mix-weights")
     full = F.col("cap") / F.col("weight")
     total, shares = rows.agg(F.sum("source_size"), F.sum("weight")).first()
-    level = (total or 0) / shares if shares else 0.0
-    while True:
-        c, w = rows.where(full <= level).agg(F.coalesce(F.sum("cap"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
-        if not shares or w >= shares:
-            break
-        risen = (total - c) / (shares - w)
-        if math.isclose(risen, level, rel_tol=0, abs_tol=0) or risen <= level:
-            break
-        level = risen
+    level = 0.0
+    if shares:
+        dealt = rows.select(full.alias("full"), "cap", "weight").repartitionByRange(_parts(rows), "full").withColumn("part", F.spark_partition_id())
+        dealt = cut(dealt, "mix-levels")
+        across = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        sums = dealt.groupBy("part").agg(F.sum("cap").alias("c"), F.sum("weight").alias("w"))
+        sums = sums.select("part", F.coalesce(F.sum("c").over(across), F.lit(0)).alias("c"), F.coalesce(F.sum("w").over(across), F.lit(0)).alias("w"))
+        within = Window.partitionBy("part").orderBy("full").rowsBetween(Window.unboundedPreceding, 0)
+        held = dealt.join(sums, "part").select("full", (F.col("c") + F.sum("cap").over(within)).alias("caps"), (F.col("w") + F.sum("weight").over(within)).alias("weights"))
+        most = held.where(F.col("caps") + F.col("full") * (F.lit(shares) - F.col("weights")) <= F.lit(total)).agg(F.max(F.struct("full", "weights", "caps"))).first()[0]
+        done, given = (most["weights"], most["caps"]) if most else (0, 0)
+        level = (total - given) / (shares - done) if done < shares else most["full"]
     target = F.when(full <= level, F.col("cap").cast("double")).otherwise(F.col("weight") * F.lit(float(level)))
     rate = F.when(F.col("source_size") > 0, F.least(target / F.col("source_size"), F.lit(float(max_rate)))).otherwise(F.lit(0.0))
     return cut(rows.select("source", "source_size", target.alias("target"), rate.alias("rate")), "mix-targets")
