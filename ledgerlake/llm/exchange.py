@@ -110,6 +110,14 @@ class Chunk:
         self.second.append(second)
         self.size += len(keys)
 
+    def add_rows(self, first: np.ndarray, second: np.ndarray, keys: np.ndarray):
+        """Items with as many keys each: a row of keys for each of them."""
+        self.keys.append(keys.reshape(-1))
+        self.items.append(np.repeat(2 * (len(self.first) + np.arange(len(first), dtype=np.int32)) + 1, keys.shape[1]).astype(np.int32))
+        self.first.extend(first.tolist())
+        self.second.extend(second.tolist())
+        self.size += keys.size
+
     def flush(self) -> pa.RecordBatch:
         k, d = np.concatenate(self.keys), np.concatenate(self.items)
         order = np.argsort(k, kind="stable")

@@ -4,7 +4,7 @@ A line is trimmed and its A-Z lower-cased; its set holds the hashes of its SHING
 1. One scan hashes every line. Equal lines are one node, named by the first (doc_id, line_no).
 2. Distinct lines of a task get a signature of BANDS x ROWS minima by one-permutation hashing with
    densification. A pair of similarity 0.8 shares a band with a probability of 1 - (1 - 0.8^ROWS)^BANDS,
-   above 0.999. Bands that two lines have are found by the Golomb-coded exchange (exchange.py).
+   above 0.998. Bands that two lines have are found by the Golomb-coded exchange (exchange.py).
 3. Lines are verified by exact Jaccard against the first line of each of their bands, then in rounds
    against other lines of bands that hold several components (pairs.py), and at last between the
    components that are left. Sizes and parity sketches bound each pair before its lines are compared.
@@ -27,14 +27,15 @@ from pyspark.sql import functions as F
 from ledgerlake.llm import exchange
 from ledgerlake.llm.common import cut, power_of_two, text_or_empty
 from ledgerlake.llm.components import components
-from ledgerlake.llm.pairs import as_side, may_be_similar, parity, recentred, sketch
+from ledgerlake.llm.pairs import as_side, may_be_similar, recentred, sketch
 from ledgerlake.llm.textnp import PRIME, STEP, U, mix, powers, prime_hash, prime_sums, slices
 
-SHINGLE, PERCENT, BANDS, ROWS = 8, 80, 20, 5
+SHINGLE, PERCENT, BANDS, ROWS = 8, 80, 16, 5
 SLOTS = BANDS * ROWS
 CHUNK_KEYS, OWNER_KEYS, CHUNK_CHARS = 1 << 20, 1 << 21, 1 << 21
-#: Longs of the parity sketch of a line.
-PARITY = 8
+#: Longs of the parity sketch of a line; bytes of text for each distinct line, roughly, to choose the number of
+#: owners (only their load hangs on it).
+PARITY, LINE_BYTES = 16, 128
 
 
 def code_points(text: str) -> np.ndarray:
@@ -44,9 +45,9 @@ def code_points(text: str) -> np.ndarray:
     return out
 
 
-def line_hashes(text: str):
-    """Of the lines that aren't blank: number, two hashes, and their shingles' hashes with the bounds of
-    each line in them."""
+def line_spans(text: str):
+    """Of the lines that aren't blank: number, begin, end (trimmed, in code points) and two hashes; and the
+    text's prefix sums, for shingle_hashes."""
     points = code_points(text)
     n = len(points)
     cuts = np.flatnonzero(points == 10)
@@ -55,21 +56,25 @@ def line_hashes(text: str):
     a, b = np.searchsorted(ink, begin), np.searchsorted(ink, end)
     full = np.flatnonzero(b > a)
     if not len(full):
-        return full, np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(1, np.int64)
+        return full, full, full, np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(1, np.uint64)
     begin, end = ink[a[full]], ink[b[full] - 1] + 1
     up, down = powers(n + 1)
-    up, down = up[:n], down[: n + 1]
     value = mix(points.astype(np.uint64) + U(0x632BE59BD9B4E019))
-    sums, more = np.zeros(n + 1, np.uint64), prime_sums(value % PRIME)
-    np.cumsum(value * up, out=sums[1:])
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(value * up[:n], out=sums[1:])
     size = (end - begin).astype(np.uint64)
     h1 = mix((sums[end] - sums[begin]) * down[begin] + size)
-    h2 = mix(prime_hash(more, begin, end) + (size << U(32)))
+    h2 = mix(prime_hash(prime_sums(value >> U(33)), begin, end) + (size << U(32)))
+    return full, begin, end, h1, h2, sums
+
+
+def shingle_hashes(begin: np.ndarray, end: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the shingles of lines of one text, and each line's bounds in them."""
     each = np.maximum(1, end - begin - SHINGLE + 1)
     bounds = np.concatenate([[0], np.cumsum(each)])
-    at = np.arange(bounds[-1]) - np.repeat(bounds[:-1], each) + np.repeat(begin, each)
+    at = np.arange(bounds[-1]) + np.repeat(begin - bounds[:-1], each)
     stop = np.minimum(at + SHINGLE, np.repeat(end, each))
-    return full, h1, h2, mix((sums[stop] - sums[at]) * down[at]), bounds
+    return mix((sums[stop] - sums[at]) * powers(len(sums))[1][at]), bounds
 
 
 def signatures(shingles: np.ndarray, line: np.ndarray, lines: int) -> np.ndarray:
@@ -94,60 +99,70 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key >> U(64 - exchange.KEY_BITS)
 
 
-def line_rows(texts: DataFrame) -> DataFrame:
-    """(doc_id, line_no, a, b) of every line that isn't blank."""
+SCANNED = exchange.BLOCKS + ", doc_id long, line_no int, a long, b long"
+_SCANNED = pa.schema([("chunk", pa.int64()), ("owner", pa.int32()), *[(c, pa.binary()) for c in ("keys", "twice", "counts", "docs")], ("doc_id", pa.int64()), ("line_no", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
-    def run(batches):
-        for batch in batches:
-            at, no, a, b = [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                lines, h1, h2, _, _ = line_hashes(text)
-                at.append(np.full(len(lines), i))
-                no.append(lines)
-                a.append(h1)
-                b.append(h2)
-            if at:
-                ids = batch.column("doc_id").take(pa.array(np.concatenate(at).astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(no).astype(np.int32)), pa.array(np.concatenate(a).view(np.int64)), pa.array(np.concatenate(b).view(np.int64))], names=["doc_id", "line_no", "a", "b"])
 
-    return texts.mapInArrow(run, "doc_id long, line_no int, a long, b long")
+def scanned(texts: DataFrame, owners: int) -> DataFrame:
+    """One pass over the texts: a row (doc_id, line_no, a, b) for every line that isn't blank, without chunk; and
+    the band keys of the distinct lines of each chunk, as blocks for their owners."""
 
-
-def band_blocks(texts: DataFrame, owners: int) -> DataFrame:
-    """The band keys of the distinct lines of each chunk, as blocks for their owners."""
+    def padded(columns: dict, n: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in _SCANNED], schema=_SCANNED)
 
     def run(batches):
         chunk = exchange.Chunk(owners)
         seen: set[tuple[int, int]] = set()
-        names, parts, chars = [], [], 0
+        firsts, seconds, parts, sizes, chars = [], [], [], [], 0
 
         def sign():
-            sizes = np.array([len(p) for p in parts])
-            keys = band_keys(signatures(np.concatenate(parts), np.repeat(np.arange(len(parts)), sizes), len(parts)))
-            for (a, b), k in zip(names, keys):
-                chunk.add(a, b, k)
+            size = np.concatenate(sizes)
+            keys = band_keys(signatures(np.concatenate(parts), np.repeat(np.arange(len(size)), size), len(size)))
+            chunk.add_rows(np.concatenate(firsts), np.concatenate(seconds), keys)
+
+        def flushed() -> pa.RecordBatch:
+            made = chunk.flush()
+            return padded(dict(zip(made.schema.names, made.columns)), made.num_rows)
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                _, h1, h2, shingles, bounds = line_hashes(text)
-                for i, name in enumerate(zip(h1.view(np.int64).tolist(), h2.view(np.int64).tolist())):
+            at, no, a, b = [], [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                lines, begin, end, h1, h2, sums = line_spans(text)
+                if not len(lines):
+                    continue
+                h1, h2 = h1.view(np.int64), h2.view(np.int64)
+                at.append(np.full(len(lines), i))
+                no.append(lines)
+                a.append(h1)
+                b.append(h2)
+                fresh = []
+                for k, name in enumerate(zip(h1.tolist(), h2.tolist())):
                     if name not in seen:
                         seen.add(name)
-                        names.append(name)
-                        parts.append(shingles[bounds[i] : bounds[i + 1]])
-                        chars += len(parts[-1])
+                        fresh.append(k)
+                if fresh:
+                    shingles, bounds = shingle_hashes(begin[fresh], end[fresh], sums)
+                    firsts.append(h1[fresh])
+                    seconds.append(h2[fresh])
+                    parts.append(shingles)
+                    sizes.append(np.diff(bounds))
+                    chars += len(shingles)
                 if chars >= CHUNK_CHARS:
                     sign()
-                    names, parts, chars = [], [], 0
+                    firsts, seconds, parts, sizes, chars = [], [], [], [], 0
                     if chunk.size >= CHUNK_KEYS:
-                        yield chunk.flush()
+                        yield flushed()
                         seen.clear()
+            if at:
+                ids = batch.column("doc_id").take(pa.array(np.concatenate(at).astype(np.int64)))
+                columns = {"doc_id": ids, "line_no": pa.array(np.concatenate(no)), "a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))}
+                yield padded(columns, len(ids))
         if parts:
             sign()
         if chunk.size:
-            yield chunk.flush()
+            yield flushed()
 
-    return texts.mapInArrow(run, exchange.BLOCKS)
+    return texts.mapInArrow(run, SCANNED)
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -159,14 +174,12 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def shingles_of(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingle hashes of lines that aren't blank, sorted within each, and their bounds."""
-    _, _, _, shingles, bounds = line_hashes("\n".join(lines.to_pylist()))
+    """The distinct shingle hashes of lines that aren't blank, and the line of each."""
+    _, begin, end, _, _, sums = line_spans("\n".join(lines.to_pylist()))
+    shingles, bounds = shingle_hashes(begin, end, sums)
     line = np.repeat(np.arange(len(lines)), np.diff(bounds))
-    order = np.lexsort((shingles, line))
-    line, shingles = line[order], shingles[order]
-    new = np.ones(len(line), bool)
-    new[1:] = (line[1:] != line[:-1]) | (shingles[1:] != shingles[:-1])
-    return shingles[new], np.searchsorted(line[new], np.arange(len(lines) + 1))
+    kept = np.unique(mix(shingles ^ (line.astype(np.uint64) * STEP[13])), return_index=True)[1]
+    return shingles[kept], line[kept]
 
 
 def portions(batch: pa.RecordBatch, *columns: str):
@@ -181,9 +194,10 @@ def with_sketches(lines: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in (p for b in batches if b.num_rows for p in portions(b, "line")):
-            shingles, bounds = shingles_of(batch.column("line"))
-            odd = np.array([parity(shingles[a:b], PARITY) for a, b in zip(bounds, bounds[1:])])
-            made = [pa.array(np.diff(bounds)), *[pa.array(np.ascontiguousarray(odd[:, i])) for i in range(PARITY)]]
+            shingles, line = shingles_of(batch.column("line"))
+            bits = np.bincount(line * 64 * PARITY + (shingles & U(64 * PARITY - 1)).astype(np.int64), minlength=batch.num_rows * 64 * PARITY)
+            odd = np.packbits((bits & 1).astype(np.uint8)).view(np.int64).reshape(-1, PARITY)
+            made = [pa.array(np.bincount(line, minlength=batch.num_rows)), *[pa.array(np.ascontiguousarray(odd[:, i])) for i in range(PARITY)]]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("line_no"), *made, batch.column("line")], names=["doc_id", "line_no", "n", *sketch(PARITY), "line"])
 
     flat = lines.select("node.doc_id", "node.line_no", "line")
@@ -197,16 +211,13 @@ def similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in (p for b in batches if b.num_rows for p in portions(b, "ta", "tb")):
-            pair, found, size = [], [], np.zeros(batch.num_rows, np.int64)
-            for side in ("ta", "tb"):
-                shingles, bounds = shingles_of(batch.column(side))
-                size += np.diff(bounds)
-                pair.append(np.repeat(np.arange(batch.num_rows), np.diff(bounds)))
-                found.append(shingles)
-            pair, found = np.concatenate(pair), np.concatenate(found)
-            order = np.lexsort((found, pair))
-            pair, found = pair[order], found[order]
-            shared = np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (found[1:] == found[:-1])], minlength=batch.num_rows)
+            each = [shingles_of(batch.column(side)) for side in ("ta", "tb")]
+            size = sum(np.bincount(line, minlength=batch.num_rows) for _, line in each)
+            pair = np.concatenate([line for _, line in each])
+            key = mix(np.concatenate([x for x, _ in each]) ^ (pair.astype(np.uint64) * STEP[13]))
+            order = np.argsort(key)
+            key, pair = key[order], pair[order]
+            shared = np.bincount(pair[1:][key[1:] == key[:-1]], minlength=batch.num_rows)
             mask = pa.array((shared > 0) & (100 * shared >= PERCENT * (size - shared)))
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in range(4)], names=["ad", "al", "bd", "bl"])
 
@@ -218,12 +229,11 @@ def similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per line that isn't blank: doc_id, line_no, keep_doc_id, keep_line_no, kept."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text"))
-    rows = cut(line_rows(texts), "lines-hashes")
-    reps = rows.groupBy("a", "b").agg(F.min(F.struct("doc_id", "line_no")).alias("node"), F.count(F.lit(1)).alias("times"))
-    reps = cut(reps, "lines-nodes")
-
-    owners = power_of_two(reps.count() * BANDS / OWNER_KEYS, 16)
-    blocks = cut(band_blocks(texts, owners), "lines-bands")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    owners = power_of_two(size / LINE_BYTES * BANDS / OWNER_KEYS, 16)
+    found = cut(scanned(texts, owners), "lines-scanned")
+    rows, blocks = found.where("chunk is null").select("doc_id", "line_no", "a", "b"), found.where("chunk is not null").select(*[c.split()[0] for c in exchange.BLOCKS.split(", ")])
+    reps = cut(rows.groupBy("a", "b").agg(F.min(F.struct("doc_id", "line_no")).alias("node")), "lines-nodes")
     items = exchange.shared_keys(blocks, owners).select(F.col("first").alias("a"), F.col("second").alias("b"), "keys")
     unpacked = exchange.unpacked(items, "a", "b").distinct()
     lists = cut(unpacked.join(reps.select("a", "b", "node"), ["a", "b"]).select("key", "node"), "lines-lists")

@@ -54,9 +54,11 @@ def prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prime_sums(values: np.ndarray) -> np.ndarray:
-    """Prefix sums of values below PRIME times powers; sums of fewer than 2^33 terms are exact."""
+    """Prefix sums of values below 2^31 times powers, each folded modulo PRIME once; sums of fewer than 2^31
+    terms are exact."""
     out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * prime_powers(len(values) + 1)[0][: len(values)] % PRIME, out=out[1:])
+    t = values * prime_powers(len(values) + 1)[0][: len(values)]
+    np.cumsum((t & PRIME) + (t >> U(31)), out=out[1:])
     return out
 
 

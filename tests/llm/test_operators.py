@@ -232,7 +232,7 @@ def test_line_dedup_odd_lines(spark):
         ((-1, 0), (-1, 0), True), ((-1, 1), (-1, 1), True), ((1, 0), (1, 0), True), ((1, 1), (1, 0), False), ((1, 2), (1, 0), False),
         ((2, 0), (2, 0), True), ((2, 0), (2, 0), True), ((3, 0), (2, 0), False),
     ]  # fmt: skip  (x and y are of the same shingles, but not equal:)
-    _, h1, h2, _, _ = line_dedup.line_hashes(f"{x}\n{y}")
+    _, _, _, h1, h2, _ = line_dedup.line_spans(f"{x}\n{y}")
     assert h1[0] == h1[1] and h2[0] != h2[1]
 
 
