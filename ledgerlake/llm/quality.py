@@ -7,8 +7,11 @@ and the kept rules become one Spark column expression over the columns of statis
 Labels of rows in fold 0 of FOLDS (crc32 of the id as text) are never read. The sample has at most
 SAMPLE labelled rows, chosen by a hash of the id; everything else covers all rows and whole texts.
 
-Defined results: null and empty texts have the statistics of an empty text and get a score; without
-usable labels of both kinds every score is the share of label 1 (0.5 if there are none).
+Defined results: null and empty texts have the statistics of an empty text and get a score; very long texts
+are read whole; an id with several labels has their mean, and of rows that repeat an id the one with the
+least statistics is learned from, so reruns agree; every row gets its own score; without usable labels of
+both kinds every score is the share of label 1 (0.5 if there are none, as with empty tables); extra columns
+are ignored by `score` and kept by `keep_good`, whatever their names.
 """
 
 from __future__ import annotations
@@ -186,13 +189,16 @@ def held_out(id_col: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> RuleModel:
     """Fit on at most `sample` labelled rows outside the held-out fold."""
-    usable = labels.select(F.col(id_col).alias("l_id"), F.col("quality").cast("double").alias("y")).where(F.col("y").isNotNull() & F.col("l_id").isNotNull() & ~held_out(F.col("l_id"))).dropDuplicates(["l_id"])
+    known = labels.select(F.col(id_col).alias("l_id"), F.col("quality").cast("double").alias("y")).where(F.col("y").isNotNull() & F.col("l_id").isNotNull() & ~held_out(F.col("l_id")))
+    usable = known.groupBy("l_id").agg(F.avg("y").alias("y"))
     n = usable.count()
     bucket = F.pmod(F.xxhash64("l_id"), F.lit(1 << 30))
-    chosen = usable.where(bucket < int((1 << 30) * min(1.0, 0.97 * sample / max(1, n)))).limit(sample)
+    chosen = usable.where(bucket < int((1 << 30) * min(1.0, 0.97 * sample / max(1, n)))).orderBy(bucket, "l_id").limit(sample)
     # at most `sample` rows of 16 bytes, so it can be broadcast at any size of the tables
     rows = docs.select(F.col(id_col).alias("d_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), F.col("d_id") == F.col("l_id"))
-    data = with_statistics(rows.select("d_id", "y", "text")).drop("text").limit(2 * sample).toPandas().sort_values(["d_id", "y"])
+    stats = ["stat_" + f for f in FEATURES]
+    one = with_statistics(rows.select("d_id", "y", "text")).groupBy("d_id").agg(F.min(F.struct("y", *stats)).alias("s"))
+    data = one.select("d_id", "s.*").toPandas().sort_values("d_id")
     return fit_rules(data[["stat_" + f for f in FEATURES]].to_numpy(float), data["y"].to_numpy(float))
 
 

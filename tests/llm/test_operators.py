@@ -526,6 +526,18 @@ def test_quality(spark, docs, none, plain):
     assert quality.score(none, model).count() == 0
 
 
+def test_quality_contradicting_labels(spark):
+    """Several labels and rows of an id: reruns over other partitions learn the same model."""
+    r = random.Random(9)
+    rows = [(i % 150, " ".join("".join(r.choice("abcXY!") for _ in range(4)) for _ in range(r.randint(1, 30))), "s") for i in range(400)]
+    df = frame(spark, rows)
+    labels = spark.createDataFrame([(i % 150, r.randrange(2), 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    first = quality.train(df, labels)
+    assert first == quality.train(df.repartition(7, "text"), labels.repartition(5, "quality"))
+    assert quality.score(df, first).count() == 400
+    assert quality.score(frame(spark, [(1, "word " * 400_000, "s")]), first).first().score <= 1
+
+
 def test_rule_column_equals_numpy(spark):
     import numpy as np
 

@@ -66,7 +66,24 @@ def test_stages_on_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
-def test_stages_keep_clashing_columns(spark):
+def test_stages_keep_clashing_columns(spark, tmp_path):
+    """Columns of any name pass through every stage; rows that repeat an id and a text become one."""
+    tables(spark, str(tmp_path))
     rows = frame(spark, [(1, "a b c d e f", "s"), (1, "a b c d e f", "s"), (2, None, None)])
-    assert exact_dedup.keep_one(rows).columns == rows.columns and exact_dedup.keep_one(rows).count() == 2
-    assert mixing.mix(rows).columns == [*rows.columns, "mix_copy"]
+    assert exact_dedup.keep_one(rows).count() == 2
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, rows, str(tmp_path))
+        assert out.columns == [*rows.columns, *["mix_copy"] * (name == "mixing_sources")], name
+        assert all(r.row == "x" and r.size == 1 and r.stat_words == "y" for r in out.collect()), name
+
+
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Null ids, very long texts, ties and repeated rows: each has its defined result."""
+    long = " ".join(f"w{i}" for i in range(200_000))
+    rows = [(None, "a text without an id", "s"), (None, None, "s"), (7, long, "s"), (8, long.upper(), "s"), (9, long + " more", "s"), (5, "tied text of one id", "s"), (5, "tied text of one id", "s"), (6, "", "s")]
+    frame(spark, rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "a window that no document has"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((r.doc_id or 0, len(r.text or "")) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    # 8 is the later of two equal texts, and the smallest of its near copies; the empty text of 6 is that of the null
+    assert got == [(0, 20), (5, 19), (6, 0), (8, len(long))]
