@@ -10,21 +10,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; only a local session without one gets its own."""
-    known = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if known:
         return known.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="ledgerlake-core-")
+    made = tempfile.mkdtemp(prefix="ledgerlake-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
 
 
+def _store(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in this application's own folder, which goes when the driver ends."""
+    own = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    store, path = _store(spark, own)
+    if not store.exists(path):
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: lost executors don't cost what led to it."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -32,5 +44,5 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, in whatever store Spark reads it from."""
-    found = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
+    store, found = _store(spark, path)
+    return store.exists(found)
