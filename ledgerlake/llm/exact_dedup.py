@@ -7,7 +7,8 @@
 
 Defined results: a null text equals an empty one; of equal texts the row with the largest id stays
 (a null id is below every other); rows that repeat id and text alike are numbered, and one of them
-stays; an empty table gives an empty result; other columns are ignored.
+stays; very long texts are read whole; an empty table gives an empty result; other columns are ignored
+by the report and kept by `keep_one`, whatever their names.
 """
 
 from __future__ import annotations

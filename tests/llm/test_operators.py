@@ -739,3 +739,19 @@ def test_golomb_codes():
             assert np.array_equal(bits.rice_decode(bits.rice_encode(v)), v)
     v = np.unique(r.integers(0, 1 << 44, 5000).astype(np.uint64))
     assert len(bits.rice_encode(v)) < 5000 * 35 / 8
+
+
+def test_very_long_texts(spark):
+    """Texts of megabytes, of words and of one character, are read whole by the operators that scan texts."""
+    words = " ".join(f"w{i}" for i in range(150_000))
+    rows = [(1, words, "s"), (2, words.upper(), "s"), (3, "x" * 3_000_000, "t"), (4, " " * 3_000_000, None), (5, "7 " * 500_000, "s"), (6, None, "s")]
+    docs = frame(spark, rows)
+    item = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(149_980, 149_995)))], "item_id long, text string")
+    hit = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontaminate.contamination(docs, item).collect()}
+    assert hit == {1: (150_000, 15, 1), 2: (150_000, 15, 1), 3: (1, 0, 0), 4: (0, 0, 0), 5: (500_000, 0, 0), 6: (0, 0, 0)}
+    size = {r.doc_id: r.size for r in mixing.mix_report(docs).collect()}
+    assert size == {1: 150_000, 2: 150_000, 3: 1, 4: 0, 5: 500_000, 6: 0}
+    keep = {r.doc_id: r.keep_id for r in exact_dedup.exact_dedup(docs).collect()}
+    assert keep == {1: 2, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6}
+    gone = {r.doc_id: r.n_removed for r in suffix_dedup.suffix_dedup(frame(spark, [*rows, (7, words[500_000:] + "!", "s")])).collect()}
+    assert gone == {1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: 0, 7: len(words) - 500_000}
