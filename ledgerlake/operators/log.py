@@ -189,6 +189,13 @@ def sealed(head: DataFrame, roots: DataFrame, times: DataFrame) -> DataFrame:
     return found.select("stream", F.col("h.pos").alias("position"), F.lower(F.hex("h.hash")).alias("log_hash"), F.col("root").alias("state_root"), "sealed_at")
 
 
+def range_proof(log: DataFrame) -> DataFrame:
+    """What proves an exported range of chained records, per stream: the first record's previous hash, the last
+    hash, the offsets and the number of records."""
+    ends = log.groupBy("stream").agg(F.min_by("prev_hash", "offset").alias("p"), F.max_by("hash", "offset").alias("h"), F.min("offset").alias("first"), F.max("offset").alias("last"), F.count(F.lit(1)).alias("n"))
+    return ends.select("stream", "first", "last", "n", F.lower(F.hex("p")).alias("first_prev_hash"), F.lower(F.hex("h")).alias("last_hash"))
+
+
 STREAMS = "id long, name string, region long"
 
 

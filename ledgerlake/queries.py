@@ -23,7 +23,7 @@ from ledgerlake.functions import text
 from ledgerlake.sources import records
 from ledgerlake.sources import rows as json_rows
 from ledgerlake.sources.rows import decode_rows
-from ledgerlake.streaming.apply import run_projection
+from ledgerlake.streaming.apply import run_projection, unique_ids
 
 KEYS = {
     "region": ("r_regionkey",), "nation": ("n_nationkey",), "customer": ("c_custkey",), "supplier": ("s_suppkey",), "part": ("p_partkey",),
@@ -403,6 +403,44 @@ def log_table_roundtrip(spark, sf):
     return records.read_log(spark, path).where("stream IN ('click', 'view') AND offset >= 5").select("stream", "offset", F.decode("payload", "utf-8").alias("payload"))
 
 
+@query(f"WITH RECURSIVE {_CHAIN} SELECT stream, \"offset\", lower(hex(h)) AS hash FROM chain JOIN (SELECT stream, max(\"offset\") AS last FROM log GROUP BY stream) USING (stream) WHERE \"offset\" > last // 2")
+def append_batch(spark, sf):
+    """The later half of each stream appended to the earlier one, at the offsets that are expected."""
+    rows = event_log(spark, sf)
+    rows = materialize(rows.join(rows.groupBy("stream").agg(F.floor(F.max("offset") / 2).alias("mid")), "stream"), "halves")
+    old = materialize(log.with_crc(log.chained(rows.where("offset <= mid"))), "old")
+    expected = {r["stream"]: r["at"] for r in rows.groupBy("stream").agg((F.max("mid") + 1).alias("at")).collect()}  # a row per stream of the batch
+    new = rows.where("offset > mid").select("stream", (F.col("offset") - F.col("mid") - 1).alias("n"), "payload")
+    return log.append(old, new, expected).select("stream", "offset", F.lower(F.hex("hash")).alias("hash"))
+
+
+@query(f"WITH RECURSIVE {_CHAIN} SELECT stream, min(\"offset\") AS first, max(\"offset\") AS last, count(*) AS n, lower(hex(arg_min(prev, \"offset\"))) AS first_prev_hash, lower(hex(arg_max(h, \"offset\"))) AS last_hash FROM chain JOIN log USING (stream, \"offset\"), {_HALF} WHERE pos >= p GROUP BY stream")
+def range_export_proof(spark, sf):
+    positions = event_log(spark, sf).select("stream", "offset", "pos")
+    return log.range_proof(chained_log(spark, sf).join(positions, ["stream", "offset"]).where(F.col("pos") >= half(op_log(spark, sf))))
+
+
+@query(f"SELECT level, stream, \"offset\", payload FROM {_LOG}, (SELECT unnest(['full', 'checkpoint', 'none']) AS level) WHERE stream = 'view' AND \"offset\" >= 120")
+def read_levels(spark, sf):
+    """The same records at each level of verification."""
+    rows = materialize(log.with_crc(chained_log(spark, sf)), "levels")
+    parts = [log.read(rows, "view", 120, verify=v).select(F.lit(v).alias("level"), "stream", "offset", F.decode("payload", "utf-8").alias("payload")) for v in ("full", "checkpoint", "none")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"SELECT stream, \"offset\", pos FROM {_LOG}, {_HALF} WHERE stream IN ('click', 'view') AND pos BETWEEN p // 2 AND p")
+def scope_ranges(spark, sf):
+    at = half(op_log(spark, sf))
+    scope = governance.Scope(fields=frozenset({"stream", "offset", "pos"}), streams=frozenset({"click", "view"}), positions=(at // 2, at))
+    return scope.restrict(event_log(spark, sf), pos="pos", stream="stream")
+
+
+@query("SELECT DISTINCT user_id FROM events")
+def streaming_unique(spark, sf):
+    e = table(spark, sf, "events").schema
+    return unique_ids(spark, f"{sf}/event[s].parquet", e, "user_id", "ts", "100000 hours")
+
+
 _STREAMS = "(SELECT n_nationkey + 1 AS id, n_name AS name, n_regionkey AS region FROM nation)"
 
 
@@ -547,6 +585,21 @@ def field_encrypt_roundtrip(spark, sf):
     return sealed.select("c_custkey", keyed.decrypt(F.col("c"), FIELD_KEY).alias("revealed"), F.octet_length("c").cast("long").alias("n_bytes"))
 
 
+@query(f"SELECT c_custkey, sha256(unhex('{FIELD_KEY.hex()}') || encode(c_name)) AS token, c_name AS revealed FROM customer")
+def reversible_tokens(spark, sf):
+    made = table(spark, sf, "customer").select("c_custkey", keyed.reversible(F.col("c_name"), FIELD_KEY).alias("t"))
+    return made.select("c_custkey", "t.token", keyed.decrypt(F.col("t.ciphertext"), FIELD_KEY).alias("revealed"))
+
+
+@query("SELECT c_custkey, sha256(repeat('*', strlen(c_name))) AS chained, repeat('*', strlen(c_name)) AS first FROM customer")
+def rule_policies(spark, sf):
+    """All matching rules in order, or only the first."""
+    rules = [governance.Rule("c_name", "mask"), governance.Rule("c_name", "hash")]
+    rows = table(spark, sf, "customer").select("c_custkey", "c_name")
+    chain, first = (governance.transform(rows, rules, policy)[0] for policy in ("chain", "first"))
+    return chain.withColumnRenamed("c_name", "chained").join(first.withColumnRenamed("c_name", "first"), "c_custkey")
+
+
 @query()
 def pseudonymize_blake3(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", A.pseudonym(F.col("c_name")).alias("pseudonym"))

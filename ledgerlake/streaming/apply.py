@@ -47,3 +47,13 @@ def run_projection(spark: SparkSession, path: str, schema, key: str, value: str)
 def unique_submits(stream: DataFrame, id_col: str, ts: str, retention: str) -> DataFrame:
     """The first submission of each id within the retention; state older than that is dropped."""
     return stream.withWatermark(ts, retention).dropDuplicatesWithinWatermark([id_col])
+
+
+def unique_ids(spark: SparkSession, path: str, schema, id_col: str, ts: str, retention: str) -> DataFrame:
+    """The ids that unique_submits lets through of all that the log at path has now. Times without a zone count
+    as the session's."""
+    out = fresh_path(spark, "unique")
+    stream = log_stream(spark, path, schema).withColumn(ts, F.col(ts).cast("timestamp"))
+    written = unique_submits(stream, id_col, ts, retention).select(id_col).writeStream.format("parquet")
+    written.option("path", out).option("checkpointLocation", fresh_path(spark, "unique-offsets")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
