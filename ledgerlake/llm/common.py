@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.plans.materialize import materialize
@@ -26,6 +26,13 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return materialize(df, label)
 
 
+def counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """cut, and the number of rows that were written."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
+    return out, seen.get["n"]
+
+
 def power_of_two(n: float, least: int = 1) -> int:
     out = least
     while out < n:

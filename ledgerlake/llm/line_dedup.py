@@ -251,6 +251,7 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = stars.where(F.size("keys") > 0).join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
     open_keys = apart.select(F.explode("keys").alias("key")).distinct()
     left = lists.join(open_keys, "key", "left_semi").join(comps, "node", "left").select("key", F.col("node").alias("rep"), F.coalesce("comp", "node").alias("comp"))
+    left = cut(left, "lines-apart")
     left, more, tried = recentred(left, bounded, lambda pairs: similar(pairs, lines), "lines")
     side = lambda name: as_side(left.join(lines, "rep"), name, PARITY, "key", F.col("comp").alias("c" + name))
     tries = side("a").join(side("b"), "key").where((F.col("ca") < F.col("cb")) & may_be_similar(PERCENT, PARITY)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import cut
+from ledgerlake.llm.common import counted, cut
 from ledgerlake.llm.components import components
 
 #: Rounds of new centres go on while one in TENTH of a round's pairs is a link, and ROUNDS at most.
@@ -51,19 +51,21 @@ def recentred(lists: DataFrame, bounded: Callable[[DataFrame], DataFrame], simil
     for each open row, so nothing grows with the square of a list."""
     links, tried = [], []
     for turn in range(ROUNDS):
-        still = lists.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-        lists = cut(lists.join(still, "key", "left_semi"), f"{label}-open")
-        if not lists.head(1):
-            break
-        centre = lists.groupBy("key").agg(F.min_by(F.struct(F.col("rep").alias("b"), F.col("comp").alias("cb")), F.xxhash64("key", "rep", F.lit(turn))).alias("centre"))
-        met = lists.join(centre, "key").where(F.col("comp") != F.col("centre.cb"))
+        centre = F.min_by(F.struct(F.col("rep").alias("b"), F.col("comp").alias("cb")), F.xxhash64("key", "rep", F.lit(turn)))
+        heads = lists.groupBy("key").agg((F.min("comp") != F.max("comp")).alias("open"), centre.alias("centre"))
+        met = lists.join(heads, "key").where(F.col("open") & (F.col("comp") != F.col("centre.cb")))
         pairs = met.select(F.col("rep").alias("a"), F.col("centre.b").alias("b"), F.col("comp").alias("ca"), F.col("centre.cb").alias("cb")).distinct()
-        near = cut(bounded(pairs).select("a", "b", "ca", "cb"), f"{label}-centred")
-        found = cut(similar(near.select("a", "b")), f"{label}-recentred")
+        near, n_near = counted(bounded(pairs).select("a", "b", "ca", "cb"), f"{label}-centred")
+        if not n_near:
+            break
+        found, n_found = counted(similar(near.select("a", "b")), f"{label}-recentred")
         tried.append(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         links.append(found)
-        united = components(near.join(found, ["a", "b"]).select("ca", "cb").distinct(), "ca", "cb").withColumnRenamed("comp", "now")
-        lists = lists.join(united, F.col("comp") == F.col("node"), "left").select("key", "rep", F.coalesce("now", "comp").alias("comp"))
-        if found.count() * TENTH < near.count():
+        if n_found:
+            united = components(near.join(found, ["a", "b"]).select("ca", "cb").distinct(), "ca", "cb").withColumnRenamed("comp", "now")
+            lists = lists.join(united, F.col("comp") == F.col("node"), "left").select("key", "rep", F.coalesce("now", "comp").alias("comp"))
+            lists = cut(lists, f"{label}-open")
+        if n_found * TENTH < n_near:
             break
-    return lists, links, tried
+    still = lists.groupBy("key").agg((F.min("comp") != F.max("comp")).alias("open")).where("open").select("key")
+    return lists.join(still, "key", "left_semi"), links, tried
