@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ledgerlake.functions import anonymize as A
 from ledgerlake.functions import keyed
 from ledgerlake.operators import checks, governance, log, projections, versions
-from ledgerlake.operators.merkle import merkle_root
+from ledgerlake.operators.merkle import blake3_all, entry_leaves, merkle_root
 from ledgerlake.operators.ordered import dense_offsets
 from ledgerlake.plans.materialize import fresh_path, materialize
 from ledgerlake.plans.select import Catalog, Param, Select, TableDef
@@ -499,6 +499,14 @@ def merkle_roots(spark, sf):
     return merkle_root(leaves, "stream", "offset", "h").select("stream", F.lower(F.hex("root")).alias("root"), "n_leaves")
 
 
+@query()
+def merkle_roots_blake3(spark, sf):
+    """Roots over entries (operation, view, checksum), all hashes BLAKE3."""
+    entries = event_log(spark, sf).select("stream", "offset", "pos", F.floor(F.col("pos") / 1000).alias("view"), F.crc32("payload").alias("checksum"))
+    found = merkle_root(entry_leaves(entries, "pos", "view", "checksum"), "stream", "offset", "leaf", blake3_all)
+    return found.select("stream", F.lower(F.hex("root")).alias("root"), "n_leaves")
+
+
 @query("SELECT event_id AS id, min(ts) AS ts, count(*) AS times FROM (SELECT event_id, ts FROM events UNION ALL SELECT event_id, ts + INTERVAL 1 DAY FROM events WHERE event_id % 10 = 0) GROUP BY event_id")
 def idempotent_dedup(spark, sf):
     e = table(spark, sf, "events").select(F.col("event_id").alias("id"), "ts")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 HEAD = 45
 
 
-def _little(c: Column, size: int) -> Column:
+def little(c: Column, size: int) -> Column:
     digits = F.lpad(F.hex(c.cast("long")), 2 * size, "0")
     return F.unhex(F.concat(*[F.substring(digits, 2 * (size - i) - 1, 2) for i in range(size)]))
 
@@ -25,8 +25,8 @@ def _number(b: Column, at: int | Column, size: int) -> Column:
 def encode(log: DataFrame) -> DataFrame:
     """log(stream, offset, prev_hash, kind, payload) -> (stream, offset, record)."""
     zeros = F.unhex(F.lit("00" * 32))
-    body = F.concat(_little(F.col("offset"), 8), F.coalesce("prev_hash", zeros), _little(F.col("kind"), 1), _little(F.octet_length("payload"), 4), F.col("payload"))
-    return log.select("stream", "offset", F.concat(body, _little(F.crc32(body), 4)).alias("record"))
+    body = F.concat(little(F.col("offset"), 8), F.coalesce("prev_hash", zeros), little(F.col("kind"), 1), little(F.octet_length("payload"), 4), F.col("payload"))
+    return log.select("stream", "offset", F.concat(body, little(F.crc32(body), 4)).alias("record"))
 
 
 def decode(records: DataFrame) -> DataFrame:

@@ -420,3 +420,35 @@ def test_streams_and_gaps(spark, tmp_path):
                 follow(log_stream(spark, f"{tmp_path}/in", schema), "k", "v", f"{tmp_path}/state", f"{tmp_path}/cp")
         else:
             follow(log_stream(spark, f"{tmp_path}/in", schema), "k", "v", f"{tmp_path}/state", f"{tmp_path}/cp")
+
+
+def test_merkle_blake3(spark, sf):
+    """Against a plain tree over the same entries."""
+    import zlib
+
+    from ledgerlake.queries import QUERIES, event_log
+
+    entries = {}
+    for r in event_log(spark, sf).orderBy("offset").collect():
+        data = r.pos.to_bytes(8, "little") + (r.pos // 1000).to_bytes(8, "little") + zlib.crc32(bytes(r.payload)).to_bytes(4, "little")
+        entries.setdefault(r.stream, []).append(data)
+    want = {}
+    for stream, leaves in entries.items():
+        nodes = [bytes.fromhex(h) for h in digest_all(leaves)]
+        while len(nodes) > 1:
+            up = [bytes.fromhex(digest_all([nodes[i] + nodes[i + 1]])[0]) for i in range(0, len(nodes) - 1, 2)]
+            nodes = up + nodes[len(up) * 2 :]
+        want[stream] = (nodes[0].hex(), len(leaves))
+    assert {r.stream: (r.root, r.n_leaves) for r in QUERIES["merkle_roots_blake3"](spark, sf).collect()} == want and want
+
+
+def test_catalog_and_levels(spark, users):
+    made = Catalog().add(users.get("users"))
+    assert "users" not in made.drop("users").tables
+    with pytest.raises(errors.TableNotFound):
+        made.drop("users")
+    bad = log.with_crc(small_log(spark)).withColumn("hash", F.when(F.col("offset") != 1, F.col("hash")))
+    assert log.read(bad, "s", 3, verify="none").count() == 3
+    with pytest.raises(errors.ChainVerificationFailed):
+        log.read(bad, "s", 3).count()
+    assert log.next_cursor(3, 2) == 5 and log.next_cursor(3, 0) is None
