@@ -1,14 +1,14 @@
 """Fuzzy line deduplication by MinHash.
 
 A line is trimmed and its A-Z lower-cased; its set holds the hashes of its SHINGLE-character strings.
-1. One scan hashes every line. Equal lines are one node, named by the first (doc_id, line_no).
+1. One scan hashes every line. Equal lines are one node, named by a mix of two hashes built differently.
 2. Distinct lines of a task get a signature of BANDS x ROWS minima by one-permutation hashing with
    densification. A pair of similarity 0.8 shares a band with a probability of 1 - (1 - 0.8^ROWS)^BANDS,
    above 0.998. Bands that two lines have are found by the Golomb-coded exchange (exchange.py).
-3. Lines are verified by exact Jaccard against the first line of each of their bands, then in rounds
+3. Lines are verified by exact Jaccard against one line of each of their bands, then in rounds
    against other lines of bands that hold several components (pairs.py), and at last between the
    components that are left. Sizes and parity sketches bound each pair before its lines are compared.
-4. Distributed union-find (components.py) keeps the first line of each component.
+4. Distributed union-find (components.py) finds the components; the first line of each stays.
 
 Defined results: blank lines are no lines and always stay; a line shorter than SHINGLE is one shingle;
 null and empty texts have no lines; very long texts and lines are read whole; of ties, the first line
@@ -32,7 +32,9 @@ from ledgerlake.llm.textnp import PRIME, STEP, U, mix, powers, prime_hash, prime
 
 SHINGLE, PERCENT, BANDS, ROWS = 8, 80, 16, 5
 SLOTS = BANDS * ROWS
-CHUNK_KEYS, OWNER_KEYS, CHUNK_CHARS = 1 << 20, 1 << 21, 1 << 21
+CHUNK_KEYS, OWNER_KEYS = 1 << 20, 1 << 21
+#: Shingles that get their signatures together, and characters of text that are hashed together.
+CHUNK_SHINGLES, PORTION = 1 << 19, 1 << 18
 #: Longs of the parity sketch of a line; bytes of text for each distinct line, roughly, to choose the number of
 #: owners (only their load hangs on it).
 PARITY, LINE_BYTES = 16, 128
@@ -68,6 +70,10 @@ def line_spans(text: str):
     return full, begin, end, h1, h2, sums
 
 
+def names_of(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    return mix(h1 ^ (h2 * STEP[12])).view(np.int64)
+
+
 def shingle_hashes(begin: np.ndarray, end: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of the shingles of lines of one text, and each line's bounds in them."""
     each = np.maximum(1, end - begin - SHINGLE + 1)
@@ -99,12 +105,17 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key >> U(64 - exchange.KEY_BITS)
 
 
-SCANNED = exchange.BLOCKS + ", doc_id long, line_no int, a long, b long"
-_SCANNED = pa.schema([("chunk", pa.int64()), ("owner", pa.int32()), *[(c, pa.binary()) for c in ("keys", "twice", "counts", "docs")], ("doc_id", pa.int64()), ("line_no", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+SCANNED = exchange.BLOCKS + ", doc_id long, line_no int, name long"
+_SCANNED = pa.schema([("chunk", pa.int64()), ("owner", pa.int32()), *[(c, pa.binary()) for c in ("keys", "twice", "counts", "docs")], ("doc_id", pa.int64()), ("line_no", pa.int32()), ("name", pa.int64())])
+
+
+def text_portions(texts: list[str]):
+    """Ranges of texts of about PORTION characters; a longer text is a range of its own."""
+    return slices(np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64), PORTION) if texts else ()
 
 
 def scanned(texts: DataFrame, owners: int) -> DataFrame:
-    """One pass over the texts: a row (doc_id, line_no, a, b) for every line that isn't blank, without chunk; and
+    """One pass over the texts: a row (doc_id, line_no, name) for every line that isn't blank, without chunk; and
     the band keys of the distinct lines of each chunk, as blocks for their owners."""
 
     def padded(columns: dict, n: int) -> pa.RecordBatch:
@@ -112,51 +123,45 @@ def scanned(texts: DataFrame, owners: int) -> DataFrame:
 
     def run(batches):
         chunk = exchange.Chunk(owners)
-        seen: set[tuple[int, int]] = set()
-        firsts, seconds, parts, sizes, chars = [], [], [], [], 0
+        seen: set[int] = set()
+        names, parts, sizes, size = [], [], [], 0
 
         def sign():
-            size = np.concatenate(sizes)
-            keys = band_keys(signatures(np.concatenate(parts), np.repeat(np.arange(len(size)), size), len(size)))
-            chunk.add_rows(np.concatenate(firsts), np.concatenate(seconds), keys)
+            n = np.concatenate(sizes)
+            name = np.concatenate(names)
+            chunk.add_rows(name, np.zeros(len(name), np.int64), band_keys(signatures(np.concatenate(parts), np.repeat(np.arange(len(n)), n), len(n))))
 
         def flushed() -> pa.RecordBatch:
             made = chunk.flush()
             return padded(dict(zip(made.schema.names, made.columns)), made.num_rows)
 
         for batch in batches:
-            at, no, a, b = [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                lines, begin, end, h1, h2, sums = line_spans(text)
-                if not len(lines):
+            whole = batch.column("text").to_pylist()
+            for i, j in text_portions(whole):
+                part = whole[i:j]
+                # the texts stand under each other: a line's number is counted from its text's first
+                line, begin, end, h1, h2, sums = line_spans("\n".join(part))
+                if not len(line):
                     continue
-                h1, h2 = h1.view(np.int64), h2.view(np.int64)
-                at.append(np.full(len(lines), i))
-                no.append(lines)
-                a.append(h1)
-                b.append(h2)
-                fresh = []
-                for k, name in enumerate(zip(h1.tolist(), h2.tolist())):
-                    if name not in seen:
-                        seen.add(name)
-                        fresh.append(k)
-                if fresh:
-                    shingles, bounds = shingle_hashes(begin[fresh], end[fresh], sums)
-                    firsts.append(h1[fresh])
-                    seconds.append(h2[fresh])
+                first = np.concatenate([[0], np.cumsum([t.count("\n") + 1 for t in part])])
+                of = np.searchsorted(first, line, side="right") - 1
+                name = names_of(h1, h2)
+                yield padded({"doc_id": batch.column("doc_id").take(pa.array(of + i)), "line_no": pa.array(line - first[of]), "name": pa.array(name)}, len(line))
+                each, at = np.unique(name, return_index=True)
+                new = np.fromiter((x not in seen for x in each.tolist()), bool, len(each))
+                if new.any():
+                    seen.update(each[new].tolist())
+                    shingles, bounds = shingle_hashes(begin[at[new]], end[at[new]], sums)
+                    names.append(each[new])
                     parts.append(shingles)
                     sizes.append(np.diff(bounds))
-                    chars += len(shingles)
-                if chars >= CHUNK_CHARS:
+                    size += len(shingles)
+                if size >= CHUNK_SHINGLES:
                     sign()
-                    firsts, seconds, parts, sizes, chars = [], [], [], [], 0
+                    names, parts, sizes, size = [], [], [], 0
                     if chunk.size >= CHUNK_KEYS:
                         yield flushed()
                         seen.clear()
-            if at:
-                ids = batch.column("doc_id").take(pa.array(np.concatenate(at).astype(np.int64)))
-                columns = {"doc_id": ids, "line_no": pa.array(np.concatenate(no)), "a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))}
-                yield padded(columns, len(ids))
         if parts:
             sign()
         if chunk.size:
@@ -166,11 +171,11 @@ def scanned(texts: DataFrame, owners: int) -> DataFrame:
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, line) of wanted(node), a struct of doc_id and line_no. Ids are null-safe."""
-    lists = wanted.select(F.col("node.doc_id").alias("w_id"), F.col("node.line_no").alias("no")).groupBy("w_id").agg(F.collect_set("no").alias("nos"))
+    """(rep, line) of wanted(name, doc_id, line_no). Ids are null-safe."""
+    lists = wanted.groupBy(F.col("doc_id").alias("w_id")).agg(F.collect_set(F.struct("line_no", "name")).alias("nos"))
     held = docs.join(lists.hint("merge"), F.col("doc_id").eqNullSafe(F.col("w_id")))
-    lines = held.select("doc_id", F.split("text", "\n").alias("lines"), "nos").select("doc_id", "lines", F.explode("nos").alias("no"))
-    return lines.select(F.struct("doc_id", F.col("no").alias("line_no")).alias("node"), F.get("lines", F.col("no")).alias("line")).where("line is not null")
+    lines = held.select(F.split("text", "\n").alias("lines"), "nos").select("lines", F.explode("nos").alias("no"))
+    return lines.select(F.col("no.name").alias("rep"), F.get("lines", F.col("no.line_no")).alias("line")).where("line is not null")
 
 
 def shingles_of(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -183,26 +188,36 @@ def shingles_of(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def portions(batch: pa.RecordBatch, *columns: str):
-    """Slices of a batch with about CHUNK_CHARS bytes of text each, one row at least."""
+    """Slices of a batch with about PORTION bytes of text each, one row at least."""
     ends = np.cumsum(sum(pc.binary_length(batch.column(c)).to_numpy(zero_copy_only=False) for c in columns))
-    for i, j in slices(np.concatenate([[0], ends]).astype(np.int64), CHUNK_CHARS):
+    for i, j in slices(np.concatenate([[0], ends]).astype(np.int64), PORTION):
         yield batch.slice(i, j - i)
 
 
+def named(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The rows whose line has the name rep: an id that rows repeat brings lines of other texts too."""
+    lines = batch.column("line").to_pylist()
+    inked = np.array([bool(x.strip(" \t\n\r\x0b\x0c")) for x in lines], bool)
+    _, _, _, h1, h2, _ = line_spans("\n".join(x for x, ink in zip(lines, inked) if ink))
+    inked[inked] = names_of(h1, h2) == batch.column("rep").to_numpy()[inked]
+    return batch.filter(pa.array(inked))
+
+
 def with_sketches(lines: DataFrame) -> DataFrame:
-    """lines(node, line) as (rep, n, o0 ..., line)."""
+    """lines(rep, line) with n and the sketch o0 ..., one row for each rep."""
 
     def run(batches):
-        for batch in (p for b in batches if b.num_rows for p in portions(b, "line")):
+        for batch in (named(p) for b in batches if b.num_rows for p in portions(b, "line")):
+            if not batch.num_rows:
+                continue
             shingles, line = shingles_of(batch.column("line"))
             bits = np.bincount(line * 64 * PARITY + (shingles & U(64 * PARITY - 1)).astype(np.int64), minlength=batch.num_rows * 64 * PARITY)
             odd = np.packbits((bits & 1).astype(np.uint8)).view(np.int64).reshape(-1, PARITY)
             made = [pa.array(np.bincount(line, minlength=batch.num_rows)), *[pa.array(np.ascontiguousarray(odd[:, i])) for i in range(PARITY)]]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("line_no"), *made, batch.column("line")], names=["doc_id", "line_no", "n", *sketch(PARITY), "line"])
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), *made, batch.column("line")], names=["rep", "n", *sketch(PARITY), "line"])
 
-    flat = lines.select("node.doc_id", "node.line_no", "line")
-    schema = "doc_id long, line_no int, n long, " + "".join(f"{o} long, " for o in sketch(PARITY)) + "line string"
-    return flat.mapInArrow(run, schema).select(F.struct("doc_id", "line_no").alias("rep"), "n", *sketch(PARITY), "line")
+    schema = "rep long, n long, " + "".join(f"{o} long, " for o in sketch(PARITY)) + "line string"
+    return lines.mapInArrow(run, schema).dropDuplicates(["rep"])
 
 
 def similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -219,11 +234,9 @@ def similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
             key, pair = key[order], pair[order]
             shared = np.bincount(pair[1:][key[1:] == key[:-1]], minlength=batch.num_rows)
             mask = pa.array((shared > 0) & (100 * shared >= PERCENT * (size - shared)))
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in range(4)], names=["ad", "al", "bd", "bl"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("a", "b")], names=["a", "b"])
 
-    flat = joined.select(F.col("a.doc_id").alias("ad"), F.col("a.line_no").alias("al"), F.col("b.doc_id").alias("bd"), F.col("b.line_no").alias("bl"), "ta", "tb")
-    links = flat.mapInArrow(run, "ad long, al int, bd long, bl int")
-    return links.select(F.struct(F.col("ad").alias("doc_id"), F.col("al").alias("line_no")).alias("a"), F.struct(F.col("bd").alias("doc_id"), F.col("bl").alias("line_no")).alias("b"))
+    return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,17 +245,17 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     owners = power_of_two(size / LINE_BYTES * BANDS / OWNER_KEYS, 16)
     found = cut(scanned(texts, owners), "lines-scanned")
-    rows, blocks = found.where("chunk is null").select("doc_id", "line_no", "a", "b"), found.where("chunk is not null").select(*[c.split()[0] for c in exchange.BLOCKS.split(", ")])
-    reps = cut(rows.groupBy("a", "b").agg(F.min(F.struct("doc_id", "line_no")).alias("node")), "lines-nodes")
-    items = exchange.shared_keys(blocks, owners).select(F.col("first").alias("a"), F.col("second").alias("b"), "keys")
-    unpacked = exchange.unpacked(items, "a", "b").distinct()
-    lists = cut(unpacked.join(reps.select("a", "b", "node"), ["a", "b"]).select("key", "node"), "lines-lists")
+    rows, blocks = found.where("chunk is null").select("doc_id", "line_no", "name"), found.where("chunk is not null").select(*[c.split()[0] for c in exchange.BLOCKS.split(", ")])
+    reps = cut(rows.groupBy("name").agg(F.min(F.struct("doc_id", "line_no")).alias("first")), "lines-nodes")
+    items = exchange.shared_keys(blocks, owners).select(F.col("first").alias("node"), "keys")
+    lists = cut(exchange.unpacked(items, "node").distinct(), "lines-lists")
 
     head = lists.groupBy("key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("m")).where("m > 1")
     met = lists.join(head, "key").where("node <> b")
     stars = cut(met.groupBy(F.col("node").alias("a"), "b").agg(F.collect_list(F.when(F.col("m") > 2, F.col("key"))).alias("keys")), "lines-stars")
     members = lists.join(head.select("key"), "key", "left_semi").select("node").distinct()
-    lines = cut(with_sketches(line_texts(texts, members)), "lines-texts")
+    wanted = members.join(reps, F.col("node") == F.col("name")).select("name", "first.doc_id", "first.line_no")
+    lines = cut(with_sketches(line_texts(texts, wanted)), "lines-texts")
     bounded = lambda pairs: pairs.join(as_side(lines, "a", PARITY), "a").join(as_side(lines, "b", PARITY), "b").where(may_be_similar(PERCENT, PARITY))
     links = cut(similar(bounded(stars.select("a", "b")), lines), "lines-links")
     comps = cut(components(links, "a", "b"), "lines-components")
@@ -264,8 +277,11 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         edges = edges.unionByName(found)
     whole = components(edges, "a", "b")
 
-    keep = reps.join(whole, "node", "left").select("a", "b", F.coalesce("comp", "node").alias("keep"))
-    out = rows.join(keep, ["a", "b"])
+    grouped = whole.join(reps, F.col("node") == F.col("name"))
+    stays = grouped.groupBy("comp").agg(F.min("first").alias("stays"))
+    moved = whole.join(stays, "comp").select(F.col("node").alias("name"), "stays")
+    keep = reps.join(moved, "name", "left").select("name", F.coalesce("stays", "first").alias("keep"))
+    out = rows.join(keep, "name")
     return out.select("doc_id", "line_no", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line_no").alias("keep_line_no"), F.struct("doc_id", "line_no").eqNullSafe(F.col("keep")).alias("kept"))
 
 

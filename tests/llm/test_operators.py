@@ -232,6 +232,10 @@ def test_line_dedup_odd_lines(spark):
         ((-1, 0), (-1, 0), True), ((-1, 1), (-1, 1), True), ((1, 0), (1, 0), True), ((1, 1), (1, 0), False), ((1, 2), (1, 0), False),
         ((2, 0), (2, 0), True), ((2, 0), (2, 0), True), ((3, 0), (2, 0), False),
     ]  # fmt: skip  (x and y are of the same shingles, but not equal:)
+    same = "the same line of text"
+    rows = [(20, f"{same}\nx", "s"), (20, f"\n{same}!", "s"), (21, same, "s"), (20, "", "s")]  # an id with several texts
+    got = sorted(tuple(r) for r in line_dedup.line_components(frame(spark, rows)).collect())
+    assert got == [(20, 0, 20, 0, True), (20, 1, 20, 0, False), (20, 1, 20, 1, True), (21, 0, 20, 0, False)]
     _, _, _, h1, h2, _ = line_dedup.line_spans(f"{x}\n{y}")
     assert h1[0] == h1[1] and h2[0] != h2[1]
 
