@@ -118,14 +118,15 @@ class Chunk:
         self.second.extend(second.tolist())
         self.size += keys.size
 
-    def flush(self) -> pa.RecordBatch:
+    def flush(self, beside: bytes = b"") -> pa.RecordBatch:
+        """The rows of the chunk; beside goes with the names."""
         k, d = np.concatenate(self.keys), np.concatenate(self.items)
         order = np.argsort(k, kind="stable")
         k, d = k[order], d[order]
         at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         n = np.diff(at, append=len(k))
         uniq, chunk = k[at], (self.task << 24) + self.number
-        rows = [(chunk, -1, b"", b"", pack(np.array(self.first, np.int64)), pack(np.array(self.second, np.int64)))]
+        rows = [(chunk, -1, beside, b"", pack(np.array(self.first, np.int64)), pack(np.array(self.second, np.int64)))]
         for o, a, b in by_owner(uniq, self.owners):
             hi = at[b] if b < len(at) else len(k)
             rows.append((chunk, o, encode(uniq[a:b], o, self.owners), pack_flags(n[a:b] > 1), pack(n[a:b].astype(np.int32)), pack(d[at[a] : hi])))

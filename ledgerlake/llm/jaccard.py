@@ -274,7 +274,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     open_keys = apart.select(F.explode("keys").alias("key")).distinct()
     lists = shared.join(open_keys, "key", "left_semi").join(comps, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
     lists = cut(lists, "jaccard-apart")
-    lists, links2, tried2 = recentred(lists, lambda pairs: pairs.join(as_side(sets, "a", PARITY), "a").join(as_side(sets, "b", PARITY), "b").where(may_be_similar(PERCENT, PARITY)), lambda pairs: similar(pairs, texts), "jaccard")
+    bounded = lambda pairs: pairs.join(as_side(sets, "a", PARITY), "a").join(as_side(sets, "b", PARITY), "b").where(may_be_similar(PERCENT, PARITY)).select("a", "b", "ca", "cb")
+    lists, links2, tried2 = recentred(lists, (bounded, lambda pairs: similar(pairs, texts)), "jaccard")
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for pairs in tried2:
         done = done.unionByName(pairs)

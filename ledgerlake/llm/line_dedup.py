@@ -4,7 +4,9 @@ A line is trimmed and its A-Z lower-cased; its set holds the hashes of its SHING
 1. One scan hashes every line. Equal lines are one node, named by a mix of two hashes built differently.
 2. Distinct lines of a task get a signature of BANDS x ROWS minima by one-permutation hashing with
    densification. A pair of similarity 0.8 shares a band with a probability of 1 - (1 - 0.8^ROWS)^BANDS,
-   above 0.998. Bands that two lines have are found by the Golomb-coded exchange (exchange.py).
+   above 0.998. Bands that two lines have are found by the Golomb-coded exchange (exchange.py). Of these,
+   a second exchange tells each chunk the least line and whether a third one is there, from three lines
+   of a chunk at most.
 3. Lines are verified by exact Jaccard against one line of each of their bands, then in rounds
    against other lines of bands that hold several components (pairs.py), and at last between the
    components that are left. Sizes and parity sketches bound each pair before its lines are compared.
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.llm import exchange
+from ledgerlake.llm.bits import unpack_flags
 from ledgerlake.llm.common import cut, power_of_two, text_or_empty
 from ledgerlake.llm.components import components
 from ledgerlake.llm.pairs import as_side, may_be_similar, recentred, sketch
@@ -38,6 +41,8 @@ CHUNK_SHINGLES, PORTION = 1 << 19, 1 << 18
 #: Longs of the parity sketch of a line; bytes of text for each distinct line, roughly, to choose the number of
 #: owners (only their load hangs on it).
 PARITY, LINE_BYTES = 16, 128
+#: Lines of a band that its owner is told of by a chunk: the least one and whether there are a second and a third.
+FEW = 3
 
 
 def code_points(text: str) -> np.ndarray:
@@ -124,19 +129,21 @@ def scanned(texts: DataFrame, owners: int) -> DataFrame:
     def run(batches):
         chunk = exchange.Chunk(owners)
         seen: set[int] = set()
-        names, parts, sizes, size = [], [], [], 0
+        names, places, lines, parts, sizes, size = [], [], [], [], [], 0
 
         def sign():
             n = np.concatenate(sizes)
-            name = np.concatenate(names)
-            chunk.add_rows(name, np.zeros(len(name), np.int64), band_keys(signatures(np.concatenate(parts), np.repeat(np.arange(len(n)), n), len(n))))
+            chunk.add_rows(np.concatenate(names), np.concatenate(places), band_keys(signatures(np.concatenate(parts), np.repeat(np.arange(len(n)), n), len(n))))
 
         def flushed() -> pa.RecordBatch:
-            made = chunk.flush()
+            made = chunk.flush(exchange.pack(np.concatenate(lines)))
+            lines.clear()
             return padded(dict(zip(made.schema.names, made.columns)), made.num_rows)
 
         for batch in batches:
             whole = batch.column("text").to_pylist()
+            ids = batch.column("doc_id")
+            no_id, number = pc.is_null(ids).to_numpy(zero_copy_only=False), pc.fill_null(ids, 0).to_numpy()
             for i, j in text_portions(whole):
                 part = whole[i:j]
                 # the texts stand under each other: a line's number is counted from its text's first
@@ -146,19 +153,24 @@ def scanned(texts: DataFrame, owners: int) -> DataFrame:
                 first = np.concatenate([[0], np.cumsum([t.count("\n") + 1 for t in part])])
                 of = np.searchsorted(first, line, side="right") - 1
                 name = names_of(h1, h2)
-                yield padded({"doc_id": batch.column("doc_id").take(pa.array(of + i)), "line_no": pa.array(line - first[of]), "name": pa.array(name)}, len(line))
+                no = line - first[of]
+                yield padded({"doc_id": ids.take(pa.array(of + i)), "line_no": pa.array(no), "name": pa.array(name)}, len(line))
                 each, at = np.unique(name, return_index=True)
                 new = np.fromiter((x not in seen for x in each.tolist()), bool, len(each))
                 if new.any():
                     seen.update(each[new].tolist())
-                    shingles, bounds = shingle_hashes(begin[at[new]], end[at[new]], sums)
+                    at = at[new]
+                    shingles, bounds = shingle_hashes(begin[at], end[at], sums)
                     names.append(each[new])
+                    places.append(number[of[at] + i])
+                    # a line whose text has no id is told by the complement of its number
+                    lines.append(np.where(no_id[of[at] + i], ~no[at], no[at]).astype(np.int32))
                     parts.append(shingles)
                     sizes.append(np.diff(bounds))
                     size += len(shingles)
                 if size >= CHUNK_SHINGLES:
                     sign()
-                    names, parts, sizes, size = [], [], [], 0
+                    names, places, parts, sizes, size = [], [], [], [], 0
                     if chunk.size >= CHUNK_KEYS:
                         yield flushed()
                         seen.clear()
@@ -170,6 +182,110 @@ def scanned(texts: DataFrame, owners: int) -> DataFrame:
     return texts.mapInArrow(run, SCANNED)
 
 
+def runs(*sorted_by: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    new = np.ones(len(sorted_by[0]), bool)
+    if len(new):
+        new[1:] = np.any([x[1:] != x[:-1] for x in sorted_by], axis=0)
+    return np.flatnonzero(new)
+
+
+def sharers(blocks: DataFrame, owners: int) -> DataFrame:
+    """For each chunk and owner the keys that several items have, how many lines of the chunk have each, and
+    these lines in order: the first FEW of each key in low, the others in more. The row with owner -1 has the
+    places of these lines by name."""
+    told = exchange.repeated(blocks.where("owner >= 0"), owners)
+
+    def gather(left: pa.Table, right: pa.Table) -> pa.Table:
+        maps = dict(zip(right.column("owner").to_pylist(), right.column("bitmap").to_pylist()))
+        held = left.to_pylist()
+        top = next(r for r in held if r["owner"] < 0)
+        name, place, no = (exchange.unpack(top[c], kind) for c, kind in (("counts", np.int64), ("docs", np.int64), ("keys", np.int32)))
+        met, out = np.zeros(len(name), bool), []
+        for r in held:
+            if r["owner"] < 0:
+                continue
+            k, n = exchange.decode(r["keys"], r["owner"], owners), exchange.unpack(r["counts"], np.int32)
+            again = unpack_flags(maps[r["owner"]], len(k))
+            if not again.any():
+                continue
+            item = exchange.unpack(r["docs"], np.int32)[np.repeat(again, n)] >> 1
+            k, n = k[again], n[again]
+            of, node = np.repeat(np.arange(len(k)), n), name[item]
+            met[item] = True
+            order = np.lexsort((node, of))
+            of, node = of[order], node[order]
+            kept = runs(of, node)
+            of, node = of[kept], node[kept]
+            n = np.bincount(of)
+            low = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) < FEW
+            out.append((top["chunk"], r["owner"], exchange.encode(k, r["owner"], owners), exchange.pack(n.astype(np.int32)), node[low].tobytes(), node[~low].tobytes()))
+        at = np.flatnonzero(met)
+        at = at[np.argsort(name[at])]
+        out.append((top["chunk"], -1, b"", exchange.pack(no[at]), name[at].tobytes(), place[at].tobytes()))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), *[pa.binary()] * 4))], names=["chunk", "owner", "keys", "counts", "low", "more"])
+
+    return blocks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(gather, "chunk long, owner int, keys binary, counts binary, low binary, more binary")
+
+
+def heads(shared: DataFrame, owners: int) -> DataFrame:
+    """(chunk, owner, sizes, heads): for each key how many lines have it, FEW at most, and the least of several."""
+
+    def answer(rows: pa.Table) -> pa.Table:
+        held = rows.to_pylist()
+        keys = [exchange.decode(r["keys"], r["owner"], owners) for r in held]
+        key = np.concatenate([np.repeat(k, np.minimum(exchange.unpack(r["counts"], np.int32), FEW)) for k, r in zip(keys, held)])
+        node = np.frombuffer(b"".join(r["low"] for r in held), np.int64)
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        kept = runs(key, node)
+        key, node = key[kept], node[kept]
+        at = runs(key)
+        size, least, key = np.minimum(np.diff(at, append=len(key)), FEW).astype(np.uint8), node[at], key[at]
+        out = []
+        for k, r in zip(keys, held):
+            found = np.searchsorted(key, k)
+            out.append((r["chunk"], r["owner"], exchange.pack(size[found]), least[found][size[found] > 1].tobytes()))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["chunk", "owner", "sizes", "heads"])
+
+    return shared.where("owner >= 0").select("chunk", "owner", "keys", "counts", "low").groupBy("owner").applyInArrow(answer, "chunk long, owner int, sizes binary, heads binary")
+
+
+def stars_of(shared: DataFrame, owners: int) -> DataFrame:
+    """(a, b, doc_id, line_no, keys): line a, found at doc_id and line_no, shares bands with b, the least line of
+    them, which may be a itself; keys are those bands that FEW lines or more have. Once for each chunk of a."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        told = {r["owner"]: r for r in right.to_pylist()}
+        name = place = no = np.zeros(0, np.int64)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
+        for r in left.to_pylist():
+            low, more = (np.frombuffer(r[c], np.int64) for c in ("low", "more"))
+            n = exchange.unpack(r["counts"], np.int32)
+            if r["owner"] < 0:
+                name, place, no = low, more, n
+                continue
+            k, few = exchange.decode(r["keys"], r["owner"], owners).astype(np.int64), np.minimum(n, FEW)
+            of = np.concatenate([np.repeat(np.arange(len(k)), few), np.repeat(np.arange(len(k)), n - few)])
+            size = exchange.unpack(told[r["owner"]]["sizes"], np.uint8)
+            head = np.zeros(len(k), np.int64)
+            head[size > 1] = np.frombuffer(told[r["owner"]]["heads"], np.int64)
+            kept = size[of] > 1
+            of = of[kept]
+            found.append((np.concatenate([low, more])[kept], head[of], k[of], size[of] == FEW))
+        a, b, key, many = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((b, a))
+        a, b, key, many = a[order], b[order], key[order], many[order]
+        at = runs(a, b)
+        ends = np.concatenate([[0], np.cumsum(many)])[np.append(at, len(a))].astype(np.int32)
+        a, b = a[at], b[at]
+        i = np.searchsorted(name, a)
+        ids, line = pa.array(place[i], pa.int64(), mask=no[i] < 0), np.where(no[i] < 0, ~no[i], no[i]).astype(np.int32)
+        return pa.table([pa.array(a), pa.array(b), ids, pa.array(line), pa.ListArray.from_arrays(pa.array(ends), pa.array(key[many]))], names=["a", "b", "doc_id", "line_no", "keys"])
+
+    return shared.groupBy("chunk").cogroup(heads(shared, owners).groupBy("chunk")).applyInArrow(run, "a long, b long, doc_id long, line_no int, keys array<long>")
+
+
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(rep, line) of wanted(name, doc_id, line_no). Ids are null-safe."""
     lists = wanted.groupBy(F.col("doc_id").alias("w_id")).agg(F.collect_set(F.struct("line_no", "name")).alias("nos"))
@@ -204,7 +320,7 @@ def named(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def with_sketches(lines: DataFrame) -> DataFrame:
-    """lines(rep, line) with n and the sketch o0 ..., one row for each rep."""
+    """lines(rep, line) with n and the sketch o0 ..."""
 
     def run(batches):
         for batch in (named(p) for b in batches if b.num_rows for p in portions(b, "line")):
@@ -217,12 +333,12 @@ def with_sketches(lines: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("rep"), *made, batch.column("line")], names=["rep", "n", *sketch(PARITY), "line"])
 
     schema = "rep long, n long, " + "".join(f"{o} long, " for o in sketch(PARITY)) + "line string"
-    return lines.mapInArrow(run, schema).dropDuplicates(["rep"])
+    return lines.mapInArrow(run, schema)
 
 
-def similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Those of pairs(a, b) whose lines' sets are similar, by exact Jaccard."""
-    joined = pairs.select("a", "b").join(lines.select(F.col("rep").alias("a"), F.col("line").alias("ta")), "a").join(lines.select(F.col("rep").alias("b"), F.col("line").alias("tb")), "b")
+def verified(joined: DataFrame, *others: str) -> DataFrame:
+    """joined(a, b, ta, tb, others) with linked: whether the sets of the lines ta and tb are similar, by exact
+    Jaccard. Without the lines."""
 
     def run(batches):
         for batch in (p for b in batches if b.num_rows for p in portions(b, "ta", "tb")):
@@ -233,44 +349,52 @@ def similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
             order = np.argsort(key)
             key, pair = key[order], pair[order]
             shared = np.bincount(pair[1:][key[1:] == key[:-1]], minlength=batch.num_rows)
-            mask = pa.array((shared > 0) & (100 * shared >= PERCENT * (size - shared)))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("a", "b")], names=["a", "b"])
+            linked = pa.array((shared > 0) & (100 * shared >= PERCENT * (size - shared)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], linked], names=[*kept, "linked"])
+
+    kept = ["a", "b", *others]
+    return joined.select(*kept, "ta", "tb").mapInArrow(run, "".join(f"{c} long, " for c in kept) + "linked boolean")
+
 
-    return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+def similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Those of pairs(a, b) whose lines' sets are similar, by exact Jaccard."""
+    joined = pairs.select("a", "b").join(lines.select(F.col("rep").alias("a"), F.col("line").alias("ta")), "a").join(lines.select(F.col("rep").alias("b"), F.col("line").alias("tb")), "b")
+    return verified(joined).where("linked").select("a", "b")
 
 
 def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per line that isn't blank: doc_id, line_no, keep_doc_id, keep_line_no, kept."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text"))
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    owners = power_of_two(size / LINE_BYTES * BANDS / OWNER_KEYS, 16)
+    by_id = texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size"))
+    size, most = by_id.agg(F.sum("size"), F.max("n")).first()
+    owners = power_of_two((size or 0) / LINE_BYTES * BANDS / OWNER_KEYS, 16)
     found = cut(scanned(texts, owners), "lines-scanned")
     rows, blocks = found.where("chunk is null").select("doc_id", "line_no", "name"), found.where("chunk is not null").select(*[c.split()[0] for c in exchange.BLOCKS.split(", ")])
     reps = cut(rows.groupBy("name").agg(F.min(F.struct("doc_id", "line_no")).alias("first")), "lines-nodes")
-    items = exchange.shared_keys(blocks, owners).select(F.col("first").alias("node"), "keys")
-    lists = cut(exchange.unpacked(items, "node").distinct(), "lines-lists")
-
-    head = lists.groupBy("key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    met = lists.join(head, "key").where("node <> b")
-    stars = cut(met.groupBy(F.col("node").alias("a"), "b").agg(F.collect_list(F.when(F.col("m") > 2, F.col("key"))).alias("keys")), "lines-stars")
-    members = lists.join(head.select("key"), "key", "left_semi").select("node").distinct()
-    wanted = members.join(reps, F.col("node") == F.col("name")).select("name", "first.doc_id", "first.line_no")
-    lines = cut(with_sketches(line_texts(texts, wanted)), "lines-texts")
-    bounded = lambda pairs: pairs.join(as_side(lines, "a", PARITY), "a").join(as_side(lines, "b", PARITY), "b").where(may_be_similar(PERCENT, PARITY))
-    links = cut(similar(bounded(stars.select("a", "b")), lines), "lines-links")
+    stars = cut(stars_of(cut(sharers(blocks, owners), "lines-shared"), owners), "lines-stars")
+    pairs = stars.where("a <> b").select("a", "b")
+
+    wanted = stars.groupBy(F.col("a").alias("name")).agg(F.first("doc_id").alias("doc_id"), F.first("line_no").alias("line_no"))
+    texts_of = with_sketches(line_texts(texts, wanted))
+    # only an id that rows repeat brings a line twice
+    lines = cut(texts_of.dropDuplicates(["rep"]) if (most or 0) > 1 else texts_of, "lines-texts")
+    with_lines = lambda side: as_side(lines, side, PARITY, F.col("line").alias("t" + side))
+    judged = lambda pairs, *others: verified(pairs.join(with_lines("a"), "a").join(with_lines("b"), "b").where(may_be_similar(PERCENT, PARITY)), *others)
+    links = cut(judged(pairs.distinct()).where("linked").select("a", "b"), "lines-links")
     comps = cut(components(links, "a", "b"), "lines-components")
 
     of = lambda name: comps.select(F.col("node").alias(name), F.col("comp").alias("c" + name))
-    apart = stars.where(F.size("keys") > 0).join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    keyed = stars.where(F.size("keys") > 0).select("a", "b", "keys")
+    apart = keyed.where("a <> b").join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
     open_keys = apart.select(F.explode("keys").alias("key")).distinct()
-    left = lists.join(open_keys, "key", "left_semi").join(comps, "node", "left").select("key", F.col("node").alias("rep"), F.coalesce("comp", "node").alias("comp"))
-    left = cut(left, "lines-apart")
-    left, more, tried = recentred(left, bounded, lambda pairs: similar(pairs, lines), "lines")
+    lists = keyed.select(F.col("a").alias("node"), F.explode("keys").alias("key")).join(open_keys, "key", "left_semi").distinct()
+    left = cut(lists.join(comps, "node", "left").select("key", F.col("node").alias("rep"), F.coalesce("comp", "node").alias("comp")), "lines-apart")
+    left, more, tried = recentred(left, (lambda pairs: judged(pairs, "ca", "cb"),), "lines")
     side = lambda name: as_side(left.join(lines, "rep"), name, PARITY, "key", F.col("comp").alias("c" + name))
     tries = side("a").join(side("b"), "key").where((F.col("ca") < F.col("cb")) & may_be_similar(PERCENT, PARITY)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    for pairs in tried:
-        done = done.unionByName(pairs)
+    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for known in tried:
+        done = done.unionByName(known)
     more.append(cut(similar(cut(tries.join(done.distinct(), ["a", "b"], "left_anti"), "lines-candidates"), lines), "lines-more"))
     edges = comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))
     for found in more:

@@ -42,10 +42,11 @@ def as_side(rows: DataFrame, side: str, longs: int, *others: str | Column) -> Da
     return rows.select(*others, F.col("rep").alias(side), F.col("n").alias(f"n{side}"), *[F.col(o).alias(side + o) for o in sketch(longs)])
 
 
-def recentred(lists: DataFrame, bounded: Callable[[DataFrame], DataFrame], similar: Callable[[DataFrame], DataFrame], label: str) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
+def recentred(lists: DataFrame, judged: tuple[Callable[[DataFrame], DataFrame], ...], label: str) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
     """Rounds over lists(key, rep, comp): each list takes one of its members, by a hash of the round, and the
-    members of other components are verified against it. bounded drops pairs(a, b, ...) that can't be links
-    before similar verifies the rest. Components are united after each round, and lists of one are closed.
+    members of other components are verified against it. judged is either two steps, one that drops
+    pairs(a, b, ca, cb) that can't be links and one that verifies the rest, or one that does both and marks those
+    that it verified by linked. Components are united after each round, and lists of one are closed.
 
     Returns the lists that stay open, the links(a, b) found and the pairs(a, b) tried. A round costs a pair
     for each open row, so nothing grows with the square of a list."""
@@ -55,14 +56,19 @@ def recentred(lists: DataFrame, bounded: Callable[[DataFrame], DataFrame], simil
         heads = lists.groupBy("key").agg((F.min("comp") != F.max("comp")).alias("open"), centre.alias("centre"))
         met = lists.join(heads, "key").where(F.col("open") & (F.col("comp") != F.col("centre.cb")))
         pairs = met.select(F.col("rep").alias("a"), F.col("centre.b").alias("b"), F.col("comp").alias("ca"), F.col("centre.cb").alias("cb")).distinct()
-        near, n_near = counted(bounded(pairs).select("a", "b", "ca", "cb"), f"{label}-centred")
+        near, n_near = counted(judged[0](pairs), f"{label}-centred")
         if not n_near:
             break
-        found, n_found = counted(similar(near.select("a", "b")), f"{label}-recentred")
+        if len(judged) == 2:
+            found, n_found = counted(judged[1](near.select("a", "b")), f"{label}-recentred")
+            met = near.join(found, ["a", "b"])
+        else:
+            met = near.where("linked")
+            found, n_found = met.select("a", "b"), met.count()
         tried.append(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         links.append(found)
         if n_found:
-            united = components(near.join(found, ["a", "b"]).select("ca", "cb").distinct(), "ca", "cb").withColumnRenamed("comp", "now")
+            united = components(met.select("ca", "cb").distinct(), "ca", "cb").withColumnRenamed("comp", "now")
             lists = lists.join(united, F.col("comp") == F.col("node"), "left").select("key", "rep", F.coalesce("now", "comp").alias("comp"))
             lists = cut(lists, f"{label}-open")
         if n_found * TENTH < n_near:

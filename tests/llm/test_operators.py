@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ledgerlake.llm import decontaminate, exact_dedup, html_text, jaccard, line_dedup, mixing, pairs, pii, quality, suffix_dedup, token_counts
 from ledgerlake.llm import common
+from ledgerlake.llm import components as components_of
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("row", T.StringType()), T.StructField("size", T.LongType()), T.StructField("stat_words", T.StringType())])
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -759,3 +760,42 @@ def test_very_long_texts(spark):
     assert keep == {1: 2, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6}
     gone = {r.doc_id: r.n_removed for r in suffix_dedup.suffix_dedup(frame(spark, [*rows, (7, words[500_000:] + "!", "s")])).collect()}
     assert gone == {1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: 0, 7: len(words) - 500_000}
+
+
+@pytest.mark.parametrize("local", [1, 7, 1 << 18])
+def test_components_local(spark, monkeypatch, local):
+    """Edges that a task unites at hand, whether rounds follow or not."""
+    rng = random.Random(local)
+    edges = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(45)] + [(200, 200), (-3, -9), (-3, -9)]
+    comp = {x: x for e in edges for x in e}
+    for _ in comp:
+        for a, b in edges:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    alone = {x for x in comp if all(a == b for a, b in edges if x in (a, b))}
+    monkeypatch.setattr(components_of, "LOCAL", local)
+    found = components_of.components(spark.createDataFrame(edges, "u long, v long").repartition(3), "u", "v").collect()
+    assert sorted((r.node, r.comp) for r in found) == sorted((x, c) for x, c in comp.items() if x not in alone)
+
+
+def test_line_dedup_few_jobs(spark):
+    """Every job costs a task for each partition of its stages. These rows took 80 jobs; they take 61."""
+    rows = [(i, f"{'one common line of the text' if i % 3 else 'another line that texts have'} {i % 50:04d}\nown {i * 7919} words {i * 104729}", "a") for i in range(300)]
+    spark.sparkContext.setJobGroup("few-jobs", "")
+    try:
+        assert line_dedup.line_components(frame(spark, rows)).count() == 600
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-jobs")) < 72
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_line_dedup_small_chunks(spark, monkeypatch):
+    """Lines that several chunks have are told of by each; the results don't hang on chunks or owners."""
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdefghij ") for _ in range(60)) for _ in range(12)]
+    near = lambda x: "".join(c if rng.random() > 0.01 else "z" for c in x)
+    rows = [(i if i else None, "\n".join(near(rng.choice(base)) if rng.random() < 0.7 else rng.choice(base) for _ in range(4)), "a") for i in range(120)]
+    want = sorted(line_dedup.line_components(frame(spark, rows)).collect(), key=str)
+    monkeypatch.setattr(line_dedup, "CHUNK_SHINGLES", 200)
+    monkeypatch.setattr(line_dedup, "CHUNK_KEYS", 64)
+    monkeypatch.setattr(line_dedup, "PORTION", 100)
+    assert sorted(line_dedup.line_components(frame(spark, rows).repartition(7)).collect(), key=str) == want
