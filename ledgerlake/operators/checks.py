@@ -26,9 +26,16 @@ def replica_conflicts(replicas: DataFrame) -> DataFrame:
     return seen.where("n_hashes > 1")
 
 
-def quorums(votes: DataFrame, replicas: int) -> DataFrame:
-    """votes(position, replica): positions that a majority has acknowledged."""
-    n = votes.groupBy("position").agg(F.count_distinct("replica").alias("votes"))
+def quorums(votes: DataFrame, replicas: int, numbers: range | None = None) -> DataFrame:
+    """votes(position, replica): positions that a majority has acknowledged. Where all replicas are numbers of a
+    range of 63 at most, a position's votes are bits of one long, and a task holds a row for each position."""
+    if numbers is None:
+        n = votes.groupBy("position").agg(F.count_distinct("replica").alias("votes"))
+    else:
+        if len(numbers) > 63 or numbers.step != 1:
+            raise ValueError("63 consecutive numbers at most")
+        bit = F.expr(f"shiftleft(1L, cast(replica - ({numbers.start}) as int))")
+        n = votes.groupBy("position").agg(F.coalesce(F.bit_count(F.bit_or(bit)), F.lit(0)).cast("long").alias("votes"))
     return n.withColumn("committed", F.col("votes") >= replicas // 2 + 1)
 
 

@@ -16,6 +16,7 @@ from ledgerlake.operators import checks, governance, log, versions
 from ledgerlake.operators.merkle import fold, merkle_root
 from ledgerlake.operators.ordered import dense_offsets, sum_before
 from ledgerlake.plans.select import Catalog, Param, Select, TableDef
+from ledgerlake.queries import QUERIES
 from ledgerlake.sources import records
 
 NOW = datetime(2024, 1, 1)
@@ -452,3 +453,12 @@ def test_catalog_and_levels(spark, users):
     with pytest.raises(errors.ChainVerificationFailed):
         log.read(bad, "s", 3).count()
     assert log.next_cursor(3, 2) == 5 and log.next_cursor(3, 0) is None
+
+
+def test_quorums_as_bits(spark, sf):
+    """Votes as bits are the distinct votes; the query sums them up before its join."""
+    votes = spark.createDataFrame([(1, 0), (1, 0), (1, 4), (1, -4), (2, None), (3, 2), (3, None), (None, 1)], "position long, replica long")
+    got = lambda *numbers: sorted(map(tuple, checks.quorums(votes, 5, *numbers).collect()), key=str)
+    assert got(range(-4, 5)) == got() == [(1, 3, True), (2, 0, False), (3, 1, False), (None, 1, False)]
+    plan = QUERIES["quorum_commit"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("bit_or")
