@@ -12,7 +12,8 @@ prefixes of n - ceil(t n) + k elements. The prefixes here are extended to k = 3:
    parity sketch bound the overlap from above, without loss.
 4. Lists that still hold several components are centred again, in rounds: each list takes another of its
    documents, and members of other components are verified against that one. Components are united and
-   lists of one component closed after each round, as long as a tenth of the verified pairs are links.
+   lists of one component closed after each round, as long as a tenth of the verified pairs are links and
+   they are not few for the lists' rows; step 5 finds what is left, whatever the number of rounds.
 5. What is left is indexed by combinations of tokens, whose number grows with the tokens' frequency: a
    rare token (RARE documents or fewer) by itself, a frequent one with one other, and tokens of more
    than COMMON documents by threes. Three shared elements always meet: if one is rare, by it; if not,
@@ -40,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.llm import exchange
-from ledgerlake.llm.common import cut, power_of_two
+from ledgerlake.llm.common import counted, cut, power_of_two
 from ledgerlake.llm.components import components
 from ledgerlake.llm.pairs import as_side, may_be_similar, parity, recentred, sketch
 from ledgerlake.llm.textnp import U, mix, shingle_sets
@@ -231,12 +232,14 @@ def between_components(lists: DataFrame, sets: DataFrame, done: DataFrame) -> Da
     rare, often = rows.where(F.col("m") <= RARE).drop("m"), rows.where(F.col("m") > RARE).drop("m")
     single = often.join(facts.where("alone").select("rep"), "rep", "left_semi")
     paid = combined.join(pays, F.col("rep") == F.col("pays"), "left_semi").select("combination", "rep")
-    found = (
-        pairs(rare, rare, "key", ("rare",), at("rare", 0), half)
-        .unionByName(pairs(paid, paid, "combination", ("often", "common"), by_combination, half))
-        .unionByName(pairs(single, often, "key", ("often", "common"), F.get(F.array_sort(some), F.lit(0)), half | ~F.col("aloneb")))
-    )
-    return found.distinct().join(done, ["a", "b"], "left_anti")
+    # each way is written by itself: the driver holds every figure of every task of a stage until the stage ends
+    ways = [
+        pairs(rare, rare, "key", ("rare",), at("rare", 0), half),
+        pairs(paid, paid, "combination", ("often", "common"), by_combination, half),
+        pairs(single, often, "key", ("often", "common"), F.get(F.array_sort(some), F.lit(0)), half | ~F.col("aloneb")),
+    ]
+    rare_pairs, paid_pairs, single_pairs = (cut(way, "jaccard-ways") for way in ways)
+    return rare_pairs.unionByName(paid_pairs).unionByName(single_pairs).distinct().join(done, ["a", "b"], "left_anti")
 
 
 def _lists(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -273,9 +276,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     apart = stars.where(F.size("keys") > 0).join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
     open_keys = apart.select(F.explode("keys").alias("key")).distinct()
     lists = shared.join(open_keys, "key", "left_semi").join(comps, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-    lists = cut(lists, "jaccard-apart")
+    lists, rows = counted(lists, "jaccard-apart")
     bounded = lambda pairs: pairs.join(as_side(sets, "a", PARITY), "a").join(as_side(sets, "b", PARITY), "b").where(may_be_similar(PERCENT, PARITY)).select("a", "b", "ca", "cb")
-    lists, links2, tried2 = recentred(lists, (bounded, lambda pairs: similar(pairs, texts)), "jaccard")
+    lists, links2, tried2 = recentred(lists, (bounded, lambda pairs: similar(pairs, texts)), "jaccard", rows)
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for pairs in tried2:
         done = done.unionByName(pairs)

@@ -15,6 +15,9 @@ from ledgerlake.llm.components import components
 
 #: Rounds of new centres go on while one in TENTH of a round's pairs is a link, and ROUNDS at most.
 ROUNDS, TENTH = 12, 10
+#: Where the rows are counted, a round that has fewer than FEW pairs, and fewer than one for HUNDRED open rows, is the
+#: last: each one costs the rows and as many tasks, and the exact join of what stays open costs those few more pairs.
+FEW, HUNDRED = 4096, 100
 
 
 def sketch(longs: int) -> list[str]:
@@ -42,11 +45,12 @@ def as_side(rows: DataFrame, side: str, longs: int, *others: str | Column) -> Da
     return rows.select(*others, F.col("rep").alias(side), F.col("n").alias(f"n{side}"), *[F.col(o).alias(side + o) for o in sketch(longs)])
 
 
-def recentred(lists: DataFrame, judged: tuple[Callable[[DataFrame], DataFrame], ...], label: str) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
+def recentred(lists: DataFrame, judged: tuple[Callable[[DataFrame], DataFrame], ...], label: str, rows: int | None = None) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
     """Rounds over lists(key, rep, comp): each list takes one of its members, by a hash of the round, and the
     members of other components are verified against it. judged is either two steps, one that drops
     pairs(a, b, ca, cb) that can't be links and one that verifies the rest, or one that does both and marks those
-    that it verified by linked. Components are united after each round, and lists of one are closed.
+    that it verified by linked. Components are united after each round, and lists of one are closed. rows is the
+    number of rows of lists; with it, rounds with few pairs for so many rows end.
 
     Returns the lists that stay open, the links(a, b) found and the pairs(a, b) tried. A round costs a pair
     for each open row, so nothing grows with the square of a list."""
@@ -71,7 +75,7 @@ def recentred(lists: DataFrame, judged: tuple[Callable[[DataFrame], DataFrame],
             united = components(met.select("ca", "cb").distinct(), "ca", "cb").withColumnRenamed("comp", "now")
             lists = lists.join(united, F.col("comp") == F.col("node"), "left").select("key", "rep", F.coalesce("now", "comp").alias("comp"))
             lists = cut(lists, f"{label}-open")
-        if n_found * TENTH < n_near:
+        if n_found * TENTH < n_near or (rows is not None and n_near < FEW and n_near * HUNDRED < rows):
             break
     still = lists.groupBy("key").agg((F.min("comp") != F.max("comp")).alias("open")).where("open").select("key")
     return lists.join(still, "key", "left_semi"), links, tried

@@ -115,6 +115,34 @@ def test_jaccard_frequent_lists(spark, plain, monkeypatch):
         assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs).collect()} == want
 
 
+def test_jaccard_rounds_end_where_pairs_are_few(spark, monkeypatch):
+    """One link a round is not worth a round over all open rows; the exact join finds the rest."""
+    lists = spark.range(300).select(F.lit(7).cast("long").alias("key"), F.col("id").alias("rep"), F.col("id").alias("comp"))
+    monkeypatch.setattr(pairs, "ROUNDS", 2)
+    near = lambda found: found.where("a - a % 2 = b - b % 2")
+    judged = (near, lambda found: found.select("a", "b"))
+    _, links, _ = pairs.recentred(lists, judged, "few")
+    assert len(links) == pairs.ROUNDS
+    still, links, tried = pairs.recentred(lists, judged, "few", 300)
+    assert len(links) == len(tried) == 1 and still.count() == 300
+    _, links, _ = pairs.recentred(lists, judged, "few", 100)
+    assert len(links) == pairs.ROUNDS
+    monkeypatch.setattr(pairs, "FEW", 1)
+    _, links, _ = pairs.recentred(lists, judged, "few", 300)
+    assert len(links) == pairs.ROUNDS
+
+
+def test_jaccard_ways_are_written_one_by_one(spark, plain, monkeypatch):
+    """The three joins on keys were one stage, of which the driver held the figures of all tasks at once."""
+    written = []
+    monkeypatch.setattr(jaccard, "cut", lambda df, label: (written.append((label, df)), common.cut(df, label))[1])
+    docs = frame(spark, [(i, t, "s") for i, t in plain.items()])
+    jaccard.jaccard_components(docs)
+    bounds = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("bit_count") // jaccard.PARITY
+    found = {label: [bounds(df) for at, df in written if at == label] for label, _ in written}
+    assert found["jaccard-ways"] == [1, 1, 1] and found["jaccard-candidates"] == [0]
+
+
 def thue_morse(n):
     """Two words of n letters that any polynomial modulo 2^64 makes equal."""
     bits = [bin(i).count("1") & 1 for i in range(n)]
